@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: its module here.
 _QUERIES = {
     "op1_packing": "packing",
+    "op2_simhash": "simhash",
+    "op3_wavelet_tokens": "wavelet",
+    "op8_pivot_topk": "topk",
 }
 
 

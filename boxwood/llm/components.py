@@ -1,0 +1,53 @@
+"""Connected components of an edge table, by repeated contraction.
+
+Each round every node takes the least of itself and its neighbours as its parent, chains of
+parents are shortened by pointer jumping, and edges move to the parents. Nothing is gathered:
+the minimum is a partial aggregate, and the joins read written tables, so that a node with very
+many edges is split by the adaptive skew join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def _jump(parents: DataFrame) -> DataFrame:
+    """Each node's grandparent; a parent without a row of its own is a root."""
+    up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    return parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
+
+
+def _relabel(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    a = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+    b = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+    moved = edges.join(a, "a").join(b, "b").where("pa <> pb")
+    return moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+
+
+def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
+    """Columns a and b, of one orderable type, to rows (node, component).
+
+    ``component`` is the least node that can be reached. Loops and rows with a null are
+    dropped, repeated edges count once; an empty table gives an empty table. Only the number
+    of edges left comes to the driver.
+    """
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    levels: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("parent")))
+        for _ in range(jumps):
+            parents = materialise(_jump(parents))
+        levels.append(parents)
+        edges = materialise(_relabel(edges, parents))
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # The last level's parents are roots or lead to roots by that level alone.
+    found = levels[-1]
+    for below in reversed(levels[:-1]):
+        up = found.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        found = materialise(below.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")))
+    return found.select("node", F.col("parent").alias("component"))
