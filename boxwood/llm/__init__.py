@@ -12,7 +12,10 @@ _QUERIES = {
     "op1_packing": "packing",
     "op2_simhash": "simhash",
     "op3_wavelet_tokens": "wavelet",
+    "op4_ppm_language": "ppm",
+    "op5_chat_windows": "chat",
     "op8_pivot_topk": "topk",
+    "op10_projection_forest": "forest",
 }
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import connected_components
+from .simhash import Joined
 
 TREES = 6
 LEAF = 1_024
@@ -102,58 +103,186 @@ class Tree:
             todo.append((self.children[node][1], own[p >= self.bounds[node] - self.spill]))
 
 
-class _Cell:
-    """Vectors at home in one cell of a leaf, compared with each other and with visitors."""
-
-    def __init__(self, leaf: int, rows: list[tuple], threshold: float):
-        self.leaf, self.threshold = leaf, threshold
-        self.node, self.many, self.x, self.signs = self._join(rows)
-
-    @staticmethod
-    def _join(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        node, many, x, signs = zip(*rows, strict=True)
-        return np.concatenate(node), np.concatenate(many), np.concatenate(x), [s for part in signs for s in part]
-
-    def _earlier(self, signs: list) -> list[np.ndarray]:
-        return [s[s < self.leaf] for s in signs]
-
-    def links(self, rows: list[tuple] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(node, links, another node of its group), for the home vectors among each other or
-        for visitors and home."""
-        node, many, x, signs = self._join(rows) if rows else (self.node, self.many, self.x, self.signs)
-        same = rows is None
-        n_rows, n_cols = np.zeros(len(node), dtype=np.int64), np.zeros(len(self.node), dtype=np.int64)
-        label_rows, label_cols = node.copy(), self.node.copy()
-        for a in range(0, len(node), _BLOCK):
-            for b in range(0, len(self.node), _BLOCK):
-                near = x[a : a + _BLOCK] @ self.x[b : b + _BLOCK].T >= self.threshold
-                if same and a == b:
-                    np.fill_diagonal(near, False)
-                r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                if not len(r):
-                    continue
-                near = near[np.ix_(r, c)]
-                r, c = r + a, c + b
-                er, ec = self._earlier([signs[i] for i in r]), self._earlier([self.signs[i] for i in c])
-                every = np.unique(np.concatenate([*er, *ec, np.zeros(0, dtype=np.int64)]))
-                if len(every):
-                    mr, mc = np.zeros((len(r), len(every)), dtype=np.float32), np.zeros((len(c), len(every)), dtype=np.float32)
-                    for m, e in ((mr, er), (mc, ec)):
-                        at = np.repeat(np.arange(len(e)), [len(s) for s in e])
-                        m[at, np.searchsorted(every, np.concatenate(e))] = 1
-                    near &= mr @ mc.T == 0
-                n_rows[r] += near @ self.many[c]
-                if not same:
-                    n_cols[c] += near.T @ many[r]
-                big = np.iinfo(np.int64).max
-                label_rows[r] = np.minimum(label_rows[r], np.where(near, label_cols[c][None, :], big).min(axis=1))
-                label_cols[c] = np.minimum(label_cols[c], np.where(near, label_rows[r][:, None], big).min(axis=0))
-                if not same:
-                    # A row's least neighbour so far joins it; every other neighbour joins the row.
-                    pass
-        yield node, n_rows, label_rows
-        yield self.node, n_cols, label_cols
-
-
-def _edges_of(near: np.ndarray) -> None:  # pragma: no cover - kept out of the class for clarity of its loop
-    raise NotImplementedError
+class _Rows:
+    """Vectors of a cell: nodes, how many rows each stands for, units, and their leaves."""
+
+    def __init__(self, node: np.ndarray, many: np.ndarray, x: np.ndarray, signs: list[np.ndarray]):
+        self.node, self.many, self.x, self.signs = node, many, x, signs
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+    @classmethod
+    def joined(cls, parts: list[_Rows]) -> _Rows:
+        return cls(np.concatenate([p.node for p in parts]), np.concatenate([p.many for p in parts]), np.concatenate([p.x for p in parts]), [s for p in parts for s in p.signs])
+
+
+def _new(near: np.ndarray, rows: list[np.ndarray], cols: list[np.ndarray], leaf: int) -> np.ndarray:
+    """Of the near pairs those that share no leaf before this one."""
+    rows, cols = [s[s < leaf] for s in rows], [s[s < leaf] for s in cols]
+    every = np.unique(np.concatenate([*rows, *cols]))
+    if not len(every):
+        return near
+    marks = []
+    for signs in (rows, cols):
+        m = np.zeros((len(signs), len(every)), dtype=np.float32)
+        m[np.repeat(np.arange(len(signs)), [len(s) for s in signs]), np.searchsorted(every, np.concatenate(signs))] = 1
+        marks.append(m)
+    return near & (marks[0] @ marks[1].T == 0)
+
+
+def cell_links(leaf: int, home: _Rows, visits: _Rows | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, another node of its group) for every vector with a link that counts here:
+    of those at home among each other, or of visitors with those at home."""
+    same = visits is None
+    own = home if same else visits
+    base = 0 if same else len(home)
+    counts = np.zeros(base + len(own), dtype=np.int64)
+    sets = Joined(len(counts))
+    for a in range(0, len(own), _BLOCK):
+        for b in range(0, len(home), _BLOCK):
+            near = own.x[a : a + _BLOCK] @ home.x[b : b + _BLOCK].T >= threshold
+            if same and a == b:
+                np.fill_diagonal(near, False)
+            r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(r):
+                continue
+            near = _new(near[np.ix_(r, c)], [own.signs[a + i] for i in r], [home.signs[b + i] for i in c], leaf)
+            r, c = r + a, c + b
+            counts[base + r] += near @ home.many[c]
+            if not same:
+                counts[c] += near.T @ own.many[r]
+            sets.link(near, base + r, c)
+    node = home.node if same else np.concatenate([home.node, own.node])
+    some = np.flatnonzero(counts)
+    return node[some], counts[some], node[sets.roots(some)] if len(some) else node[some]
+
+
+LINKS = "node long, n long, other long"
+
+
+def _links(rows: DataFrame, threshold: float) -> DataFrame:
+    """Counts and edges of all cells, whose rows come home first in a sorted partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        home: _Rows | None = None
+        held: list[_Rows] = []
+
+        def close() -> pa.RecordBatch | None:
+            """Work on what is held: first those at home, then visitors."""
+            nonlocal home, held
+            if not held or at is None:
+                return None
+            found = None
+            own = _Rows.joined(held)
+            held = []
+            if at[2]:
+                home = own
+                found = cell_links(at[0], home, None, threshold)
+            elif home is not None:
+                found = cell_links(at[0], home, own, threshold)
+            if found is None or not len(found[0]):
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "n", "other"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf, cell, inside = batch.column("leaf").to_numpy(), batch.column("cell").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
+            node, many, x = batch.column("node").to_numpy(), batch.column("many").to_numpy(), units(batch.column("v"))
+            signs = [np.array(s, dtype=np.int64) for s in batch.column("leaves").to_pylist()]
+            cuts = (np.flatnonzero((np.diff(leaf) != 0) | (np.diff(cell) != 0) | (np.diff(inside.astype(np.int8)) != 0)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(leaf)], strict=True):
+                key = (int(leaf[lo]), int(cell[lo]), bool(inside[lo]))
+                if key != at:
+                    if (out := close()) is not None:
+                        yield out
+                    if at is None or key[:2] != at[:2]:
+                        home = None
+                    at = key
+                held.append(_Rows(node[lo:hi], many[lo:hi], x[lo:hi], signs[lo:hi]))
+                if not key[2] and sum(map(len, held)) >= CELL:
+                    if (out := close()) is not None:
+                        yield out
+        if (out := close()) is not None:
+            yield out
+
+    dealt = rows.select("leaf", "cell", "home", "node", "many", "leaves", "v").repartition("leaf", "cell")
+    return dealt.sortWithinPartitions("leaf", "cell", F.desc("home"), "node").mapInArrow(run, LINKS)
+
+
+def link_vectors(vectors: DataFrame, *, threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF, cell: int = CELL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links (other vectors linked directly), component_id (least vec_id reachable by
+    links, itself included) and kept (vec_id is the component_id), one row per input row.
+
+    Links are pairs with a cosine of at least ``threshold`` in double precision that meet in a
+    leaf of one of the trees; none below it is linked. Vectors that are null, empty, zero or
+    hold a null or non-finite component link with nothing, nor do vectors of different lengths.
+    Equal vectors are always linked; rows with equal ids stay rows of their own; a null id takes
+    no part in the minimum, and its component_id is that of its group, or null, and kept is
+    false. An empty table has no rows; other columns are left unread.
+    """
+    spark = vectors.sparkSession
+    own = usable(vectors, id_col, vec_col)
+    sound = own.where(F.col("v").isNotNull())
+    alike = sound.groupBy("v").agg(F.count("*").alias("many"), F.min("vec_id").alias("low"))
+    reps = materialise(alike.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
+    results = []
+    for dims, n in sorted((r["dims"], r["count"]) for r in reps.groupBy("dims").count().collect()):
+        results.append(_link_alike(reps.where(F.col("dims") == dims), n, threshold, trees, leaf, cell))
+    empty = spark.createDataFrame([], LINKS)
+    found = empty
+    for r in results:
+        found = found.unionByName(r)
+    found = materialise(found)
+    counts = materialise(found.groupBy("node").agg(F.sum("n").alias("n")))
+    groups = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    linked = materialise(reps.select("node", "low", "many").join(groups, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    lows = materialise(linked.groupBy("component").agg(F.min("low").alias("least")))
+    told = linked.join(lows, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "least")
+    told = materialise(reps.select("node", "v").join(told, "node").select("v", "n_links", "least"))
+    out = sound.join(told, "v").select("vec_id", "n_links", F.col("least").alias("component_id"))
+    rest = own.where(F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _link_alike(reps: DataFrame, n: int, threshold: float, trees: int, leaf: int, cell: int) -> DataFrame:
+    """Counts and edges among distinct vectors of one length."""
+    sample = units(reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks())
+    spill = SPILL * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    grown, first = [], 0
+    for t in range(trees):
+        grown.append(Tree(sample, depth, spill, _SEED + t, first))
+        first = grown[-1].leaves
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = units(batch.column("v"))
+            where, which = zip(*((rows, np.full(len(rows), leaf, dtype=np.int64)) for tree in grown for leaf, rows in tree.reach(x)), strict=True)
+            rows, leaves = np.concatenate(where), np.concatenate(which)
+            order = np.lexsort((leaves, rows))
+            rows, leaves = rows[order], leaves[order]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("many"), batch.column("v"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaves))], names=["node", "many", "v", "leaves"])
+
+    kind = reps.schema["v"].dataType.simpleString()
+    signed = reps.select("node", "many", "v").mapInArrow(run, f"node long, many long, v {kind}, leaves array<long>")
+    rows = signed.withColumn("leaf", F.explode("leaves"))
+    large = materialise(signed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where(F.col("count") > cell).select("leaf", F.ceil(F.col("count") / cell).cast("int").alias("cells")))
+    if large.isEmpty():
+        rows = rows.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
+    else:
+        # At most one row for each leaf of the trees, which the sample bounds.
+        rows = rows.join(F.broadcast(large), "leaf", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "leaf"), F.col("cells")).cast("int"))
+        rows = rows.withColumn("cell", F.explode(F.sequence("own", F.col("cells") - 1))).withColumn("home", F.col("cell") == F.col("own"))
+    return _links(rows, threshold)
+
+
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked at a cosine of 0.95 or more."""
+    return link_vectors(table(spark, sf_dir, "embeddings"))
