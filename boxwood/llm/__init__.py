@@ -14,7 +14,10 @@ _QUERIES = {
     "op3_wavelet_tokens": "wavelet",
     "op4_ppm_language": "ppm",
     "op5_chat_windows": "chat",
+    "op6_temperature_mixing": "mixing",
+    "op7_lexicon_toxicity": "toxicity",
     "op8_pivot_topk": "topk",
+    "op9_byte_quality": "quality",
     "op10_projection_forest": "forest",
 }
 
