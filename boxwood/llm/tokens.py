@@ -25,7 +25,7 @@ class Encoder:
     ``name``: file of the public tokenizers, or a path. ``remember``: parts kept at most.
     """
 
-    def __init__(self, name: str = BPE, remember: int = 400_000):
+    def __init__(self, name: str = BPE, remember: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,6 +36,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remember = remember
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
         self.known: dict[str, bytes] = {"": self._raw([" "])[0]}
         self.first: dict[str, bytes] = {"": b""}
         self.marks = dict(zip(",.", self._raw([",", "."]), strict=True))
@@ -48,6 +51,22 @@ class Encoder:
             out.append(flat[at : (at := at + width * len(x))])
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, each after a space. They are encoded as running text,
+        which the library does faster: each is one piece, and its first id begins with the
+        space, as no other id does."""
+        runs = [words[at : at + 512] for at in range(0, len(words), 512)]
+        out: list[bytes] = []
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=self.dtype)
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(starts) != len(run):
+                out.extend(self._raw([" " + w for w in run]))
+                continue
+            flat, width = ids.tobytes(), self.dtype.itemsize
+            out.extend(flat[width * a : width * b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True))
+        return out
+
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of parts that follow a space. Letters and one closing mark are two pieces."""
         known, marks = self.known, self.marks
@@ -59,8 +78,10 @@ class Encoder:
                     whole.add(stem)
             else:
                 whole.add(part)
-        order = list(whole)
-        found = dict(zip(order, self._raw([" " + part for part in order]), strict=True))
+        letters = [part for part in whole if part.isalpha()]
+        others = list(whole.difference(letters))
+        found = dict(zip(letters, self._words(letters), strict=True))
+        found.update(zip(others, self._raw([" " + part for part in others]), strict=True))
         for part in marked:
             stem = part[:-1]
             found[part] = (found.get(stem) or known[stem]) + marks[part[-1]]
@@ -72,19 +93,16 @@ class Encoder:
         heads = {c[0] for c in cut}.difference(self.first)
         first = dict(zip(heads, self._raw(list(heads)), strict=True))
         rest = [c[1:] for c in cut]
-        new = set(chain.from_iterable(rest)).difference(self.known)
         known = self.known
+        new = set(chain.from_iterable(rest)).difference(known)
         if new:
-            found = self._learn(new)
-            if len(known) + len(found) <= self.remember:
-                known.update(found)
-            else:
-                room = self.remember - len(known)
-                known = _Both(found, known)
-                if room > 0:
-                    self.known.update(list(found.items())[:room])
+            room = self.remember - len(known)
+            known.update(self._learn(new))
         get = known.__getitem__
         out = [(self.first.get(c[0]) if c[0] in self.first else first[c[0]]) + b"".join(map(get, r)) for c, r in zip(cut, rest, strict=True)]
+        if new and len(new) > room:
+            for part in list(new)[max(0, room) :]:
+                del known[part]
         if len(self.first) < 50_000:
             self.first.update(first)
         return out
@@ -93,17 +111,6 @@ class Encoder:
         return [np.frombuffer(x, dtype=self.dtype) for x in self.encode(texts)]
 
 
-class _Both(dict):
-    """A batch's own parts, and behind them the remembered ones."""
-
-    def __init__(self, own: dict, behind: dict):
-        super().__init__(own)
-        self.behind = behind
-
-    def __missing__(self, key):
-        return self.behind[key]
-
-
 _encoders: dict[str, Encoder] = {}
 
 
