@@ -204,7 +204,7 @@ def mentions(text: Column, names: list[str]) -> Column:
 
 
 def repositories(csv: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(csv, ","), F.trim), lambda r: r != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(csv, ","), lambda r: F.trim(r)), lambda r: r != "")))
 
 
 def language_of(path: Column) -> Column:

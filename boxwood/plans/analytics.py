@@ -99,9 +99,9 @@ _SUPPLIED = "SELECT DISTINCT l_suppkey AS id, l_partkey AS member FROM lineitem"
 
 @query(
     "set_relations",
-    f"""WITH m AS ({_SUPPLIED}), s AS (SELECT id, count(*) AS n FROM m GROUP BY id), o AS (SELECT a.id AS a, b.id AS b, count(*) AS both FROM m a JOIN m b ON a.member = b.member AND a.id < b.id GROUP BY a.id, b.id)
-    SELECT o.a, o.b, o.both AS shared, CASE WHEN both = x.n AND both = y.n THEN 'equal' WHEN both = x.n THEN 'subset' WHEN both = y.n THEN 'superset' ELSE 'partial' END AS relation,
-    round(both / (x.n + y.n - both), 6) AS jaccard FROM o JOIN s x ON x.id = o.a JOIN s y ON y.id = o.b""",
+    f"""WITH m AS ({_SUPPLIED}), s AS (SELECT id, count(*) AS n FROM m GROUP BY id), o AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM m a JOIN m b ON a.member = b.member AND a.id < b.id GROUP BY a.id, b.id)
+    SELECT o.a, o.b, o.common AS shared, CASE WHEN common = x.n AND common = y.n THEN 'equal' WHEN common = x.n THEN 'subset' WHEN common = y.n THEN 'superset' ELSE 'partial' END AS relation,
+    round(common / (x.n + y.n - common), 6) AS jaccard FROM o JOIN s x ON x.id = o.a JOIN s y ON y.id = o.b""",
 )
 def set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("member")).distinct()
@@ -111,9 +111,9 @@ def set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cluster_overlap_alignment",
     """WITH j AS (SELECT l.doc_id AS m, d.source AS a, CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END || '/' || CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS b FROM labels l JOIN documents d USING (doc_id)), n AS (SELECT count(*) AS total FROM j),
-    x AS (SELECT a, count(*) AS na FROM j GROUP BY a), y AS (SELECT b, count(*) AS nb FROM j GROUP BY b), o AS (SELECT a, b, count(*) AS both FROM j GROUP BY a, b)
-    SELECT o.a, o.b, both AS shared, round(both / na, 6) AS coverage, round(both / nb, 6) AS purity, round(both / (na + nb - both), 6) AS jaccard, round((both / na) / (nb / total), 6) AS lift, round(2.0 * both / (na + nb), 6) AS f1
-    FROM o JOIN x ON x.a = o.a JOIN y ON y.b = o.b, n WHERE both >= 2""",
+    x AS (SELECT a, count(*) AS na FROM j GROUP BY a), y AS (SELECT b, count(*) AS nb FROM j GROUP BY b), o AS (SELECT a, b, count(*) AS common FROM j GROUP BY a, b)
+    SELECT o.a, o.b, common AS shared, round(common / na, 6) AS coverage, round(common / nb, 6) AS purity, round(common / (na + nb - common), 6) AS jaccard, round((common / na) / (nb / total), 6) AS lift, round(2.0 * common / (na + nb), 6) AS f1
+    FROM o JOIN x ON x.a = o.a JOIN y ON y.b = o.b, n WHERE common >= 2""",
 )
 def cluster_overlap_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -134,11 +134,11 @@ def and_clause_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "relationship_patterns",
-    """WITH e AS (SELECT event_type AS op, json_extract_string(props, '$.page') AS entity, user_id FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL)
+    """WITH e AS (SELECT event_type AS op, json_extract_string(props, '$.k') AS entity, user_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)
     SELECT op, entity, count(DISTINCT user_id) AS support, list_sort(list(DISTINCT user_id))[1:5] AS examples FROM e GROUP BY op, entity""",
 )
 def relationship_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), F.get_json_object("props", "$.page").alias("entity"), "user_id").where("entity IS NOT NULL").distinct()
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), F.get_json_object("props", "$.k").alias("entity"), "user_id").where("entity IS NOT NULL").distinct()
     return rows.groupBy("op", "entity").agg(F.count("*").alias("support"), F.slice(F.array_sort(F.collect_list("user_id")), 1, 5).alias("examples"))
 
 
@@ -205,8 +205,8 @@ def transcript_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fold_atom_jaccard",
     """WITH f AS (SELECT DISTINCT l_linenumber AS fold, l_partkey AS atom FROM lineitem), s AS (SELECT fold, count(*) AS n FROM f GROUP BY fold),
-    p AS (SELECT a.fold AS fa, b.fold AS fb, count(*) AS both FROM f a JOIN f b ON a.atom = b.atom AND a.fold < b.fold GROUP BY 1, 2)
-    SELECT round(avg(both / (x.n + y.n - both)), 6) AS mean_jaccard, count(*) AS pairs FROM p JOIN s x ON x.fold = p.fa JOIN s y ON y.fold = p.fb""",
+    p AS (SELECT a.fold AS fa, b.fold AS fb, count(*) AS common FROM f a JOIN f b ON a.atom = b.atom AND a.fold < b.fold GROUP BY 1, 2)
+    SELECT round(avg(common / (x.n + y.n - common)), 6) AS mean_jaccard, count(*) AS pairs FROM p JOIN s x ON x.fold = p.fa JOIN s y ON y.fold = p.fb""",
 )
 def fold_atom_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_partkey").alias("member")).distinct()

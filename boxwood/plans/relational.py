@@ -32,7 +32,7 @@ sql_query(
 )
 sql_query(
     "sql_anti_join",
-    "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
 )
 sql_query(
     "sql_in_subquery",
@@ -57,7 +57,7 @@ NATURAL JOIN (SELECT n_regionkey AS regionkey, n_name AS nation_name FROM nation
 )
 sql_query(
     "sql_having",
-    "SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 2) AS mean_price FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND avg(o_totalprice) > 100000",
+    "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean_price FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND avg(o_totalprice) > 100000",
 )
 sql_query(
     "sql_distinct",
@@ -70,7 +70,7 @@ sql_query(
 )
 sql_query(
     "sql_pricing_summary",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc,
     round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""",
 )
 sql_query(
@@ -107,10 +107,10 @@ sql_query(
 sql_query("sql_union_distinct", "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
 sql_query("sql_union_all", "SELECT 'customer' AS kind, c_nationkey AS nationkey, count(*) AS n FROM customer GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY s_nationkey")
 sql_query("sql_intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 5")
-sql_query("sql_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+sql_query("sql_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25")
 sql_query("sql_intersect_all", "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT ALL SELECT user_id FROM events WHERE event_type = 'click'")
 sql_query("sql_except_all", "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'purchase'")
-sql_query("sql_scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2.5 * (SELECT avg(o_totalprice) FROM orders)")
+sql_query("sql_scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1.9 * (SELECT avg(o_totalprice) FROM orders)")
 sql_query(
     "sql_correlated_subquery",
     "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem l WHERE l_quantity < 0.2 * (SELECT avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)",
@@ -122,7 +122,7 @@ SELECT segment, k AS custkey, round(total, 2) AS total, CAST(r AS BIGINT) AS pla
 )
 sql_query(
     "sql_recursive_cte",
-    """WITH RECURSIVE up(nationkey, at, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION ALL SELECT nationkey, CAST(floor((at - 1) / 2.0) AS INTEGER), depth + 1 FROM up WHERE at > 0)
+    """WITH RECURSIVE up(nationkey, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION ALL SELECT nationkey, CAST(floor((node - 1) / 2.0) AS INTEGER), depth + 1 FROM up WHERE node > 0)
 SELECT nationkey, CAST(max(depth) AS BIGINT) AS depth, count(*) AS steps FROM up GROUP BY nationkey""",
 )
 sql_query(
@@ -132,7 +132,7 @@ sql_query(
 )
 sql_query(
     "sql_like",
-    "SELECT p_partkey, upper(substr(p_name, 1, 5)) AS head, length(p_name) AS size, replace(p_type, ' ', '_') AS kind, trim(p_brand) AS brand FROM part WHERE p_type ILIKE '%steel%' OR p_name LIKE 'a%'",
+    "SELECT p_partkey, upper(substr(p_name, 1, 5)) AS head, length(p_name) AS size, replace(p_type, ' ', '_') AS kind, trim(p_brand) AS brand FROM part WHERE p_type ILIKE '%eco%' OR p_name LIKE 's%'",
 )
 sql_query(
     "sql_dates",
@@ -141,8 +141,8 @@ FROM orders GROUP BY year(o_orderdate), month(o_orderdate), quarter(o_orderdate)
 )
 sql_query(
     "sql_json",
-    "SELECT event_id, get_json_object(props, '$.page') AS page, get_json_object(props, '$.ref') AS ref FROM events",
-    "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events",
+    "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, get_json_object(props, '$.none') AS none FROM events",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events",
 )
 sql_query(
     "sql_listagg",

@@ -16,7 +16,7 @@ _COMMON = "(" + ", ".join(f"'{w}'" for w in text.COMMON) + ")"
 @query(
     "identity_keys",
     """SELECT doc_id, substr(sha1(':0:' || CAST(length(text) AS VARCHAR)), 1, 12) AS box_id, substr(sha1(text), 1, 16) AS content_hash, sha1(lang || chr(0) || text) AS parse_key,
-    sha256(text || chr(0) || upper(text)) AS patch, sha256('7:' || lang || ':' || source || ':' || sha256(text)) AS sample_key, lower(regexp_replace(source || '/Doc ' || CAST(doc_id AS VARCHAR) || '.txt', '[^a-zA-Z0-9]+', '-', 'g')) AS file_id,
+    sha256(text || chr(0) || replace(text, ' ', '_')) AS patch, sha256('7:' || lang || ':' || source || ':' || sha256(text)) AS sample_key, lower(regexp_replace(source || '/Doc ' || CAST(doc_id AS VARCHAR) || '.txt', '[^a-zA-Z0-9]+', '-', 'g')) AS file_id,
     'STATIC_' || upper(lang) || '_' || upper(substr(sha256(lang || chr(0) || source || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || 'f'), 1, 12)) AS holdout_id FROM documents""",
 )
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         identity.box_id(F.lit(""), F.lit(0), F.length(t)).alias("box_id"),
         identity.content_hash(t).alias("content_hash"),
         identity.parse_key(lang, t).alias("parse_key"),
-        identity.patch_hash(t, F.upper(t)).alias("patch"),
+        identity.patch_hash(t, F.replace(t, F.lit(" "), F.lit("_"))).alias("patch"),
         identity.sample_key(lang, source, F.sha2(t, 256), "7").alias("sample_key"),
         identity.file_id(F.concat(source, F.lit("/Doc "), name, F.lit(".txt"))).alias("file_id"),
         identity.holdout_id(lang, source, name, F.lit("f")).alias("holdout_id"),

@@ -34,9 +34,9 @@ def line_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tightest_box",
     _LINE_TREE
-    + """, s AS (SELECT doc_id, length(text) // 3 AS at, length(text) // 3 + 40 AS upto FROM documents WHERE length(text) > 120)
-    SELECT doc_id, at, upto, id, start, "end", CAST(depth AS BIGINT) AS depth FROM (SELECT s.*, n.id, n.start, n."end", n.depth, row_number() OVER (PARTITION BY s.doc_id ORDER BY n.depth DESC, n.id DESC) AS r
-    FROM s JOIN nodes n ON n.doc_id = s.doc_id AND n.start <= s.at AND n."end" >= s.upto) t WHERE r = 1""",
+    + """, s AS (SELECT doc_id, length(text) // 3 AS "at", length(text) // 3 + 40 AS upto FROM documents WHERE length(text) > 120)
+    SELECT doc_id, "at", upto, id, start, "end", CAST(depth AS BIGINT) AS depth FROM (SELECT s.*, n.id, n.start, n."end", n.depth, row_number() OVER (PARTITION BY s.doc_id ORDER BY n.depth DESC, n.id DESC) AS r
+    FROM s JOIN nodes n ON n.doc_id = s.doc_id AND n.start <= s."at" AND n."end" >= s.upto) t WHERE r = 1""",
 )
 def tightest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("text").cast("long")
@@ -49,7 +49,7 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.ancestors(line_tree(spark, sf_dir), "doc_id")
 
 
-_MARKS = """, marks AS (SELECT doc_id, id FROM nodes WHERE depth = 2 AND CAST(substr(id, 2) AS BIGINT) % 7 = 3 UNION ALL SELECT doc_id, 'g0' FROM documents UNION ALL SELECT doc_id, 'stale' FROM documents),
+_MARKS = """, marks AS (SELECT doc_id, id FROM nodes WHERE depth = 2 AND TRY_CAST(substr(id, 2) AS BIGINT) % 7 = 3 UNION ALL SELECT doc_id, 'g0' FROM documents UNION ALL SELECT doc_id, 'stale' FROM documents),
 m AS (SELECT DISTINCT k.doc_id, k.id, n.parent, n.depth FROM marks k JOIN nodes n ON n.doc_id = k.doc_id AND n.id = k.id),
 e AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.doc_id = m.doc_id AND x.parent = m.id)),
 opened AS (SELECT doc_id, parent AS id FROM e UNION SELECT doc_id, 'r' FROM e)
@@ -73,7 +73,7 @@ def minimal_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "lowest_common_ancestor",
     _LINE_TREE
-    + """, picked AS (SELECT doc_id, id, parent FROM nodes WHERE depth = 2 AND CAST(substr(id, 2) AS BIGINT) IN (2, 4, 5)), c AS (SELECT doc_id, count(DISTINCT id) AS n, count(DISTINCT parent) AS p, min(id) AS one, min(parent) AS up FROM picked GROUP BY doc_id)
+    + """, picked AS (SELECT doc_id, id, parent FROM nodes WHERE depth = 2 AND TRY_CAST(substr(id, 2) AS BIGINT) IN (2, 4, 5)), c AS (SELECT doc_id, count(DISTINCT id) AS n, count(DISTINCT parent) AS p, min(id) AS one, min(parent) AS up FROM picked GROUP BY doc_id)
     SELECT c.doc_id, n.id, n.start, n."end", CAST(n.depth AS BIGINT) AS depth FROM c JOIN nodes n ON n.doc_id = c.doc_id AND n.id = CASE WHEN c.n = 1 THEN c.one WHEN c.p = 1 THEN c.up ELSE 'r' END""",
 )
 def lowest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
