@@ -115,7 +115,10 @@ def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def split_stability(x: np.ndarray, threshold: float, repeats: int = 12, share: float = 0.8, seed: int = 0) -> float:
-    """Mean agreement of clusterings of random four fifths with that of all."""
+    """Mean agreement of clusterings of random four fifths with that of all; 1 for fewer than
+    three vectors, which have no proper part."""
+    if len(x) < 3:
+        return 1.0
     whole = average_linkage(x, threshold)
     rng, scores = np.random.default_rng(seed), []
     for _ in range(repeats):

@@ -21,9 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
         jumped = moved.join(moved.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left")
         new = materialise(jumped.select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")))
-        changed = new.where("component <> was").isEmpty()
+        settled = new.where("component <> was").isEmpty()
         labels = new.select("node", "component")
-        if changed:
+        if settled:
             return labels
 
 

@@ -16,7 +16,6 @@ from ..functions.text import language_of
 
 SKIP_DIRS = ("node_modules", ".git", "dist", "build", "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".next", ".cache")
 MOST_FILES, MOST_BYTES, MOST_TOTAL = 4_000, 1_000_000, 150_000_000
-EXAMPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("example_id", "db_id", "question", "evidence", "gold_sql", "difficulty")])
 
 
 def source_files(spark: SparkSession, root: str, *, skip: tuple[str, ...] = SKIP_DIRS, most: int = MOST_FILES, largest: int = MOST_BYTES, total: int = MOST_TOTAL) -> DataFrame:
@@ -76,13 +75,23 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 
 
 def examples(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Text-to-SQL examples; the query may be called SQL or sql, the id question_id or id."""
-    fields = T.StructType([T.StructField(n, T.StringType()) for n in ("question_id", "id", "db_id", "question", "evidence", "SQL", "query", "difficulty")])
-    spark_case = spark.conf.get("spark.sql.caseSensitive")
-    rows = spark.read.schema(fields).option("multiLine", str(multi_line).lower()).json(path)
-    place = F.monotonically_increasing_id().cast("string")
-    del spark_case
-    return rows.select(F.coalesce("question_id", "id", F.concat_ws(":", "db_id", place)).alias("example_id"), "db_id", "question", F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("SQL", "query").alias("gold_sql"), "difficulty")
+    """Text-to-SQL examples of JSON lines, or of one JSON array a file (``multi_line``).
+
+    The query may be called SQL, sql or query; the id question_id or id, else it is the database
+    and the place in the file. Nested evidence stays as JSON text. A file is read whole: these
+    are question sets, not corpora.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    if multi_line:
+        rows = raw.select(F.posexplode(F.from_json("value", "array<map<string, string>>")).alias("at", "r"))
+    else:
+        line = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+        rows = raw.select(F.posexplode(F.transform(line, lambda x: F.from_json(x, "map<string, string>"))).alias("at", "r"))
+    get = lambda *names: F.coalesce(*(F.try_element_at("r", F.lit(n)) for n in names))
+    return rows.select(
+        F.coalesce(get("question_id", "id"), F.concat_ws(":", get("db_id"), F.col("at").cast("string"))).alias("example_id"), get("db_id").alias("db_id"), get("question").alias("question"),
+        F.coalesce(get("evidence"), F.lit("")).alias("evidence"), get("SQL", "sql", "query").alias("gold_sql"), get("difficulty").alias("difficulty"),
+    )
 
 
 def write_graphs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
