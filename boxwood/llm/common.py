@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,14 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Short runs of a batch, which bound what one step of Python holds."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def spans(batch: pa.RecordBatch, column: int, rows: int = 4096, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch of at most ``rows`` rows, and of one row or ``size`` bytes of a column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import spans, table
 from .tokens import BPE, encoder
 
 CAPACITY = 1024
@@ -117,8 +117,8 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = BPE, end
             rest = []
 
         for batch in batches:
-            for part in slices(batch):
-                for doc, ids in zip(part.column(0).to_pylist(), enc.ids(texts_of(part.column(1))), strict=True):
+            for part in spans(batch, 1):
+                for doc, ids in zip(part.column(0).to_pylist(), enc.ids(part.column(1)), strict=True):
                     ids = np.concatenate([ids.astype("<u4"), end])
                     total = len(ids)
                     whole = total - total % capacity

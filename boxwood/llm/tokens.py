@@ -1,10 +1,11 @@
 """Exact, cached encoding with a byte-level BPE of the tokenizers library.
 
 A byte-level BPE first splits a text by a pattern in which a single space between two
-characters that aren't white space always begins a new piece. So a text may be cut before each
-such isolated space, the parts encoded by the library on their own, and the ids joined: the
-result equals encoding the whole text. Parts repeat, and each worker remembers the ids of a
-bounded number of them.
+characters that aren't white space always begins a new piece, and a single line feed there is a
+piece of its own. So a text may be cut before each such isolated space or line feed, the parts
+encoded by the library on their own, and the ids joined: the result equals encoding the whole
+text. Parts repeat: each worker remembers a bounded number of them as one Arrow column, in which
+a batch looks its parts up, and their ids as one array.
 """
 
 from __future__ import annotations
@@ -13,19 +14,31 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import texts_of
 
 BPE = "byte_bpe_50k.json"
-_NOT_ISOLATED = re.compile(r"\s[ ]|[ ]\s")
-_ISOLATED = re.compile(r"(?<!\s) (?=\S)")
+#: Texts with other white space than single spaces and line feeds between words.
+_NOT_APART = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x{0b}-\x{0d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CUTS = re.compile(r"(?<!\s) (?=\S)|(?<!\s)(?=\n\S)")
+
+
+def cut(text: str) -> list[str]:
+    """The parts of any text. After the first, a part that begins with a line feed is as it
+    stands, and any other followed a space, which is left out."""
+    return _CUTS.split(text)
 
 
 class Encoder:
     """Whole texts to ids, without special tokens; a null text has no ids.
 
-    ``name``: file of the public tokenizers, or a path. ``remember``: parts kept at most.
+    ``name``: file of the public tokenizers, or a path. ``remember``: parts kept at most; one
+    takes some thirty bytes.
     """
 
-    def __init__(self, name: str = BPE, remember: int = 600_000):
+    def __init__(self, name: str = BPE, remember: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,12 +49,15 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remember = remember
-        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
-        self.known: dict[str, bytes] = {"": self._raw([" "])[0]}
-        self.first: dict[str, bytes] = {"": b""}
+        space, feed = (self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " \n")
+        self.opens = {mark: np.zeros(self.tokenizer.get_vocab_size(), dtype=bool) for mark in " \n"}
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[" "][i] = token.startswith(space)
+            self.opens["\n"][i] = token.startswith(feed)
         self.marks = dict(zip(",.", self._raw([",", "."]), strict=True))
+        # The parts that are remembered, where their ids are, and the ids.
+        self.parts = pa.array([], pa.string())
+        self.starts, self.lengths, self.every = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     def _raw(self, parts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -51,64 +67,102 @@ class Encoder:
             out.append(flat[at : (at := at + width * len(x))])
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only, each after a space. They are encoded as running text,
-        which the library does faster: each is one piece, and its first id begins with the
-        space, as no other id does."""
-        runs = [words[at : at + 512] for at in range(0, len(words), 512)]
+    def _words(self, words: list[str], mark: str) -> list[bytes]:
+        """Ids of words of letters only, each after a mark, a space or line feed. They are
+        encoded as running text, which the library does faster: the id that begins with the
+        mark begins a word, as no other id does."""
         out: list[bytes] = []
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        runs = [words[at : at + 512] for at in range(0, len(words), 512)]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([mark + mark.join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype=self.dtype)
-            starts = np.flatnonzero(self.opens[ids]).tolist()
+            starts = np.flatnonzero(self.opens[mark][ids]) * self.dtype.itemsize
             if len(starts) != len(run):
-                out.extend(self._raw([" " + w for w in run]))
+                out.extend(self._raw([mark + w for w in run]))
                 continue
-            flat, width = ids.tobytes(), self.dtype.itemsize
-            out.extend(flat[width * a : width * b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True))
+            flat, cuts = ids.tobytes(), [*starts.tolist(), len(ids) * self.dtype.itemsize]
+            out.extend(flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
         return out
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that follow a space. Letters and one closing mark are two pieces."""
-        known, marks = self.known, self.marks
-        whole, marked = set(), []
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts. Letters and one closing mark are two pieces."""
+        marks, found = self.marks, {"": self._raw([" "])[0]}
+        spaced, fed, others, marked = set(), set(), [], []
         for part in parts:
-            if part[-1] in marks and (stem := part[:-1]).isalpha():
-                marked.append(part)
-                if stem not in known:
-                    whole.add(stem)
-            else:
-                whole.add(part)
-        letters = [part for part in whole if part.isalpha()]
-        others = list(whole.difference(letters))
-        found = dict(zip(letters, self._words(letters), strict=True))
-        found.update(zip(others, self._raw([" " + part for part in others]), strict=True))
-        for part in marked:
-            stem = part[:-1]
-            found[part] = (found.get(stem) or known[stem]) + marks[part[-1]]
-        return found
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``self.dtype``."""
-        cut = [(_ISOLATED.split(t) if _NOT_ISOLATED.search(t) else t.split(" ")) if t else [""] for t in texts]
-        heads = {c[0] for c in cut}.difference(self.first)
-        first = dict(zip(heads, self._raw(list(heads)), strict=True))
-        rest = [c[1:] for c in cut]
-        known = self.known
-        new = set(chain.from_iterable(rest)).difference(known)
-        if new:
-            room = self.remember - len(known)
-            known.update(self._learn(new))
-        get = known.__getitem__
-        out = [(self.first.get(c[0]) if c[0] in self.first else first[c[0]]) + b"".join(map(get, r)) for c, r in zip(cut, rest, strict=True)]
-        if new and len(new) > room:
-            for part in list(new)[max(0, room) :]:
-                del known[part]
-        if len(self.first) < 50_000:
-            self.first.update(first)
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype=self.dtype) for x in self.encode(texts)]
+            stem = part[:-1] if part[-1:] in marks else part
+            if (stem[1:] if (line := stem[:1] == "\n") else stem).isalpha():
+                if stem is not part:
+                    marked.append(part)
+                (fed if line else spaced).add(stem)
+            elif part:
+                others.append(part)
+        words, lines = list(spaced), list(fed)
+        found.update(zip(words, self._words(words, " "), strict=True))
+        found.update(zip(lines, self._words([x[1:] for x in lines], "\n"), strict=True))
+        found.update(zip(others, self._raw([x if x[0] == "\n" else " " + x for x in others]), strict=True))
+        found.update((part, found[part[:-1]] + marks[part[-1]]) for part in marked)
+        return [found[part] for part in parts]
+
+    def _lookup(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each part, starts and lengths by place, ids)."""
+        at = pc.index_in(parts, value_set=self.parts)
+        starts, lengths, every = self.starts, self.lengths, self.every
+        if not at.null_count:
+            return at.to_numpy(), starts, lengths, every
+        missing = pc.is_null(at)
+        new = parts.filter(missing).dictionary_encode()
+        at = np.array(at.fill_null(0))
+        at[missing.to_numpy(zero_copy_only=False)] = new.indices.to_numpy() + len(self.parts)
+        ids = self._learn(new.dictionary.to_pylist())
+        own = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // self.dtype.itemsize
+        starts = np.concatenate([starts, np.cumsum(own, dtype=np.int32) - own + np.int32(len(every))])
+        lengths, every = np.concatenate([lengths, own]), np.concatenate([every, np.frombuffer(b"".join(ids), dtype=self.dtype)])
+        room = min(self.remember, len(starts)) - len(self.parts)
+        if room > 0:
+            self.parts = pa.concat_arrays([self.parts, new.dictionary[:room].cast(pa.string())])
+            n = len(self.parts)
+            self.starts, self.lengths, self.every = starts[:n], lengths[:n], every[: starts[n - 1] + lengths[n - 1]]
+        return at, starts, lengths, every
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each of some texts, whatever their white space."""
+        parts = [cut(t) if t else [""] for t in texts]
+        heads = self._raw([p[0] for p in parts])
+        rest = [p[1:] for p in parts]
+        flat, ends = self._flat(pa.array(list(chain.from_iterable(rest)), pa.string()))
+        at = np.cumsum([0, *map(len, rest)])
+        cuts = np.concatenate([[0], ends])[at].tolist()
+        return [np.concatenate([np.frombuffer(head, dtype=self.dtype), flat[a:b]]) for head, a, b in zip(heads, cuts, cuts[1:], strict=False)]
+
+    def _flat(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and where those of each end."""
+        at, starts, lengths, every = self._lookup(parts)
+        n = lengths[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        which = np.repeat((starts[at] - ends + n).astype(np.int32), n)
+        which += np.arange(len(which), dtype=np.int32)
+        return every.take(which), ends
+
+    def _encode_apart(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose words have one space or line feed between them. Each is read
+        after a line feed of its own, whose id is dropped, so that all parts are alike."""
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
+        flat, ends = self._flat(lists.flatten().cast(pa.string()))
+        at = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        # The first part is the empty one before the line feed: a space's id, then that of the feed.
+        return [flat[a + 2 : b] for a, b in zip(at, at[1:], strict=False)]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column; a null has none."""
+        texts = pc.fill_null(texts, "")
+        try:
+            apart = pc.invert(pc.match_substring_regex(texts, _NOT_APART))
+            own = texts.filter(apart)
+            quick = iter(self._encode_apart(own))
+        except (pa.ArrowInvalid, UnicodeDecodeError):  # bytes that aren't UTF-8
+            return self.encode(texts_of(texts))
+        flags = apart.to_pylist()
+        slow = iter(self.encode(texts_of(texts.filter(pc.invert(apart)))))
+        return [next(quick if a else slow) for a in flags]
 
 
 _encoders: dict[str, Encoder] = {}
