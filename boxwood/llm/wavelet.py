@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, texts_of
+from .common import materialise, spans, table
 from .tokens import BPE, encoder
 
 MAGIC = b"BXWM1"
@@ -56,9 +56,9 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             ones = (current & kind(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = current[~ones]
+            low = current.compress(~ones)
             zeros.append(len(low))
-            current = np.concatenate([low, current[ones]])
+            current = np.concatenate([low, current.compress(ones)])
         return cls(n, planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -69,8 +69,8 @@ class WaveletMatrix:
             plane, zeros = self.planes[self.bits - 1 - k], self.zeros[self.bits - 1 - k]
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
-            above[~ones] = current[:zeros]
-            above[ones] = current[zeros:] | kind(1 << k)
+            above[np.flatnonzero(~ones)] = current[:zeros]
+            above[np.flatnonzero(ones)] = current[zeros:] | kind(1 << k)
             current = above
         return current
 
@@ -183,8 +183,8 @@ def write_tokens(docs: DataFrame, *, tokenizer: str = BPE, end_id: int = 0, shar
             return out
 
         for batch in batches:
-            for piece in slices(batch):
-                for doc, ids in zip(piece.column(0).to_pylist(), enc.ids(texts_of(piece.column(1))), strict=True):
+            for piece in spans(batch, 1):
+                for doc, ids in zip(piece.column(0).to_pylist(), enc.ids(piece.column(1)), strict=True):
                     names.append(doc)
                     held.append(np.concatenate([ids, end]))
                     tokens += len(ids) + 1
