@@ -24,9 +24,10 @@ from .labelled import Sample, labelled_sample
 
 #: Labelled texts of each label to learn from, at most.
 PER_CLASS = 1_500
-#: An entry is in at least this share of the texts of label 1; less may be chance.
-SHARE = 0.02
-STEM = range(3, 13)
+#: An entry is in so many texts of label 1 at least, and its log ratio and log-likelihood ratio
+#: against chance are so high; of the texts of label 0 it is in this share of that share at most.
+SUPPORT, RATIO, EVIDENCE, PURITY = 4, 2.0, 15.0, 0.04
+STEM = range(3, 17)
 _LOOKALIKE = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ғ": "f", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o",
     "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "α": "a", "β": "b", "ϲ": "c", "δ": "d",
@@ -110,31 +111,58 @@ def _stems(text: str) -> set[str]:
     return {w[:n] for w in set(fold(text).split()) for n in STEM if n <= len(w)}
 
 
+def _apart(sample: Sample) -> Sample:
+    """One text of each group of near copies with the same label, which would otherwise vote for
+    every word that they share. Texts that share one of four least shingle hashes are a group."""
+    from xxhash import xxh64_intdigest
+
+    first: dict[tuple, int] = {}
+    kept = []
+    for i, (text, label) in enumerate(zip(sample.texts, sample.labels, strict=True)):
+        words = fold(text).split()
+        shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        keys = [(int(label), seed, min(xxh64_intdigest(s, seed) for s in shingles)) for seed in range(4)]
+        if not any(k in first for k in keys):
+            kept.append(i)
+        for k in keys:
+            first.setdefault(k, i)
+    return Sample([sample.texts[i] for i in kept], sample.labels[kept], sample.rate)
+
+
+def _evidence(a: int, b: int, share: float) -> float:
+    """Log-likelihood ratio of a hits among label 1 and b among label 0, against ``share``."""
+    n = a + b
+    return 2 * (a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0))
+
+
 def _entries(sample: Sample) -> dict[str, float]:
     """Stems far commoner in texts of label 1, with the log of the ratio as their weights.
 
-    Of stems that begin with each other the shortest that qualifies is taken, then made longer
-    as long as that loses little.
+    A stem qualifies by its ratio, its evidence and how pure it is. Of stems that begin with
+    each other the shortest that qualifies is taken, then made longer as long as that loses
+    little, so that an entry is as long as what its words share.
     """
     toxic, clean = Counter(), Counter()
     ones, zeros = int(sample.labels.sum()), int((1 - sample.labels).sum())
     for text, label in zip(sample.texts, sample.labels, strict=True):
         if label:
             toxic.update(_stems(text))
-    least = max(5, SHARE * ones)
-    toxic = Counter({s: n for s, n in toxic.items() if n >= least})
+    toxic = Counter({s: n for s, n in toxic.items() if n >= SUPPORT})
     for text, label in zip(sample.texts, sample.labels, strict=True):
         if not label:
             clean.update(_stems(text) & toxic.keys())
     longer = defaultdict(list)
     for stem in toxic:
         longer[stem[:-1]].append(stem)
+    share = ones / (ones + zeros)
     weights: dict[str, float] = {}
     for stem in sorted(toxic, key=lambda s: (len(s), s)):
-        weight = math.log((toxic[stem] + 0.5) / (ones + 1)) - math.log((clean[stem] + 0.5) / (zeros + 1))
-        if weight < 2.5 or clean[stem] > 0.02 * toxic[stem] or any(stem[:n] in weights for n in STEM if n < len(stem)):
+        a, b = toxic[stem], clean[stem]
+        if any(stem[:n] in weights for n in STEM if n < len(stem)):
             continue
-        weights[stem] = weight
+        weight = math.log((a + 0.5) / (ones + 1)) - math.log((b + 0.5) / (zeros + 1))
+        if weight >= RATIO and b / zeros <= PURITY * a / ones and _evidence(a, b, share) >= EVIDENCE:
+            weights[stem] = weight
     out = {}
     for stem, weight in weights.items():
         while more := [s for s in longer[stem] if toxic[s] >= 0.9 * toxic[stem]]:
@@ -175,6 +203,7 @@ def learn(sample: Sample) -> Lexicon:
     """A lexicon from labelled texts. Without both labels nothing is toxic (score about 0)."""
     if not len(sample.labels) or sample.labels.min() == sample.labels.max():
         return Lexicon({}, [], [-10.0, 0.0, 0.0])
+    sample = _apart(sample)
     weights = _entries(sample)
     found = Lexicon(weights, _exceptions(sample, weights), [0.0, 0.0, 0.0])
     beta = _logistic(np.array([found.features(t) for t in sample.texts]), sample.labels)
