@@ -22,12 +22,13 @@ from .common import bytes_of, held_out, slices, table
 from .labelled import Sample, labelled_sample
 
 #: Labelled texts of each label to learn from, at most.
-PER_CLASS = 1_500
+PER_CLASS = 2_500
 #: Chunks of one text to learn from, at most, evenly spread. Scoring covers them all.
 TRAIN_CHUNKS = 8
 THRESHOLD = 0.3
 TAPS, FILTERS, HALF = 8, 24, 256
-EPOCHS, BATCH = 12, 64
+#: Passes over the sample, or so many steps if those are more.
+EPOCHS, BATCH, STEPS = 24, 64, 600
 _SPAN = 1 << 19
 
 
@@ -146,8 +147,9 @@ def _chunks(text: bytes) -> list[bytes]:
 
 
 def fit(sample: Sample, seed: int = 7) -> ByteNet:
-    """Train on labelled texts by Adam; deterministic. Without both labels every text scores
-    the rate of label 1 (half, if there is none)."""
+    """Train on labelled texts by Adam; deterministic. Scores are probabilities as if both labels
+    were equally common, so that the threshold means the same whatever the labels' mix. Without
+    both labels every text scores the rate of label 1 (half, if there is none)."""
     rng = np.random.default_rng(seed)
     tables = rng.normal(0, 0.3, (TAPS, 256, FILTERS))
     bias, weights, offset = np.zeros(FILTERS), rng.normal(0, 0.1, 3 * FILTERS + 1), np.zeros(1)
@@ -165,12 +167,14 @@ def fit(sample: Sample, seed: int = 7) -> ByteNet:
     texts, y = texts + pieces, np.concatenate([y, np.ones(len(pieces))])
     docs, short = [_chunks(t) for t in texts], _shortness([len(t) for t in texts])
     opt = _Adam([tables, bias, weights, offset], 0.01)
-    for epoch in range(EPOCHS):
-        opt.rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
+    epochs = max(EPOCHS, STEPS // -(-len(docs) // BATCH))
+    for epoch in range(epochs):
+        opt.rate = 0.01 * (1 - epoch / epochs) + 0.0005
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             opt.move(_gradient(tables, bias, weights, offset, [docs[i] for i in order[at : at + BATCH]], short[order[at : at + BATCH]], y[order[at : at + BATCH]]))
-    return ByteNet(tables.astype(np.float32), bias.astype(np.float32), weights, float(offset[0]) + sample.shift)
+    prior = np.log(y.mean() / (1 - y.mean()))  # of the texts trained on, pieces included
+    return ByteNet(tables.astype(np.float32), bias.astype(np.float32), weights, float(offset[0] - prior))
 
 
 def _gradient(tables: np.ndarray, bias: np.ndarray, weights: np.ndarray, offset: np.ndarray, docs: list[list[bytes]], short: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
