@@ -156,3 +156,21 @@ def tree_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ("file", tuple((" ".join(b.label.split()[:2]), ()) for b in trees.cut(root, 12, 1)))
 
     return _each(versions(spark, sf_dir), lambda d, a, b: [(d, changes.tree_distance(shape(a), shape(b)), round(changes.tree_similarity(shape(a), shape(b)), 6))], "doc_id long, distance long, similarity double", [pa.int64(), pa.int64(), pa.float64()])
+
+
+@query("frequent_subgraphs")
+def frequent_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed frequent subgraphs of the change graphs, of up to three edges, in a twentieth of
+    them or more."""
+    from ..operators import subgraphs
+    from ..storage import materialise
+
+    def parts(doc, old, new):
+        v, e = changes.change_graph(changes.edit_script(old, new))
+        return [(doc, i, None, label) for i, label in v] + [(doc, a, b, label) for a, b, label in e]
+
+    rows = materialise(_each(versions(spark, sf_dir), parts, "graph long, a long, b long, label string", [pa.int64(), pa.int64(), pa.int64(), pa.string()]))
+    least = max(2, rows.select("graph").distinct().count() // 20)
+    v = rows.where("b IS NULL").select("graph", F.col("a").alias("id"), "label")
+    e = rows.where("b IS NOT NULL").select("graph", F.col("a").alias("src"), F.col("b").alias("dst"), "label")
+    return subgraphs.closed_subgraphs(*subgraphs.frequent_subgraphs(v, e, least))
