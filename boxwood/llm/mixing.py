@@ -6,7 +6,7 @@ repeated as often as allowed. Budgets are the weights times a total; a source is
 passes and one part of a pass, each a permutation of its own by hash, in blocks: every output
 block holds each source in its weight.
 
-Permutations are by buckets of a hash, so budgets, the cut of the last pass and the blocks
+Permutations are by buckets of a digest, so budgets, the cut of the last pass and the blocks
 follow from token sums of (source, bucket) alone: no source is ever sorted in one task.
 """
 
@@ -91,12 +91,13 @@ def plan(sizes: dict[str | None, int], *, budget: int | None = None, entropy: fl
 
 
 def _bucket(id_col: str, text_col: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(BUCKETS)).cast("int")
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col(text_col)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
 
 
 def _order(seed: int) -> Column:
     """Where a bucket comes in a pass: a permutation of the buckets for each pass."""
-    return F.xxhash64(F.lit(seed), "source", "pass", "bucket")
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("pass").cast("string"), F.col("bucket").cast("string")))
 
 
 def _schedule(sums: DataFrame, mixture: Mixture, block_tokens: int, seed: int) -> DataFrame:
@@ -153,4 +154,36 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, taken = schedule(docs)
     taken = taken.select(F.col("source").alias("t_source"), F.col("bucket").alias("t_bucket"), "pass", "block", "weight")
     found = own.join(taken, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("bucket") == F.col("t_bucket")))
-    return found.select("doc_id", "source", "pass", "block", "tokens", "weight")
+    return found.select("doc_id", "source", "pass", "block", "tokens", F.round("weight", 9).alias("weight"))
+
+
+#: The bisected exponent has a closed form for a repetition limit: (least / most share)^(a - 1) = limit.
+ORACLE_SQL = f"""
+WITH d AS (
+    SELECT doc_id, source, CAST(1 + ceil(coalesce(length(text), 0) / {CHARS_PER_TOKEN}.0) AS BIGINT) AS tokens,
+        CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 8) AS BIGINT) % {BUCKETS} AS bucket
+    FROM documents
+), n AS (
+    SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM d GROUP BY source
+), e AS (
+    SELECT CASE WHEN max(total) / min(total) > {MAX_REPEATS} THEN 1 + ln({MAX_REPEATS}) / ln(min(total) / max(total)) ELSE 0 END AS a, max(total) AS most FROM n
+), w AS (
+    SELECT source, total, pow(total / most, a) / sum(pow(total / most, a)) OVER () AS weight FROM n, e
+), p AS (
+    SELECT *, max(total / weight) OVER () * weight / total AS passes FROM w
+), q AS (
+    SELECT source, total, weight, CASE WHEN abs(passes - round(passes)) < 1e-9 THEN round(passes) ELSE passes END AS passes FROM p
+), s AS (
+    SELECT source, bucket, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY source, bucket
+), u AS (
+    SELECT s.source, s.bucket, s.tokens, q.total, q.weight, q.passes, unnest(generate_series(0, greatest(CAST(ceil(q.passes) AS INTEGER) - 1, 0))) AS pass
+    FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source
+), v AS (
+    SELECT *, sum(tokens) OVER (PARTITION BY source, pass ORDER BY md5(concat_ws(':', '0', source, CAST(pass AS VARCHAR), CAST(bucket AS VARCHAR))), bucket ROWS UNBOUNDED PRECEDING) - tokens AS before FROM u
+), t AS (
+    SELECT source, bucket, pass, weight, CAST(floor((pass * total + before) / greatest(1.0, weight * {BLOCK_TOKENS})) AS BIGINT) AS block
+    FROM v WHERE passes - pass >= 1 OR before + tokens / 2 <= (passes - pass) * total
+)
+SELECT d.doc_id, d.source, CAST(t.pass AS INTEGER) AS pass, t.block, d.tokens, round(t.weight, 9) AS weight
+FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source AND t.bucket = d.bucket
+"""

@@ -145,6 +145,10 @@ def test_mixing_query(spark, small):
     assert {r["pass"] for r in rows} == {0, 1}
 
 
+def test_mixing_query_by_sql(spark, small, duck):
+    assert spark_rows(mixing.op6_temperature_mixing(spark, small)) == duck_rows(duck, mixing.ORACLE_SQL)
+
+
 def test_mixing_repeats_itself(spark, small):
     a, b = (sorted(map(tuple, mixing.op6_temperature_mixing(spark, small).collect()), key=repr) for _ in range(2))
     assert a == b
