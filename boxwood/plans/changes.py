@@ -98,17 +98,17 @@ def facet_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("kind", text.entity(F.col("kind"), F.array("kind")).alias("entity"), text.container(F.col("kind")).alias("container"), text.role(F.col("kind")).alias("role"), text.rank_of(text.entity(F.col("kind"), F.array("kind"))).alias("rank"))
 
 
-_COMPONENTS = """WITH RECURSIVE o AS (SELECT DISTINCT l_suppkey % 40 AS k, 'p' || CAST(l_partkey // 50 AS VARCHAR) AS name FROM lineitem WHERE l_quantity = 1 AND l_returnflag = 'N' AND l_discount = 0),
+_COMPONENTS = r"""WITH RECURSIVE o AS (SELECT page_id AS k, unnest(list_distinct([split_part(regexp_replace(url, '^https?://', ''), '/', 1), 'n' || regexp_extract(url, '/(\d+)', 1)])) AS name FROM pages),
 e AS (SELECT DISTINCT a.k AS a, b.k AS b FROM o a JOIN o b ON a.name = b.name), w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b)
-SELECT CAST(a AS BIGINT) AS k, CAST(min(b) AS BIGINT) AS component FROM w GROUP BY a"""
+SELECT a AS k, min(b) AS component FROM w GROUP BY a"""
 
 
 @query("provenance_components", _COMPONENTS)
 def provenance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of suppliers (by 40) that are linked by common groups of parts."""
-    line = table(spark, sf_dir, "lineitem").where("l_quantity = 1 AND l_returnflag = 'N' AND l_discount = 0")
-    rows = line.select((F.col("l_suppkey") % 40).cast("long").alias("k"), F.concat(F.lit("p"), F.floor(F.col("l_partkey") / 50).cast("string")).alias("name")).distinct()
-    return graphs.share_a_name(rows.groupBy("k").agg(F.collect_set("name").alias("names")), "k", "names")
+    """Groups of pages that share a host or a number in their address."""
+    host = F.substring_index(F.regexp_replace("url", "^https?://", ""), "/", 1)
+    names = F.array(host, F.concat(F.lit("n"), F.regexp_extract("url", r"/(\d+)", 1)))
+    return graphs.share_a_name(table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), names.alias("names")), "k", "names")
 
 
 _ATOMS = """WITH f AS (SELECT DISTINCT d.doc_id AS sample, w AS atom FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS w FROM documents) d JOIN labels l ON l.doc_id = d.doc_id WHERE length(w) >= 4),

@@ -42,9 +42,13 @@ def summary_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate(table(spark, sf_dir, "documents"), "doc_id", "text", summarise).select("doc_id", "hash", F.col("out").alias("summary"))
 
 
-@query("windowed_summary", "SELECT doc_id, CAST((length(text) + 1199) // 1200 AS BIGINT) AS windows FROM documents")
+@query(
+    "windowed_summary",
+    """WITH w AS (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1200)) AS w FROM documents)
+    SELECT doc_id, count(*) AS windows, string_agg(substr(text, CAST(w * 1200 + 1 AS BIGINT), 40), ' ' ORDER BY w) AS summary FROM w GROUP BY doc_id""",
+)
 def windowed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of windows, put together in order for each text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1200).cast("int"))).alias("w"))
     parts = docs.select("doc_id", "w", F.substr("text", (F.col("w") * 1200 + 1).cast("int"), F.lit(40)).alias("head"))
-    return parts.groupBy("doc_id").agg(F.count("*").alias("windows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "head"))), lambda s: s["head"]), " ").alias("s")).select("doc_id", "windows")
+    return parts.groupBy("doc_id").agg(F.count("*").alias("windows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "head"))), lambda s: s["head"]), " ").alias("summary"))

@@ -40,12 +40,12 @@ def concept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "weighted_terms",
-    f"""WITH w AS (SELECT source, unnest({_WORDS.format('text')}) AS term, 3 AS weight FROM documents WHERE lang = 'en' UNION ALL SELECT source, unnest({_WORDS.format("source || '/' || lang")}), 2 FROM documents WHERE lang = 'en'),
+    f"""WITH w AS (SELECT source, unnest({_WORDS.format('text')}) AS term, 3 AS weight FROM documents UNION ALL SELECT source, unnest({_WORDS.format("source || '/' || lang")}), 2 FROM documents),
     s AS (SELECT source, term, CAST(sum(weight) AS BIGINT) AS weight FROM w WHERE term NOT IN {_COMMON} GROUP BY source, term)
     SELECT source, term, weight, CAST(r AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS r FROM s) t WHERE r <= 10""",
 )
 def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     words = docs.select("source", F.explode(text.split_words(F.col("text"))).alias("term"), F.lit(3).alias("weight")).unionByName(
         docs.select("source", F.explode(text.split_words(F.concat("source", F.lit("/"), "lang"))).alias("term"), F.lit(2).alias("weight"))
     )
