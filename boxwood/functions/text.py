@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Lists, names, ranks and patterns that results depend on.
+
 #: Words that say nothing about what a change is about.
 COMMON = (
     "a add added allow an and api are as at be before by change changed check create default do does enable error existing fix for from function get if in "
@@ -112,6 +114,7 @@ def normalised_label(kind: Column, text: Column) -> Column:
     return F.when(F.rlike(kind, F.lit("(?:identifier|name)$")), "$ID").when(F.rlike(kind, F.lit("^(?:string|string_fragment|integer|float|number)$")), "$LIT").otherwise(text)
 
 
+# The classes of node types, their patterns and ranks.
 _CALL = "^(?:call|call_expression|new_expression)$"
 _ENTITIES = (
     ("conditional_guard", "^(?:if_statement|if_clause)$"), ("exception", "^(?:raise|throw)_statement$"), ("function", "(?:function|method)_(?:definition|declaration|expression)$"),
@@ -166,6 +169,7 @@ def rank_of(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in ENTITY_RANK.items() for x in kv)), name)
 
 
+# Roles, the first whose pattern is found.
 _ROLES = (
     ("import", "import|require|include|using_directive"), ("function", "function|method|lambda|arrow"), ("class", "class|struct|interface|trait|impl"), ("call", "call|invocation|new_expression"),
     ("branch", "^if|else|switch|case|match|ternary|conditional"), ("loop", "for|while|do_statement|loop"), ("return", "return|yield"), ("exception", "try|catch|except|raise|throw|finally"),

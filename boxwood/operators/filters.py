@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LOCKFILES, NOISY_DIRS
 
+# The reasons, their order, and the patterns and bounds in the rules below.
 _EXTENSIONS = {"python": r"\.py$", "javascript": r"\.(?:js|mjs|cjs|jsx)$"}
 
 

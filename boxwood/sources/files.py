@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import language_of
 
+# Folders passed over, and the bounds of a scan.
 SKIP_DIRS = ("node_modules", ".git", "dist", "build", "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".next", ".cache")
 MOST_FILES, MOST_BYTES, MOST_TOTAL = 4_000, 1_000_000, 150_000_000
 

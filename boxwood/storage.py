@@ -19,8 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/boxwood-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/boxwood-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back: its lineage ends there, so a lost
+    executor costs no recomputation of what came before."""
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

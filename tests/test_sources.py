@@ -108,6 +108,12 @@ def test_prompts():
 def test_materialise_and_ship(spark):
     df = storage.materialise(spark.range(5))
     assert df.count() == 5 and storage.shared_dir(spark) in df.inputFiles()[0]
+    import os
+
+    assert os.path.isdir(storage.own_dir(spark))
+    storage.clear(spark)
+    storage.clear(spark)
+    assert not os.path.exists(storage.own_dir(spark))
     shipping.ship(spark)
     shipping.ship(spark)
 
