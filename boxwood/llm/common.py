@@ -1,9 +1,8 @@
-"""Shared plumbing of the training-data operators: reading, materialising, batching."""
+"""Shared plumbing of the training-data operators: reading and batching; written intermediate
+tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,34 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir
+
+__all__ = ["bytes_of", "held_out", "materialise", "shared_dir", "slices", "spans", "table", "texts_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table below ``sf_dir``, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) is a folder of our own made and set.
-    """
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not held:
-        held = tempfile.mkdtemp(prefix="boxwood-")
-        spark.conf.set("spark.checkpoint.dir", held)
-        spark.sparkContext.setCheckpointDir(held)
-    return held.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so that a lost
-    executor costs no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/boxwood-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
