@@ -98,10 +98,10 @@ def examples(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
 def write_graphs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, text): ``t # i``, ``v id label`` and ``e from to label`` lines, labels as numbers
     from 2 in the order of their text."""
-    names = vertices.select("label").unionByName(edges.select("label")).distinct().orderBy("label").limit(100_000)
-    numbered = names.withColumn("code", F.row_number().over(_by_label()) + 1)
-    v = vertices.join(F.broadcast(numbered), "label").groupBy("graph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "code"))), lambda s: F.concat_ws(" ", F.lit("v"), s["id"].cast("string"), s["code"].cast("string"))), "\n").alias("v"))
-    e = edges.join(F.broadcast(numbered), "label").groupBy("graph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "code"))), lambda s: F.concat_ws(" ", F.lit("e"), s["src"].cast("string"), s["dst"].cast("string"), s["code"].cast("string"))), "\n").alias("e"))
+    names = vertices.select("label").unionByName(edges.select("label")).distinct()
+    numbered = names.withColumn("code", F.row_number().over(_by_label()) + 1)  # one row a label
+    v = vertices.join(numbered, "label").groupBy("graph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "code"))), lambda s: F.concat_ws(" ", F.lit("v"), s["id"].cast("string"), s["code"].cast("string"))), "\n").alias("v"))
+    e = edges.join(numbered, "label").groupBy("graph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "code"))), lambda s: F.concat_ws(" ", F.lit("e"), s["src"].cast("string"), s["dst"].cast("string"), s["code"].cast("string"))), "\n").alias("e"))
     return v.join(e, "graph", "left").select("graph", F.concat_ws("\n", F.concat(F.lit("t # "), F.col("graph").cast("string")), "v", "e").alias("text"))
 
 
