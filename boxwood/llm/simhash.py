@@ -32,7 +32,16 @@ SAMPLE = 8_192
 CELL = 32_768
 LEAF = 96
 _CHUNK = 65_536
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3], dtype=np.uint64)
+#: Fingerprint words compared at once, which bounds memory.
+_BLOCK = 4_000_000
+
+
+def _odd(k: int) -> np.uint64:
+    """The k-th odd multiplier, from 1: SplitMix64 of k with its lowest bit set."""
+    z = k * 0x9E3779B97F4A7C15
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = ((z ^ (z & (1 << 64) - 1) >> shift) * factor) & (1 << 64) - 1
+    return np.uint64(z ^ z >> 31 | 1)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -70,9 +79,9 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> np.ndarray:
         for at in range(0, len(hashes), _CHUNK):
             part = hashes[at : at + _CHUNK]
             if w:
-                part = part * _MIX[w]
+                part = part * _odd(2 * w)
                 part ^= part >> np.uint64(29)
-                part = part * _MIX[w - 1]
+                part = part * _odd(2 * w + 1)
                 part ^= part >> np.uint64(32)
             bits = np.unpackbits(part.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones += bits.sum(axis=0, dtype=np.uint32)
@@ -202,23 +211,31 @@ def links_within(home: np.ndarray, visits: Iterator[np.ndarray], radius: int) ->
     def joined(queries: np.ndarray, base: int, sets: Joined) -> None:
         for leaf, own in tree.reach(queries, radius):
             cols = tree.leaves[leaf]
-            for at in range(0, len(own), 4096):
-                rows = own[at : at + 4096]
-                sets.link(distance(queries[rows][:, None, :], home[cols][None, :, :]) <= radius, rows + base, cols)
-
-    def edges(points: np.ndarray, sets: Joined) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(len(points))
-        roots = sets.roots(every)
-        moved = roots != every
-        return points[every[moved]], points[roots[moved]]
-
-    sets = Joined(len(home))
-    joined(home, 0, sets)
-    yield edges(home, sets)
+            step = max(1, _BLOCK // (len(cols) * home.shape[1]))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
+                # Once a leaf is one group, who belongs to it already has nothing to find there.
+                group = sets.roots(cols)
+                if (group == group[0]).all():
+                    rows = rows[sets.roots(rows + base) != group[0]]
+                if len(rows):
+                    sets.link(distance(queries[rows][:, None, :], home[cols][None, :, :]) <= radius, rows + base, cols)
+
+    def edges(points: np.ndarray, sets: Joined, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        roots = sets.roots(np.arange(len(points)))
+        moved = np.flatnonzero(roots != before)
+        return points[moved], points[roots[moved]]
+
+    own = Joined(len(home))
+    joined(home, 0, own)
+    yield edges(home, own, np.arange(len(home)))
+    known = own.roots(np.arange(len(home)))
     for batch in visits:
         sets = Joined(len(home) + len(batch))
+        sets.up[: len(home)] = known
+        before = sets.up.copy()
         joined(batch, len(home), sets)
-        yield edges(np.concatenate([home, batch]), sets)
+        yield edges(np.concatenate([home, batch]), sets, before)
 
 
 def _pack(points: np.ndarray) -> pa.Array:
@@ -231,9 +248,10 @@ def _unpack(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, width)
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 1, keys: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 1, keys: int = 0, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (binary, highest bit first) and, for ``keys > 0``, keys (array of long) for
-    every row. A text without a word, or null, has fingerprint zero."""
+    every row. A text without a word, or null, has fingerprint zero. ``distinct``: a shingle
+    counts once, however often it is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,9 +260,11 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 1, keys: int
                 least = []
                 for i, text in enumerate(bytes_of(part.column(1))):
                     hashes = shingle_hashes(text or b"", shingle)
+                    if distinct:
+                        hashes = np.unique(hashes)
                     points[i] = fingerprint(hashes, width)
                     if keys:
-                        mixed = [int((hashes * m ^ (hashes * m >> np.uint64(31))).min()) if len(hashes) else 0 for m in _MIX[:keys]]
+                        mixed = [int((x ^ x >> np.uint64(31)).min()) if len(hashes) else 0 for x in (hashes * _odd(k) for k in range(101, 101 + keys))]
                         least.append([(x ^ k) - (1 << 63) for k, x in enumerate(mixed)])
                 arrays = [part.column(0), _pack(points)] + ([pa.array(least, pa.list_(pa.int64()))] if keys else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "keys"][: len(arrays)])
@@ -375,19 +395,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, width
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least id.
 
-    Similarity is that of word shingles as fingerprints of 256 bits tell it: two texts whose
-    shingle counts have the cosine c differ in arccos(c) / pi of the bits, and sets of Jaccard
-    similarity s of like size have c = 2s / (1 + s). The radius lies one standard deviation
+    Similarity is that of sets of word shingles as fingerprints of 1,024 bits tell it: sets with
+    the cosine c differ in arccos(c) / pi of the bits, and sets of Jaccard similarity s have
+    c = 2s / (1 + s) if they are of like size, more if not. The radius lies one standard deviation
     above that, so pairs at exactly ``similarity`` are mostly caught, while unrelated texts
-    differ in half the bits, ten standard deviations away. Rows with equal or null ids are
+    differ in half the bits, twenty standard deviations away. Rows with equal or null ids are
     told apart; texts without a word are one group; all columns are kept.
     """
-    width, keys = 4, 8
+    width, keys = 16, 8
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(64 * width * apart + (64 * width * apart * (1 - apart)) ** 0.5)
     rid = "_boxwood_row"
     rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()))
-    fps = materialise(fingerprints(rows, shingle=shingle, width=width, keys=keys, id_col=rid, text_col=text_col))
+    fps = materialise(fingerprints(rows, shingle=shingle, width=width, keys=keys, distinct=True, id_col=rid, text_col=text_col))
     linked = link_fingerprints(fps, radius=radius, width=width, keys=keys)
     names = rows.select(F.col(rid).alias("doc_id"), F.col(id_col).alias("name"))
     groups = fps.select("doc_id", "fp").join(linked.select("fp", "component"), "fp").join(names, "doc_id")
