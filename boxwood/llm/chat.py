@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Tokens of history and span together; the system turn comes on top.
 BUDGET = 512
@@ -41,18 +41,16 @@ def unescape(text: Column) -> Column:
 
 
 def _with_prefix(turns: DataFrame, step: int) -> DataFrame:
-    """Add pos (from 1), start (tokens before the turn), longs (turns above ``step`` before it)
-    and the conversation's system turn, in two levels: within chunks, then over chunks."""
+    """Add pos (from 1), start (tokens before the turn) and longs (turns above ``step`` before
+    it), in two levels: within chunks, then over chunks."""
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     within = Window.partitionBy("cid", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     row = turns.withColumn("pos", F.count("*").over(within)).withColumn("start", F.sum("tokens").over(within) - F.col("tokens")).withColumn("longs", F.sum(F.col("long").cast("long")).over(within) - F.col("long").cast("long"))
-    first = F.min(F.struct(F.col("turn").isNotNull().alias("k"), "turn", "role", "text"))
-    sums = turns.groupBy("cid", "chunk").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum(F.col("long").cast("long")).alias("l"), first.alias("first"))
+    sums = turns.groupBy("cid", "chunk").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum(F.col("long").cast("long")).alias("l"))
     over = Window.partitionBy("cid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select(F.col("cid").alias("c_cid"), F.col("chunk").alias("c_chunk"), *((F.sum(c).over(over) - F.col(c)).alias(c + "0") for c in "ntl"), F.first("first").over(over).alias("head"))
-    joined = row.join(sums, F.col("cid").eqNullSafe(F.col("c_cid")) & (F.col("chunk") == F.col("c_chunk")))
-    system = F.when(F.col("head.role") == "system", F.struct(F.col("head.role").alias("role"), F.col("head.text").alias("text")))
-    return joined.select("cid", "role", "text", "tokens", "long", (F.col("pos") + F.col("n0")).alias("pos"), (F.col("start") + F.col("t0")).alias("start"), (F.col("longs") + F.col("l0")).alias("longs"), system.alias("system"))
+    sums = sums.select("cid", "chunk", *((F.sum(c).over(over) - F.col(c)).alias(c + "0") for c in "ntl"))
+    joined = row.join(sums, ["cid", "chunk"])
+    return joined.select("cid", "role", "text", "tokens", "long", (F.col("pos") + F.col("n0")).alias("pos"), (F.col("start") + F.col("t0")).alias("start"), (F.col("longs") + F.col("l0")).alias("longs"))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -71,19 +69,24 @@ def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history: i
     """
     step = max(1, (budget - history) // 2)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turns = conversations.select(F.col("conv_id").cast("long").alias("cid"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
+    # A null id is a key like any other, so that plain equality keeps rows where they are.
+    key = F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(""))
+    turns = conversations.select(key.alias("cid"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     turns = turns.withColumn("tokens", TURN_TOKENS + F.ceil(F.length("text") / CHARS_PER_TOKEN)).withColumn("long", F.col("tokens") > step).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))))
-    placed = _with_prefix(turns, step).withColumn("span", F.struct(F.floor(F.col("start") / step).alias("k"), (2 * F.col("longs") + F.col("long").cast("long")).alias("l"))).withColumn("fmt", _turn(F.col("role"), F.col("text")))
-    new = F.sort_array(F.collect_list(F.struct("pos", "fmt", (F.col("role") == "assistant").alias("target"), F.length(escape(F.col("role"), True)).alias("role_length"))))
-    spans = placed.groupBy("cid", "span").agg(F.min("pos").alias("window"), F.min("start").alias("at"), F.first("system").alias("system"), new.alias("new"))
+    placed = _with_prefix(turns, step).withColumn("k", F.floor(F.col("start") / step)).withColumn("l", 2 * F.col("longs") + F.col("long").cast("long")).withColumn("fmt", _turn(F.col("role"), F.col("text")))
+    # Written once, as it is read three times: for the spans, for what repeats, for system turns.
+    placed = materialise(placed.select("cid", "pos", "start", "tokens", "k", "l", "fmt", (F.col("role") == "assistant").alias("target"), F.length(escape(F.col("role"), True)).alias("role_length"), ((F.col("pos") == 1) & (F.col("role") == "system")).alias("system")))
+    new = F.sort_array(F.collect_list(F.struct("pos", "fmt", "target", "role_length")))
+    spans = placed.groupBy("cid", "k", "l").agg(F.min("pos").alias("window"), new.alias("new"))
+    later = materialise(placed.groupBy("cid", "k", "l").agg(F.min("pos").alias("window"), F.min("start").alias("at")).where(F.col("window") > 1).drop("window"))
     # Turns within the history before a span: equal buckets of the history's length, then the range.
-    before = spans.where("at > 0").select(F.col("cid").alias("h_cid"), F.col("window").alias("h_window"), "at", F.explode(F.sequence(F.floor((F.col("at") - history) / history), F.floor(F.col("at") / history))).alias("bucket"))
-    old = placed.where(~((F.col("pos") == 1) & F.col("system").isNotNull())).select("cid", "pos", "fmt", F.col("start").alias("from"), (F.col("start") + F.col("tokens")).alias("to"), F.floor(F.col("start") / max(1, history)).alias("o_bucket"))
-    near = old.join(before, F.col("cid").eqNullSafe(F.col("h_cid")) & (F.col("o_bucket") == F.col("bucket")) & (F.col("from") >= F.col("at") - history) & (F.col("to") <= F.col("at")))
-    repeated = near.groupBy("h_cid", "h_window").agg(F.sort_array(F.collect_list(F.struct("pos", "fmt"))).alias("old"))
-    whole = spans.join(repeated, F.col("cid").eqNullSafe(F.col("h_cid")) & (F.col("window") == F.col("h_window")), "left")
-    kept = F.when((F.col("window") > 1) & F.col("system").isNotNull(), F.array(_turn(F.col("system.role"), F.col("system.text")))).otherwise(F.array().cast("array<string>"))
-    whole = whole.withColumn("repeated", F.concat(kept, F.coalesce(F.col("old.fmt"), F.array().cast("array<string>"))))
+    before = later.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - history) / history), F.floor(F.col("at") / history))))
+    old = placed.where(~F.col("system")).select("cid", "pos", "fmt", F.col("start").alias("from"), (F.col("start") + F.col("tokens")).alias("to"), F.floor(F.col("start") / max(1, history)).alias("bucket"))
+    near = old.join(before, ["cid", "bucket"]).where((F.col("from") >= F.col("at") - history) & (F.col("to") <= F.col("at")))
+    systems = later.join(placed.where("system").select("cid", "pos", "fmt"), "cid")
+    repeated = near.select("cid", "k", "l", "pos", "fmt").unionByName(systems.select("cid", "k", "l", "pos", "fmt"))
+    repeated = repeated.groupBy("cid", "k", "l").agg(F.sort_array(F.collect_list(F.struct("pos", "fmt"))).alias("old"))
+    whole = spans.join(repeated, ["cid", "k", "l"], "left").withColumn("repeated", F.coalesce(F.col("old.fmt"), F.array().cast("array<string>")))
     opening = len(OPEN) + 2  # to the text's first character, without the role
     start = F.struct(F.length(F.array_join("repeated", "")).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("loss"))
 
@@ -93,7 +96,7 @@ def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history: i
         return F.struct((state["at"] + F.length(turn["fmt"])).cast("long").alias("at"), loss.alias("loss"))
 
     return whole.select(
-        F.col("cid").alias("conv_id"),
+        F.when(F.col("cid") != "", F.col("cid")).cast("long").alias("conv_id"),
         "window",
         F.size("repeated").alias("n_repeated"),
         F.concat(F.array_join("repeated", ""), F.array_join("new.fmt", "")).alias("formatted"),
