@@ -46,7 +46,7 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def spans(batch: pa.RecordBatch, column: int, rows: int = 8192, size: int = 20 << 20) -> Iterator[pa.RecordBatch]:
+def spans(batch: pa.RecordBatch, column: int, rows: int = 8192, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """Runs of a batch of at most ``rows`` rows, and of one row or ``size`` bytes of a column."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
     at = 0

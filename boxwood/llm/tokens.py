@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from .common import texts_of
 
 BPE = "byte_bpe_50k.json"
+_RUN = 1 << 18
 #: Texts with other white space than single spaces and line feeds between words.
 _NOT_APART = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x{0b}-\x{0d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUTS = re.compile(r"(?<!\s) (?=\S)|(?<!\s)(?=\n\S)")
@@ -137,10 +138,15 @@ class Encoder:
         """Ids of all parts, and where those of each end."""
         at, starts, lengths, every = self._lookup(parts)
         n = lengths[at]
-        ends = np.cumsum(n, dtype=np.int64)
-        which = np.repeat((starts[at] - ends + n).astype(np.int32), n)
-        which += np.arange(len(which), dtype=np.int32)
-        return every.take(which), ends
+        ends = np.cumsum(n, dtype=np.int32)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=self.dtype)
+        for a in range(0, len(at), _RUN):  # a run at a time bounds what the gathering takes
+            m = n[a : a + _RUN]
+            lo = int(ends[a] - n[a])
+            which = np.repeat(starts[at[a : a + _RUN]] - (ends[a : a + _RUN] - m - lo), m)
+            which += np.arange(len(which), dtype=np.int32)
+            every.take(which, out=out[lo : lo + len(which)], mode="clip")
+        return out, ends
 
     def _encode_apart(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of texts whose words have one space or line feed between them. Each is read
