@@ -10,7 +10,8 @@ components, so a group of copies is never expanded into its pairs.
 With a wide radius those bounds prune nothing, because unrelated fingerprints all lie at about
 half the bits from each other. Then (``keys > 0``) the shards are formed by the least hashes of
 the documents' shingles under several permutations: documents of similarity s share at least one
-of k keys with probability 1 - (1 - s)^k, and the trees work within these shards.
+of k keys with probability 1 - (1 - s)^k, and the trees work within these shards. ``keep_one``
+takes the links found there as candidates only, and decides by the sets of shingles themselves.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAF = 96
 _CHUNK = 65_536
 #: Fingerprint words compared at once, which bounds memory.
 _BLOCK = 4_000_000
+#: Shingles at home in one cell of a group of candidates, and of visitors held at once.
+SETS = 1 << 21
 
 
 def _odd(k: int) -> np.uint64:
@@ -251,26 +254,35 @@ def _unpack(column: pa.Array, width: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 1, keys: int = 0, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (binary, highest bit first) and, for ``keys > 0``, keys (array of long) for
     every row. A text without a word, or null, has fingerprint zero. ``distinct``: a shingle
-    counts once, however often it is repeated."""
+    counts once, however often it is repeated; then also digest (16 bytes) and size (long) of
+    the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
             for part in slices(batch, 1024):
                 points = np.zeros((part.num_rows, width), dtype=np.uint64)
-                least = []
+                least, digests, sizes = [], [], []
                 for i, text in enumerate(bytes_of(part.column(1))):
                     hashes = shingle_hashes(text or b"", shingle)
                     if distinct:
                         hashes = np.unique(hashes)
+                        digests.append(xxh3_128_digest(hashes.astype("<u8", copy=False).tobytes()))
+                        sizes.append(len(hashes))
                     points[i] = fingerprint(hashes, width)
                     if keys:
                         mixed = [int((x ^ x >> np.uint64(31)).min()) if len(hashes) else 0 for x in (hashes * _odd(k) for k in range(101, 101 + keys))]
                         least.append([(x ^ k) - (1 << 63) for k, x in enumerate(mixed)])
-                arrays = [part.column(0), _pack(points)] + ([pa.array(least, pa.list_(pa.int64()))] if keys else [])
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "keys"][: len(arrays)])
+                columns = {"doc_id": part.column(0), "fp": _pack(points)}
+                if keys:
+                    columns["keys"] = pa.array(least, pa.list_(pa.int64()))
+                if distinct:
+                    columns |= {"digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp binary" + (", keys array<long>" if keys else ""))
+    return own.mapInArrow(run, "doc_id long, fp binary" + (", keys array<long>" if keys else "") + (", digest binary, size long" if distinct else ""))
 
 
 def _deal_by_tree(points: DataFrame, n: int, radius: int, width: int) -> DataFrame:
@@ -392,25 +404,154 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, width
     return fps.select("doc_id", "fp").join(linked, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Sets:
+    """Sets of hashes at home in a cell, whose overlaps with one other set are counted at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        self.known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.codes = codes.astype(np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mark = np.zeros(len(self.known), dtype=bool)
+
+    def similar(self, hashes: np.ndarray, cols: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the exact Jaccard similarity to each of some sets is ``similarity`` or more."""
+        at = np.searchsorted(self.known, hashes)
+        at = at[self.known[np.minimum(at, len(self.known) - 1)] == hashes]
+        self.mark[at] = True
+        sizes = self.sizes[cols]
+        before = np.cumsum(sizes) - sizes
+        hit = self.mark[self.codes[np.repeat(self.starts[cols] - before, sizes) + np.arange(sizes.sum())]]
+        both = np.add.reduceat(hit, before, dtype=np.int64)
+        self.mark[at] = False
+        # A quotient of whole numbers, so that 4 of 5 is 0.8 and not a hair less.
+        return both / (sizes + len(hashes) - both) >= similarity
+
+
+def similar_within(home: tuple[np.ndarray, list[np.ndarray]], visits: Iterator[tuple[np.ndarray, list[np.ndarray]]], radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a cell of (fingerprints, sets), as positions among those at home and then one
+    batch of visitors: joined by them are all pairs that are within the radius and similar.
+
+    No set is empty. Pairs that are joined already aren't compared, whatever their similarity.
+    """
+    points, own = home
+    sets = Sets(own)
+    joined = Joined(len(own))
+
+    def link(queries: np.ndarray, hashes: list[np.ndarray], base: int, joined: Joined) -> None:
+        sizes = np.array([len(x) for x in hashes])
+        step = max(1, _BLOCK // (len(own) * points.shape[1]))
+        for at in range(0, len(hashes), step):
+            rows = np.arange(at, min(at + step, len(hashes)))
+            near = distance(queries[rows][:, None, :], points[None, :, :]) <= radius
+            near &= np.minimum(sizes[rows][:, None], sets.sizes) >= similarity * (1 - 1e-9) * np.maximum(sizes[rows][:, None], sets.sizes)
+            if not base:
+                near &= rows[:, None] > np.arange(len(own))[None, :]
+            for row, cols in zip(rows.tolist(), map(np.flatnonzero, near), strict=True):
+                # One of each group first: mostly that joins the rest of it.
+                for one in (True, False):
+                    roots = joined.roots(cols)
+                    keep = roots != joined.roots(np.array([row + base]))[0]
+                    cols, roots = cols[keep], roots[keep]
+                    if not len(cols):
+                        break
+                    tried = cols[np.unique(roots, return_index=True)[1]] if one else cols
+                    for col in tried[sets.similar(hashes[row], tried, similarity)].tolist():
+                        joined.union(row + base, col)
+
+    def moved(joined: Joined, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        roots = joined.roots(np.arange(len(before)))
+        at = np.flatnonzero(roots != before)
+        return at, roots[at]
+
+    link(points, own, 0, joined)
+    yield moved(joined, np.arange(len(own)))
+    known = joined.roots(np.arange(len(own)))
+    for queries, hashes in visits:
+        both = Joined(len(own) + len(hashes))
+        both.up[: len(own)] = known
+        before = both.up.copy()
+        link(queries, hashes, len(own), both)
+        yield moved(both, before)
+
+
+def _similar_edges(rows: DataFrame, shingle: int, radius: int, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between ids of similar texts of one shard. ``rows``: shard, cell, home, id,
+    fp, text; as for fingerprints, who isn't at home in a cell visits it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {True: ([], [], []), False: ([], [], [])}
+        waiting, found = 0, []
+
+        def work() -> None:
+            """Those at home among each other once, and the visitors that wait."""
+            nonlocal held, waiting
+            ids, points, sets = held[True]
+            there, others = (held[False][0], (np.concatenate(held[False][1]), held[False][2])) if held[False][0] else ([], None)
+            if sets:
+                names = np.array(ids + there, dtype=np.int64)
+                for a, b in similar_within((np.concatenate(points), sets), iter([others] if others else []), radius, similarity):
+                    found.append((names[a], names[b]))
+            held[False], waiting = ([], [], []), 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal found
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            found = []
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for part in slices(batch, 256):
+                points = _unpack(part.column(4), width)
+                for i, (shard, cell, home, name, text) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)), bytes_of(part.column(5)), strict=True)):
+                    if (shard, cell) != at:
+                        work()
+                        at, held = (shard, cell), {True: ([], [], []), False: ([], [], [])}
+                    hashes = np.unique(shingle_hashes(text or b"", shingle))
+                    for column, x in zip(held[home], (name, points[i : i + 1], hashes), strict=True):
+                        column.append(x)
+                    waiting += 0 if home else len(hashes)
+                    if waiting >= SETS:
+                        work()
+            yield emit()
+        work()
+        yield emit()
+
+    dealt = rows.select("shard", "cell", "home", "id", "fp", "text").repartition("shard", "cell")
+    return dealt.sortWithinPartitions("shard", "cell", F.desc("home"), "id").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cell: int = SETS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least id.
 
-    Similarity is that of sets of word shingles as fingerprints of 1,024 bits tell it: sets with
-    the cosine c differ in arccos(c) / pi of the bits, and sets of Jaccard similarity s have
-    c = 2s / (1 + s) if they are of like size, more if not. The radius lies one standard deviation
-    above that, so pairs at exactly ``similarity`` are mostly caught, while unrelated texts
-    differ in half the bits, twenty standard deviations away. Rows with equal or null ids are
-    told apart; texts without a word are one group; all columns are kept.
+    A group is linked by pairs whose sets of word shingles have a Jaccard similarity of
+    ``similarity`` or more, counted exactly. Candidates are those that share one of eight least
+    hashes and whose fingerprints of 1,024 bits are near: sets with the cosine c differ in
+    arccos(c) / pi of the bits, 155 at similarity 0.8; sets of 4 and 5 shingles, the worst case
+    there, in 192, as even counts round ties to 0. The radius lies six standard deviations above
+    that. Groups of candidates are found first, then the texts of each meet once and are
+    compared; ``cell`` is the number of shingles at home in one place of a large one.
+
+    Rows with equal or null ids are told apart; texts without a word are one group; all columns
+    are kept.
     """
     width, keys = 16, 8
-    apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(64 * width * apart + (64 * width * apart * (1 - apart)) ** 0.5)
+    apart = max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 3 / 16)
+    radius = int(64 * width * apart + 6 * (64 * width * apart * (1 - apart)) ** 0.5)
     rid = "_boxwood_row"
     rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()))
     fps = materialise(fingerprints(rows, shingle=shingle, width=width, keys=keys, distinct=True, id_col=rid, text_col=text_col))
-    linked = link_fingerprints(fps, radius=radius, width=width, keys=keys)
+    near = link_fingerprints(fps, radius=radius, width=width, keys=keys).select("fp", F.col("low").alias("shard"))
+    # Equal sets are one; of those that have candidates the first one's text is read.
+    sets = materialise(fps.join(near, "fp").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("shard").alias("shard"), F.first("size").alias("size")))
+    shards = sets.where("size > 0").groupBy("shard").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / cell).cast("int").alias("cells")).where("n > 1").drop("n")
+    dealt = sets.join(shards, "shard").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("cell", F.explode(F.sequence("own", F.col("cells") - 1)))
+    dealt = dealt.select("shard", "cell", (F.col("cell") == F.col("own")).alias("home"), "id", "fp")
+    texts = rows.select(F.col(rid).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = connected_components(_similar_edges(dealt.join(texts, "id"), shingle, radius, width, similarity)).withColumnRenamed("node", "id")
+    owners = sets.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     names = rows.select(F.col(rid).alias("doc_id"), F.col(id_col).alias("name"))
-    groups = fps.select("doc_id", "fp").join(linked.select("fp", "component"), "fp").join(names, "doc_id")
+    groups = fps.select("doc_id", "digest").join(owners, "digest").join(names, "doc_id")
     kept = groups.groupBy("component").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", "doc_id")).alias("least")).select(F.col("least.doc_id").alias(rid))
     return rows.join(kept, rid, "left_semi").drop(rid)
 

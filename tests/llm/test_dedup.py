@@ -138,6 +138,34 @@ def test_keep_one_takes_every_case(spark):
     assert simhash.keep_one(empty(docs)).count() == 0
 
 
+def brute_kept(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity]
+    return sorted(set(brute_components(len(texts), links)))
+
+
+@pytest.mark.parametrize("cell", [simhash.SETS, 300])
+def test_keep_one_decides_at_the_similarity_exactly(spark, cell):
+    """Pairs of 4/5, 5/6 and 6/7 shingles are linked; of 100 shingles, those from 0.8 on and no others."""
+    r, texts = random.Random(7), []
+    for _ in range(30):
+        for n in (9, 10, 11):
+            words = corpus(r, 1)[0].split()[:n]
+            texts += [" ".join(words), " ".join(words[:-1])]
+    for _ in range(25):
+        for gone in (17, 18, 19, 20, 21, 22, 23, 24, 26):  # Jaccard (100 - gone) / 100
+            words = corpus(r, 1)[0].split()[:104]
+            texts += [" ".join(words), " ".join(words[: 104 - gone])]
+    for _ in range(3):  # chains: neighbours at 19/21, so that ends are far apart
+        words = corpus(r, 1)[0].split()
+        texts += [" ".join(words[at : at + 24]) for at in range(0, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs, cell=cell).collect()) == brute_kept(texts)
+
+
 VECTORS = [
     (0, [1.0, 2.0]), (100, [-1.0, 0.5]), (200, None), (300, [1.0, None]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [0.0, 0.0]), (4, [1.0, 2.0]),
     (5, [1.0, 2.0]), (None, [1.0, 2.0]), (400, [0.0, 0.0]), (6, [-3.0, 0.25]), (7, [1.0, 2.0001]), (0, [1.0, 2.0]), (8, []),
