@@ -101,7 +101,8 @@ def _order(seed: int) -> Column:
 
 
 def _schedule(sums: DataFrame, mixture: Mixture, block_tokens: int, seed: int) -> DataFrame:
-    """(source, bucket, pass, block): which buckets each pass takes, and into which block.
+    """(source, bucket, pass, weight, block, begin, end): which buckets each pass takes, into
+    which block, and where in the run of blocks they begin and end.
 
     ``sums``: tokens of (source, bucket), at most BUCKETS rows a source; so are all windows'
     groups, times the passes.
@@ -117,7 +118,9 @@ def _schedule(sums: DataFrame, mixture: Mixture, block_tokens: int, seed: int) -
     part = F.least(F.lit(1.0), F.col("passes") - F.col("pass"))
     due = due.where((part >= 1) | (F.col("before") + F.col("tokens") / 2 <= part * F.col("total")))
     at = F.col("pass") * F.col("total") + F.col("before")
-    return due.select("source", "bucket", "pass", "weight", F.floor(at / F.greatest(F.lit(1.0), F.col("weight") * block_tokens)).cast("long").alias("block"))
+    per_block = F.greatest(F.lit(1.0), F.col("weight") * block_tokens)
+    # Where the bucket begins and ends, in blocks.
+    return due.select("source", "bucket", "pass", "weight", F.floor(at / per_block).cast("long").alias("block"), (at / per_block).alias("begin"), ((at + F.col("tokens")) / per_block).alias("end"))
 
 
 def schedule(docs: DataFrame, *, budget: int | None = None, entropy: float | None = None, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Mixture, DataFrame]:
@@ -126,25 +129,33 @@ def schedule(docs: DataFrame, *, budget: int | None = None, entropy: float | Non
     sums = materialise(own.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")))
     sizes = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     if not sizes:
-        return Mixture(1.0, {}, {}, {}), sums.select("source", "bucket", F.lit(0).alias("pass"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("block"))
+        return Mixture(1.0, {}, {}, {}), sums.select("source", "bucket", F.lit(0).alias("pass"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("begin"), F.lit(0.0).alias("end"))
     mixture = plan(sizes, budget=budget, entropy=entropy, max_repeats=max_repeats)
     return mixture, materialise(_schedule(sums, mixture, block_tokens, seed))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """All columns of ``docs``, every row as often as its source's passes take it.
+    """All columns of ``docs``, every row as often as its source's passes take it, in the order
+    of the schedule: partitions and the rows in them follow the blocks.
+
+    In a block, rows lie where their pass puts their bucket, and a bucket's rows are dealt over
+    its span by hash, so that runs of rows shorter than a block hold the sources in their
+    weights too; a row's copies are about a pass of its source apart.
 
     See ``schedule`` for the parameters. A null source is a source of its own, a null text is
     one token; equal rows and ids are rows of their own; an empty table stays empty.
     """
     id_col, text_col, source_col = (how.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     _, taken = schedule(docs, **how)
-    times = materialise(taken.groupBy("source", "bucket").agg(F.count("*").cast("int").alias("_boxwood_times")).select(F.col("source").alias("_boxwood_source"), F.col("bucket").alias("_boxwood_bucket"), "_boxwood_times"))
+    taken = taken.select(*(F.col(c).alias(f"_boxwood_{c}") for c in ("source", "bucket", "pass", "block", "begin", "end")))
     same = F.col(source_col).cast("string").eqNullSafe(F.col("_boxwood_source")) & (_bucket(id_col, text_col) == F.col("_boxwood_bucket"))
-    # A (source, bucket) row is some 40 bytes: up to a thousand sources they are broadcast, beyond they are joined by a shuffle.
-    few = times.count() <= 1000 * BUCKETS
-    joined = docs.join(F.broadcast(times) if few else times, same)
-    return joined.withColumn("_boxwood_copy", F.explode(F.sequence(F.lit(1), F.col("_boxwood_times")))).select(*(docs[c] for c in docs.columns))
+    # A row of the schedule is some 60 bytes: up to half a million they are broadcast, beyond they are joined by a shuffle.
+    few = taken.count() <= 500 * BUCKETS
+    joined = docs.join(F.broadcast(taken) if few else taken, same)
+    share = F.pmod(F.xxhash64(F.lit(how.get("seed", 0)), "_boxwood_pass", F.col(id_col).cast("string"), text_col), F.lit(1 << 20)) / (1 << 20)
+    placed = joined.withColumn("_boxwood_at", F.col("_boxwood_begin") + share * (F.col("_boxwood_end") - F.col("_boxwood_begin")))
+    dealt = placed.repartitionByRange("_boxwood_block", "_boxwood_at").sortWithinPartitions("_boxwood_block", "_boxwood_at")
+    return dealt.select(*(docs[c] for c in docs.columns))
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

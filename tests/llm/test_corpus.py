@@ -127,6 +127,27 @@ def test_mixing_takes_every_case(spark):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixed_rows_follow_the_blocks(spark):
+    """Of input sorted by source, every run of rows holds the sources in their weights, copies
+    lie apart."""
+    rows = [(i, f"word {i} and so on", "b" if i < 1_000 else "a") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixture, taken = mixing.schedule(docs, block_tokens=5_000)
+    assert mixture.passes["b"] == pytest.approx(2.0)
+    mixed = [r["doc_id"] for r in mixing.mix(docs, block_tokens=5_000).collect()]
+    for at in range(0, len(mixed) - 500, 500):
+        assert sum(i < 1_000 for i in mixed[at : at + 500]) / 500 == pytest.approx(mixture.weights["b"], rel=0.4)
+    places = defaultdict(list)
+    for at, i in enumerate(mixed):
+        places[i].append(at)
+    gaps = [p[1] - p[0] for p in places.values() if len(p) == 2]
+    assert len(gaps) > 900 and sum(g < 50 for g in gaps) < 10
+    bucket = {r["doc_id"]: r["bucket"] for r in docs.select("doc_id", mixing._bucket("doc_id", "text").alias("bucket")).collect()}
+    blocks = {(r["source"], r["bucket"], r["pass"]): r["block"] for r in taken.collect()}
+    got = [blocks["b" if i < 1_000 else "a", bucket[i], places[i].index(at)] for at, i in enumerate(mixed)]
+    assert got == sorted(got) and len(set(got)) > 5
+
+
 def test_mixing_query(spark, small):
     docs = common.table(spark, small, "documents").collect()
     rows = mixing.op6_temperature_mixing(spark, small).collect()
