@@ -4,7 +4,8 @@ A byte-level BPE first splits a text by a pattern in which a single space betwee
 characters that aren't white space always begins a new piece, and a single line feed there is a
 piece of its own. So a text may be cut before each such isolated space or line feed, the parts
 encoded by the library on their own, and the ids joined: the result equals encoding the whole
-text. Parts repeat: each worker remembers a bounded number of them as one Arrow column, in which
+text. A text that holds an added token is encoded whole, as the library splits by those before
+all else. Parts repeat: each worker remembers a bounded number of them as one Arrow column, in which
 a batch looks its parts up, and their ids as one array.
 """
 
@@ -33,7 +34,8 @@ def cut(text: str) -> list[str]:
 
 
 class Encoder:
-    """Whole texts to ids, without special tokens; a null text has no ids.
+    """Whole texts to ids, as the library encodes them with add_special_tokens=False: an added
+    token that a text holds is one id, and none is added. A null text has no ids.
 
     ``name``: file of the public tokenizers, or a path. ``remember``: parts kept at most; one
     takes some thirty bytes.
@@ -47,7 +49,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens, which the library finds in a text before it is split.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._holds_added = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remember = remember
         space, feed = (self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " \n")
@@ -126,7 +130,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each of some texts, whatever their white space."""
-        parts = [cut(t) if t else [""] for t in texts]
+        parts = [[t or ""] if not t or self._holds_added.search(t) else cut(t) for t in texts]
         heads = self._raw([p[0] for p in parts])
         rest = [p[1:] for p in parts]
         flat, ends = self._flat(pa.array(list(chain.from_iterable(rest)), pa.string()))
@@ -162,6 +166,8 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         try:
             apart = pc.invert(pc.match_substring_regex(texts, _NOT_APART))
+            for token in self.added:
+                apart = pc.and_not(apart, pc.match_substring(texts, token))
             own = texts.filter(apart)
             quick = iter(self._encode_apart(own))
         except (pa.ArrowInvalid, UnicodeDecodeError):  # bytes that aren't UTF-8

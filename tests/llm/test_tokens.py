@@ -27,6 +27,20 @@ def test_encoding_equals_the_library(texts):
     assert [x.tolist() for x in enc.ids(pa.array(texts, pa.string()))] == want
 
 
+def test_added_tokens_are_found_as_the_library_finds_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a\n<|endoftext|>\nb c", "x<|endoftext|><|endoftext|> y,", "a <|endoftext|  > b", "<|endoftext|>\t  z <|endo ftext|>", "no such token\nhere", "", None]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in Encoder().ids(pa.array(texts, pa.string()))] == want
+    assert [x.tolist() for x in Encoder().encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(docs).collect()} == {i: [*ids, 0] for i, ids in enumerate(want)}
+
+
 def test_encoding_with_a_full_memory_is_the_same():
     small, r = Encoder(remember=5), random.Random(0)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
