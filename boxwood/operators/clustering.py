@@ -1,41 +1,70 @@
-"""Clustering of small tables: average linkage, sweeps, silhouettes, stability, density, topics.
+"""Clustering of one group's vectors: average linkage, sweeps, silhouettes, stability, density, topics.
 
-These work on the vectors of one group at a time, a few thousand at most (cluster centroids, the
-members of one category); larger tables go through an index first.
+Up to ``MOST`` vectors are clustered as they are. More are first dealt to ``MOST`` micro-clusters,
+each of the vectors nearest to one of as many leaders; these are clustered with their weights, and
+every vector takes its micro-cluster's label. The mean cosine distance between two sets of unit
+vectors is 1 less the product of their mean vectors, so linkage between micro-clusters is exact.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 
-MOST = 5_000
+MOST = 6_000
+#: Vectors up to which distances are held in double precision.
+_DOUBLE = 4_000
+#: Distances computed at once where not all are held.
+_BLOCK = 4_000_000
 
 
-def _checked(x: np.ndarray) -> np.ndarray:
-    if len(x) > MOST:
-        raise ValueError(f"{len(x)} vectors in one group; at most {MOST} are clustered together")
-    return x
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def cosine_distances(x: np.ndarray) -> np.ndarray:
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = np.clip(1 - u @ u.T, 0, 2)
+def _distances(u: np.ndarray) -> np.ndarray:
+    d = u @ u.T
+    np.subtract(1, d, out=d)
+    np.clip(d, 0, 2, out=d)
     np.fill_diagonal(d, 0)
     return d
 
 
-def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels from agglomeration by mean cosine distance, up to ``threshold``.
+def cosine_distances(x: np.ndarray) -> np.ndarray:
+    return _distances(unit_rows(x))
+
+
+def micro_clusters(u: np.ndarray, most: int | None = None, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """(micro-cluster of each unit vector or None if each is its own, mean vectors, weights)."""
+    most = most or MOST
+    if len(u) <= most:
+        return None, u, np.ones(len(u))
+    leaders = u[np.sort(np.random.default_rng(seed).choice(len(u), most, replace=False))]
+    step = max(1, _BLOCK // most)
+    own = np.concatenate([(u[at : at + step] @ leaders.T).argmax(axis=1) for at in range(0, len(u), step)])
+    _, own, weights = np.unique(own, return_inverse=True, return_counts=True)
+    return own, _sums(u, own, len(weights)) / weights[:, None], weights.astype(float)
+
 
-    Nearest-neighbour chains with Lance-Williams updates: quadratic. Labels are numbered by the
-    first member.
+def _sums(x: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each label's rows; labels 0 .. n - 1 all have some."""
+    order = np.argsort(labels, kind="stable")
+    starts = np.searchsorted(labels[order], np.arange(n))
+    return np.add.reduceat(x[order], starts, axis=0)
+
+
+def _merges(means: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+    """(height, kept, gone) of each merge up to ``threshold``, by average linkage.
+
+    Nearest-neighbour chains with Lance-Williams updates: quadratic.
     """
-    d = cosine_distances(_checked(x)).astype(float)
+    d = _distances(means.astype(np.float64 if len(means) <= _DOUBLE else np.float32))
     n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, dtype=bool)
-    up = np.arange(n)
+    size, alive = weights.astype(float), np.ones(n, dtype=bool)
     chain: list[int] = []
+    out: list[tuple[float, int, int]] = []
     while alive.sum() > 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -61,47 +90,73 @@ def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
             alive[a] = alive[b] = False
             continue
         keep, gone = min(a, b), max(a, b)
+        out.append((float(d[a, b]), keep, gone))
         merged = (size[keep] * d[keep] + size[gone] * d[gone]) / (size[keep] + size[gone])
         d[keep], d[:, keep] = merged, merged
         d[keep, keep] = np.inf
         size[keep] += size[gone]
         alive[gone] = False
-        up[gone] = keep
-    roots = np.arange(n)
-    for i in range(n):
-        r = i
-        while up[r] != r:
-            r = up[r]
-        roots[i] = r
-    _, first = np.unique(roots, return_index=True)
-    order = {roots[i]: k for k, i in enumerate(sorted(first))}
-    return np.array([order[r] for r in roots], dtype=int)
+    return out
+
+
+def _numbered(labels: np.ndarray) -> np.ndarray:
+    """Labels numbered by the first member."""
+    _, first, own = np.unique(labels, return_index=True, return_inverse=True)
+    place = np.empty(len(first), dtype=int)
+    place[np.argsort(first)] = np.arange(len(first))
+    return place[own]
+
+
+def linkage_labels(x: np.ndarray, thresholds: list[float]) -> list[np.ndarray]:
+    """Labels from agglomeration by mean cosine distance, up to each of some thresholds."""
+    if not len(x):
+        return [np.zeros(0, dtype=int) for _ in thresholds]
+    own, means, weights = micro_clusters(unit_rows(x))
+    merges, found = _merges(means, weights, max(thresholds)), []
+    for t in thresholds:
+        up = np.arange(len(means))
+        for height, keep, gone in merges:
+            if height <= t:
+                up[gone] = keep
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        found.append(_numbered(up if own is None else up[own]))
+    return found
+
+
+def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels from agglomeration by mean cosine distance, up to ``threshold``, numbered by the
+    first member."""
+    return linkage_labels(x, [threshold])[0]
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette by cosine distance; a lone member has 0; 0 for fewer than two clusters."""
-    kinds = np.unique(labels)
+    """Mean silhouette by cosine distance; a lone member has 0; 0 for fewer than two clusters.
+
+    Distances to a cluster add up to its size less the product with its sum of unit vectors, so
+    it is exact for any number of vectors.
+    """
+    kinds, own, sizes = np.unique(labels, return_inverse=True, return_counts=True)
     if len(kinds) < 2 or len(kinds) >= len(x):
         return 0.0
-    d = cosine_distances(_checked(x))
-    member = labels[:, None] == kinds[None, :]
-    sums, sizes = d @ member, member.sum(axis=0)
-    own = member.argmax(axis=1)
-    at = np.arange(len(x))
-    a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-    means = np.where(member, np.inf, sums / sizes)
-    b = means.min(axis=1)
-    s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)
-    return float(s.mean())
+    u = unit_rows(np.asarray(x, dtype=float))
+    sums, total, step = _sums(u, own, len(kinds)), 0.0, max(1, _BLOCK // len(kinds))
+    for at in range(0, len(u), step):
+        part, mine = u[at : at + step], own[at : at + step]
+        rows, held = np.arange(len(part)), sizes[mine]
+        far = sizes - part @ sums.T
+        # Of its own distances, that to itself is none, whatever the vector's length.
+        a = np.maximum(far[rows, mine] - (1 - (part * part).sum(axis=1)), 0) / np.maximum(held - 1, 1)
+        far /= sizes
+        far[rows, mine] = np.inf
+        b = np.maximum(far.min(axis=1), 0)
+        total += float(np.where(held > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum())
+    return total / len(u)
 
 
 def sweep(x: np.ndarray, thresholds: list[float]) -> list[tuple[float, int, float]]:
     """(threshold, clusters, silhouette) for each threshold."""
-    out = []
-    for t in thresholds:
-        labels = average_linkage(x, t)
-        out.append((t, int(labels.max()) + 1 if len(labels) else 0, silhouette(x, labels)))
-    return out
+    return [(t, int(labels.max()) + 1 if len(labels) else 0, silhouette(x, labels)) for t, labels in zip(thresholds, linkage_labels(x, thresholds), strict=True)]
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
@@ -142,7 +197,7 @@ def hierarchy(x: np.ndarray, threshold: float, levels: int = 3, step: float = 0.
         n = labels.max() + 1
         if n < 2:
             break
-        centers = np.stack([x[labels == i].mean(axis=0) for i in range(n)])
+        centers = _sums(x, labels, n) / np.bincount(labels)[:, None]
         above = average_linkage(centers, threshold + k * step)
         if above.max() + 1 == n:
             break
@@ -152,19 +207,24 @@ def hierarchy(x: np.ndarray, threshold: float, levels: int = 3, step: float = 0.
 
 def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 5) -> np.ndarray:
     """HDBSCAN with excess of mass on cosine distances; noise is -1."""
-    d = cosine_distances(_checked(x))
+    if len(x) < 2 * least:
+        return np.full(len(x), -1)
+    own, means, weights = micro_clusters(unit_rows(x))
+    d = cosine_distances(means.astype(np.float64 if len(means) <= _DOUBLE else np.float32))
     n = len(d)
-    if n < 2 * least:
-        return np.full(n, -1)
-    core = np.sort(d, axis=1)[:, min(neighbours, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    # Where a row has met itself and its neighbours, by weight.
+    core = np.empty(n)
+    for i in range(n):
+        order = np.argsort(d[i], kind="stable")
+        core[i] = d[i, order[min(int(np.searchsorted(np.cumsum(weights[order]), neighbours + 1)), n - 1)]]
     # Minimum spanning tree (Prim), then single linkage from short to long edges.
     inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
     edges, at = [], 0
     inside[0] = True
     for _ in range(n - 1):
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
+        reach = np.maximum(d[at], np.maximum(core[at], core))
+        closer = ~inside & (reach < best)
+        best[closer], link[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], link[at], at))
         inside[at] = True
@@ -178,7 +238,7 @@ def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 5) -> np.n
         return i
 
     kids: dict[int, tuple[int, int, float]] = {}
-    sizes = {i: 1 for i in range(n)}
+    sizes = dict(enumerate(weights.astype(int).tolist()))
     for k, (w, a, b) in enumerate(edges):
         ra, rb = root(a), root(b)
         node = n + k
@@ -187,6 +247,9 @@ def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 5) -> np.n
         up[rb] = ra
         node_of[ra] = node
 
+    # Clusters may be split off one at a time, so condensing may go as deep as there are any.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * n + 1_000))
+
     def leaves(node: int) -> list[int]:
         out, todo = [], [node]
         while todo:
@@ -232,7 +295,7 @@ def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 5) -> np.n
     labels = np.full(n, -1)
     for k, node in enumerate(sorted(chosen, key=lambda c: min(leaves(c)))):
         labels[leaves(node)] = k
-    return labels
+    return labels if own is None else labels[own]
 
 
 def nmf(v: np.ndarray, k: int, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

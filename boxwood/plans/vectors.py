@@ -87,66 +87,66 @@ def expansion_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("own <> label").join(vectors.small(floors), "label").groupBy("label").agg(F.count("*").alias("candidates"), F.count_if(F.col("similarity") >= F.col("floor")).alias("expand"))
 
 
-def _per_label(spark: SparkSession, sf_dir: str, f, schema: str, pieces: int = 8) -> DataFrame:
-    """Run a function on the vectors of every (label, piece): pieces bound what one task holds."""
+def _per_label(spark: SparkSession, sf_dir: str, f, schema: str) -> DataFrame:
+    """Run a function on all vectors of every label: one task holds a label's, and clustering
+    bounds the distances that it holds."""
     rows = vectors.units(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    n = rows.count()
-    pieces = max(pieces, n // 2000)
-    return rows.withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).cast("int")).groupBy("label", "piece").applyInArrow(f, schema)
+    return rows.groupBy("label").applyInArrow(f, schema)
 
 
-def _unpack(t: pa.Table) -> tuple[int, int, np.ndarray, np.ndarray]:
+def _unpack(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     order = np.argsort(t.column("vec_id").to_numpy())
-    x = np.stack(t.column("v").to_numpy(zero_copy_only=False))[order]
-    return t.column("label")[0].as_py(), t.column("piece")[0].as_py(), t.column("vec_id").to_numpy()[order], x
+    v = t.column("v").combine_chunks()
+    x = v.flatten().to_numpy().reshape(len(v), -1)[order]
+    return t.column("label")[0].as_py(), t.column("vec_id").to_numpy()[order], x
 
 
 @query("agglomerative")
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        label, piece, ids, x = _unpack(t)
-        return pa.table({"label": pa.array([label] * len(ids), pa.int32()), "piece": pa.array([piece] * len(ids), pa.int32()), "vec_id": ids, "cluster": clustering.average_linkage(x, 0.35).astype(np.int64)})
+        label, ids, x = _unpack(t)
+        return pa.table({"label": pa.array([label] * len(ids), pa.int32()), "vec_id": ids, "cluster": clustering.average_linkage(x, 0.35).astype(np.int64)})
 
-    return _per_label(spark, sf_dir, run, "label int, piece int, vec_id long, cluster long")
+    return _per_label(spark, sf_dir, run, "label int, vec_id long, cluster long")
 
 
 @query("threshold_sweep")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        label, piece, _, x = _unpack(t)
+        label, _, x = _unpack(t)
         found = clustering.sweep(x, [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5])
-        return pa.table({"label": pa.array([label] * len(found), pa.int32()), "piece": pa.array([piece] * len(found), pa.int32()), "threshold": [f[0] for f in found], "clusters": [f[1] for f in found], "silhouette": [round(f[2], 6) for f in found]})
+        return pa.table({"label": pa.array([label] * len(found), pa.int32()), "threshold": [f[0] for f in found], "clusters": [f[1] for f in found], "silhouette": [round(f[2], 6) for f in found]})
 
-    return _per_label(spark, sf_dir, run, "label int, piece int, threshold double, clusters long, silhouette double")
+    return _per_label(spark, sf_dir, run, "label int, threshold double, clusters long, silhouette double")
 
 
 @query("cluster_hierarchy")
 def cluster_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        label, piece, ids, x = _unpack(t)
-        rows = [(label, piece, int(i), k, int(c)) for k, level in enumerate(clustering.hierarchy(x, 0.6)) for i, c in zip(ids, level, strict=True)]
+        label, ids, x = _unpack(t)
+        rows = [(label, int(i), k, int(c)) for k, level in enumerate(clustering.hierarchy(x, 0.6)) for i, c in zip(ids, level, strict=True)]
         cols = list(zip(*rows, strict=True))
-        return pa.table({"label": pa.array(cols[0], pa.int32()), "piece": pa.array(cols[1], pa.int32()), "vec_id": pa.array(cols[2]), "level": pa.array(cols[3], pa.int32()), "cluster": pa.array(cols[4])})
+        return pa.table({"label": pa.array(cols[0], pa.int32()), "vec_id": pa.array(cols[1]), "level": pa.array(cols[2], pa.int32()), "cluster": pa.array(cols[3])})
 
-    return _per_label(spark, sf_dir, run, "label int, piece int, vec_id long, level int, cluster long")
+    return _per_label(spark, sf_dir, run, "label int, vec_id long, level int, cluster long")
 
 
 @query("split_stability")
 def split_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        label, piece, _, x = _unpack(t)
-        return pa.table({"label": pa.array([label], pa.int32()), "piece": pa.array([piece], pa.int32()), "stability": [round(clustering.split_stability(x, 0.6, repeats=4), 6)], "bootstrap_p10": [round(clustering.bootstrap_p10(x @ x.mean(axis=0)), 6)]})
+        label, _, x = _unpack(t)
+        return pa.table({"label": pa.array([label], pa.int32()), "stability": [round(clustering.split_stability(x, 0.6, repeats=4), 6)], "bootstrap_p10": [round(clustering.bootstrap_p10(x @ x.mean(axis=0)), 6)]})
 
-    return _per_label(spark, sf_dir, run, "label int, piece int, stability double, bootstrap_p10 double")
+    return _per_label(spark, sf_dir, run, "label int, stability double, bootstrap_p10 double")
 
 
 @query("density_clusters")
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        label, piece, ids, x = _unpack(t)
-        return pa.table({"label": pa.array([label] * len(ids), pa.int32()), "piece": pa.array([piece] * len(ids), pa.int32()), "vec_id": ids, "cluster": clustering.density_clusters(x).astype(np.int64)})
+        label, ids, x = _unpack(t)
+        return pa.table({"label": pa.array([label] * len(ids), pa.int32()), "vec_id": ids, "cluster": clustering.density_clusters(x).astype(np.int64)})
 
-    return _per_label(spark, sf_dir, run, "label int, piece int, vec_id long, cluster long")
+    return _per_label(spark, sf_dir, run, "label int, vec_id long, cluster long")
 
 
 @query("topic_factors")

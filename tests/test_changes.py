@@ -191,3 +191,39 @@ def test_vectors(spark):
     assert sorted(r["k"] for r in units.collect()) == [1, 4, 5]
     near = vectors.nearest(units, "k", vectors.centroids(units, "label"), "label", 1)
     assert {r["k"]: r["label"] for r in near.collect()} == {1: "a", 4: "b", 5: "a"}
+
+
+def test_labels_are_clustered_whole(spark, small):
+    """The queries' clusters are those of a label's whole matrix, as brute force finds them."""
+    from collections import defaultdict
+
+    from boxwood.plans import vectors as plans
+    from boxwood.registry import table
+
+    whole = defaultdict(list)
+    for r in sorted(table(spark, small, "embeddings").collect(), key=lambda r: r["vec_id"]):
+        whole[r["label"]].append((r["vec_id"], r["embedding"]))
+    got = {r["vec_id"]: r["cluster"] for r in plans.agglomerative(spark, small).collect()}
+    dense = {r["vec_id"]: r["cluster"] for r in plans.density_clusters(spark, small).collect()}
+    swept = {(r["label"], r["threshold"]): r["clusters"] for r in plans.threshold_sweep(spark, small).collect()}
+    stable = plans.split_stability(spark, small).collect()
+    assert sorted(r["label"] for r in stable) == sorted(whole)
+    for label, rows in whole.items():
+        x = np.array([v for _, v in rows], dtype=float)
+        assert [got[i] for i, _ in rows] == brute_linkage(x, 0.35).tolist()
+        assert [dense[i] for i, _ in rows] == clustering.density_clusters(x).tolist()
+        assert swept[label, 0.5] == brute_linkage(x, 0.5).max() + 1
+
+
+def test_large_groups_are_clustered_through_micro_clusters(monkeypatch):
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(12, 16))
+    kinds = rng.integers(0, 12, 900)
+    x = centers[kinds] + rng.normal(scale=0.15, size=(900, 16))
+    whole, dense, swept = clustering.average_linkage(x, 0.3), clustering.density_clusters(x), clustering.sweep(x, [0.2, 0.3])
+    assert clustering.adjusted_rand(whole, kinds) == 1
+    monkeypatch.setattr(clustering, "MOST", 200)
+    assert clustering.average_linkage(x, 0.3).tolist() == whole.tolist()
+    assert clustering.sweep(x, [0.2, 0.3])[1] == swept[1]
+    assert clustering.adjusted_rand(clustering.density_clusters(x) + 1, dense + 1) > 0.9
+    assert len(clustering.hierarchy(x, 0.3)[0]) == 900 and clustering.split_stability(x, 0.3, repeats=2) == 1
