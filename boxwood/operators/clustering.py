@@ -307,3 +307,14 @@ def nmf(v: np.ndarray, k: int, rounds: int = 200, seed: int = 0) -> tuple[np.nda
         h *= (w.T @ v) / (w.T @ w @ h + 1e-12)
         w *= (v @ h.T) / (w @ h @ h.T + 1e-12)
     return w, h
+
+
+def sparse_nmf(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int], k: int, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """As ``nmf``, of a matrix given by the places and values that aren't zero."""
+    rng = np.random.default_rng(seed)
+    scale = np.sqrt(max(values.sum() / max(shape[0] * shape[1], 1), 1e-12) / k)
+    w, h = np.abs(rng.normal(0, scale, (shape[0], k))) + 1e-6, np.abs(rng.normal(0, scale, (k, shape[1]))) + 1e-6
+    for _ in range(rounds):
+        h *= np.stack([np.bincount(cols, values * w[rows, j], shape[1]) for j in range(k)]) / (w.T @ w @ h + 1e-12)
+        w *= np.stack([np.bincount(rows, values * h[j, cols], shape[0]) for j in range(k)], axis=1) / (w @ (h @ h.T) + 1e-12)
+    return w, h

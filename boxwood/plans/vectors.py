@@ -153,27 +153,36 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft topics of sources: non-negative factors of their term weights, share 0.2 or more.
 
-    The matrix has a row for each source and a column for each of the 300 commonest terms."""
+    The matrix has a row for each source and a column for each term that two sources have, held
+    by its entries: 24 bytes for each (source, term), and the terms' names."""
     from ..functions import text
     from ..operators import lines
 
     docs = table(spark, sf_dir, "documents")
     words = docs.select("source", F.explode(text.split_words(F.col("text"))).alias("term"))
-    common = words.groupBy("term").count().orderBy(F.desc("count"), "term").limit(300).select("term")
-    weights = lines.tf_idf(words.join(F.broadcast(common), "term"), "source", "term", docs.select("source").distinct())
+    weights = lines.tf_idf(words, "source", "term", docs.select("source").distinct(), min_df=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        if not rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        names, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-        v = np.zeros((len(names), len(terms)))
-        for s, t, w in rows:
-            v[names.index(s), terms.index(t)] = w
-        w, _ = clustering.nmf(v, min(4, len(names)))
+        found = pa.Table.from_batches(held)
+        names, rows = _ranked(found.column("source"))
+        terms, cols = _ranked(found.column("term"))
+        w, _ = clustering.sparse_nmf(rows, cols, found.column("weight").to_numpy(), (len(names), len(terms)), min(4, len(names)))
         share = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
         hits = [(names[i], int(k), round(float(share[i, k]), 6)) for i in range(len(names)) for k in range(share.shape[1]) if share[i, k] >= 0.2]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), [pa.string(), pa.int64(), pa.float64()], strict=True)], names=["source", "topic", "share"])
 
-    # Sources times 300 terms: a matrix of the size of the vocabulary, not of the corpus.
-    return weights.select("source", "term", "weight").coalesce(1).mapInArrow(run, "source string, topic long, share double")
+    # One task factors the entries; what they are counted from stays distributed. In order, so that sums are the same on each run.
+    return weights.select("source", "term", "weight").repartition(1).sortWithinPartitions("source", "term").mapInArrow(run, "source string, topic long, share double")
+
+
+def _ranked(column: pa.ChunkedArray) -> tuple[list[str | None], np.ndarray]:
+    """The distinct values of a column in order, and each row's place among them."""
+    coded = column.combine_chunks().dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    order = sorted(range(len(values)), key=values.__getitem__)
+    place = np.empty(len(values), dtype=np.int64)
+    place[order] = np.arange(len(values))
+    return [values[i] for i in order], place[coded.indices.to_numpy()]

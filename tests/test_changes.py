@@ -227,3 +227,27 @@ def test_large_groups_are_clustered_through_micro_clusters(monkeypatch):
     assert clustering.sweep(x, [0.2, 0.3])[1] == swept[1]
     assert clustering.adjusted_rand(clustering.density_clusters(x) + 1, dense + 1) > 0.9
     assert len(clustering.hierarchy(x, 0.3)[0]) == 900 and clustering.split_stability(x, 0.3, repeats=2) == 1
+
+
+def test_topics_keep_rare_terms(spark, tmp_path):
+    """Terms of two sources each tell these apart, though hundreds of commoner ones are shared by all."""
+    from boxwood.plans import vectors as plans
+
+    common = " ".join(f"common{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" for i in range(320))
+    rows = []
+    for i in range(8):
+        rare = " ".join(f"pair{'abcd'[i // 2]}{'abcdefghij'[j % 10]}{'abcdefghij'[j // 10 % 10]}{'abcdefghij'[j // 100]}" for j in range(900))
+        rows += [(10 * i + k, f"s{i}", common) for k in range(5)] + [(10 * i + 9, f"s{i}", rare)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    best = {}
+    for r in plans.topic_factors(spark, str(tmp_path)).collect():
+        best[r["source"]] = max(best.get(r["source"], (0, 0)), (r["share"], r["topic"]))
+    topics = [best[f"s{i}"][1] for i in range(8)]
+    assert all(topics[i] == topics[i + 1] for i in range(0, 8, 2)) and len(set(topics)) == 4
+
+
+def test_sparse_factors_are_those_of_the_matrix():
+    v = np.random.default_rng(0).random((7, 40)) * (np.random.default_rng(1).random((7, 40)) < 0.4)
+    rows, cols = np.nonzero(v)
+    for a, b in zip(clustering.nmf(v, 3), clustering.sparse_nmf(rows, cols, v[rows, cols], v.shape, 3), strict=True):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-8)
