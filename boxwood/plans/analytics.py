@@ -22,7 +22,12 @@ sql_query(
     """SELECT CASE WHEN n <= 5 THEN CAST(n AS STRING) WHEN n <= 10 THEN '6-10' ELSE '11+' END AS bin, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS members
 FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t GROUP BY CASE WHEN n <= 5 THEN CAST(n AS STRING) WHEN n <= 10 THEN '6-10' ELSE '11+' END""",
 )
-sql_query("empirical_cdf", "SELECT DISTINCT p_size, round(cume_dist() OVER (ORDER BY p_size), 6) AS share FROM part")
+# Counted by value first, so that the window runs over distinct values only.
+sql_query(
+    "empirical_cdf",
+    "SELECT p_size, round(sum(n) OVER (ORDER BY p_size) * 1.0D / sum(n) OVER (), 6) AS share FROM (SELECT p_size, count(*) AS n FROM part GROUP BY p_size) t",
+    "SELECT DISTINCT p_size, round(cume_dist() OVER (ORDER BY p_size), 6) AS share FROM part",
+)
 sql_query(
     "role_counts",
     "SELECT o_orderpriority AS priority, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'P') AS part_ FROM orders GROUP BY o_orderpriority",

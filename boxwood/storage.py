@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset is one made."""
+    ``spark.checkpoint.dir``. Where that is unset, a local session, whose executors are its
+    driver, gets a folder of its own; on a cluster that is an error."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="boxwood-")
         spark.conf.set("spark.checkpoint.dir", held)
         spark.sparkContext.setCheckpointDir(held)

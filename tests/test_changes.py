@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -179,6 +180,20 @@ def test_running_cap_stops_for_good(spark):
     assert sorted(r["k"] for r in windows.running_cap(rows, "k", "n", 100).collect()) == [1, 2]
 
 
+def test_running_cap_over_many_rows(spark):
+    """Three million rows of size 1 with a text that is read: the cap holds to the row."""
+    rows = spark.range(3_000_000, numPartitions=2).select((F.col("id") * 7919 % 3_000_000).alias("k"), F.lit(1).alias("n"), F.sha1(F.col("id").cast("string")).alias("text"))
+    got = windows.running_cap(rows, "k", "n", 2_000_000).agg(F.count("*").alias("n"), F.max("k").alias("most"), F.count("text").alias("texts")).first()
+    assert tuple(got) == (2_000_000, 1_999_999, 2_000_000)
+
+
+def test_lru_exempts(spark):
+    rows = spark.createDataFrame([("a", 9, False), ("b", 8, True), ("c", 7, False), ("d", 6, False), ("c", 1, False)], "k string, t int, busy boolean")
+    got = {r["k"]: (r["evicted"], r["place"]) for r in windows.lru(rows, "k", "t", 1, F.col("busy")).collect()}
+    assert got == {"a": (False, 1), "c": (True, 2), "d": (True, 3), "b": (False, 4)}
+    assert [r["k"] for r in windows.place_over(rows, F.col("t").asc()).orderBy("place").collect()] == ["c", "d", "c", "b", "a"]
+
+
 def test_side_coverage(spark):
     rows = spark.createDataFrame([(1, "before", 9), (1, "before", 8), (1, "before", 7), (1, "after", 1)], "k int, side string, s int")
     got = windows.cap_with_side_coverage(rows, ["k"], "side", [rows["s"].desc()], 3).collect()
