@@ -28,9 +28,10 @@ class Sample:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, id_col: str = "doc_id", text_col: str = "text") -> Sample:
     """At most ``per_class`` texts of each label, the least by a hash of the id, outside the
-    held-out fold. Rows with a null id, label or text teach nothing. Only these rows come to
-    the driver, and only their ids are broadcast."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id"))
+    held-out fold. Rows with a null id, label or text teach nothing. Of rows with the same id the
+    least text is taken, of equal labels of an id one. Only these rows come to the driver, and
+    only their ids are broadcast."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id")).distinct()
     sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     picked = None
     for value in sorted(sizes):
@@ -40,5 +41,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return Sample([], np.zeros(0, dtype=np.int64), 0.5)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL")
     # At most 2 x per_class rows of two numbers.
-    found = own.join(F.broadcast(picked), "_id").toPandas().sort_values(["_id", "_text", "_label"])
+    found = own.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).toPandas().sort_values(["_id", "_text", "_label"])
     return Sample(found["_text"].tolist(), found["_label"].to_numpy(dtype=np.int64), sizes.get(1, 0) / max(1, sum(sizes.values())))

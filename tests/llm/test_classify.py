@@ -181,8 +181,8 @@ def test_features_equal_a_convolution():
 
     def direct(text):
         padded = np.frombuffer(quality._padded(text), dtype=np.uint8)
-        windows = [sum(net.tables[k, padded[a + k]] for k in range(8)) for a in range(0, len(padded) - 7, 2)]
-        runs = [np.max(windows[a : a + 128], axis=0) for a in range(0, len(windows), 128)]
+        windows = [sum(net.tables[k, padded[a + k]] for k in range(8)) for a in range(len(padded) - 7)]
+        runs = [np.max(windows[a : a + quality.HALF], axis=0) for a in range(0, len(windows), quality.HALF)]
         runs = [np.maximum(r + net.bias, 0) for r in runs]
         chunks = [np.maximum(a, b) for a, b in zip(runs, runs[1:], strict=False)] or runs
         return np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)])
@@ -207,22 +207,26 @@ def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(4)
     tables, bias = rng.normal(size=(8, 256, quality.FILTERS)), rng.normal(size=quality.FILTERS)
     weights, offset = rng.normal(0, 0.1, 3 * quality.FILTERS + 1), np.zeros(1)
-    docs = [quality._chunks(bytes(rng.integers(97, 120, n, dtype=np.uint8))) for n in (40, 700, 1500)]
-    short, y = quality._shortness([40, 700, 1500]), np.array([1.0, 0.0, 1.0])
-    grads = quality._gradient(tables, bias, weights, offset, docs, short, y)
+    raws = [rng.integers(97, 120, n, dtype=np.uint8) for n in (40, 700, 1500)]
+    short, y, weight = quality._shortness([40, 700, 1500]), np.array([1.0, 0.0, 1.0]), np.array([0.7, 1.5, 0.8])
+    every = np.arange(65_536, dtype=np.int32)
+    grads = quality._gradient(tables, bias, weights, offset, raws, short, y, weight, every, every)
 
-    def loss(w):
+    def loss(w, tables=tables):
         top = []
-        for d in docs:
-            c = []
-            for chunk in d:
-                raw = np.frombuffer(chunk, dtype=np.uint8)
-                c.append(np.max([sum(tables[k, raw[a + k]] for k in range(8)) for a in range(0, len(raw) - 7, 2)], axis=0))
-            c = np.maximum(np.array(c) + bias, 0)
+        for raw in raws:
+            windows = [sum(tables[k, raw[a + k]] for k in range(8)) for a in range(len(raw) - 7)]
+            runs = [np.maximum(np.max(windows[a : a + quality.HALF], axis=0) + bias, 0) for a in range(0, len(windows), quality.HALF)]
+            c = np.array([np.maximum(a, b) for a, b in zip(runs, runs[1:], strict=False)] or runs)
             top.append(np.concatenate([c.mean(axis=0), c.max(axis=0), c.min(axis=0)]))
         z = np.concatenate([np.array(top), short[:, None]], axis=1) @ w + offset[0]
-        return float(np.mean(np.logaddexp(0, z) - y * z)) + 0.5e-4 * float(w @ w)
+        return float(np.mean(weight * (np.logaddexp(0, z) - y * z))) + 0.5e-4 * float(w @ w)
 
+    at = np.unravel_index(np.abs(grads[0]).argmax(), tables.shape)
+    moved = [tables.copy(), tables.copy()]
+    moved[0][at] += 1e-4
+    moved[1][at] -= 1e-4
+    assert grads[0][at] == pytest.approx((loss(weights, moved[0]) - loss(weights, moved[1])) / 2e-4 + 1e-5 * tables[at], rel=1e-2, abs=1e-5)
     for i in (0, 5, 3 * quality.FILTERS):
         e = np.zeros_like(weights)
         e[i] = 1e-4
@@ -231,7 +235,6 @@ def test_gradient_is_that_of_the_loss():
 
 def test_quality_takes_every_case(spark, monkeypatch):
     docs = documents(spark)
-    monkeypatch.setattr(quality, "STEPS", 60)
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["river", "stone", "cloud", "walks", "under"], 40)) for _ in range(60)]
     bad = ["!!?? " * 40 + str(i) for i in range(60)]
@@ -250,6 +253,23 @@ def test_quality_query(spark, small):
     assert agreement(spark, small, quality.op9_byte_quality(spark, small).collect(), "quality") >= 0.85
 
 
+def test_short_bad_texts_are_no_better_for_being_short():
+    rng = np.random.default_rng(5)
+    words = ["river", "stone", "cloud", "walks", "under", "bright", "the"]
+    good = [" ".join(rng.choice(words, int(rng.integers(20, 200)))) for _ in range(200)]
+    bad = [" | ".join(rng.choice(words, int(rng.integers(20, 200)))).upper() for _ in range(200)]
+    net = quality.fit(Sample(good + bad, np.array([1] * 200 + [0] * 200), 0.5))
+    for n in (24, 60, 150):
+        assert (net.score([g[:n].encode() for g in good]) >= 0.3).mean() > 0.95 and (net.score([b[:n].encode() for b in bad]) >= 0.3).mean() < 0.1
+
+
+def test_samples_take_repeated_ids_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, flag int")
+    got = labelled_sample(docs, labels, "flag", 9)
+    assert sorted(zip(got.texts, got.labels.tolist(), strict=True)) == [("a", 1), ("c", 0)]
+
+
 def test_samples_are_bounded_and_leave_the_fold_out(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 3 == 0, 1) for i in range(300)] + [(None, True, 1), (7, None, 1), (999, True, 1)], "doc_id long, flag boolean, other int")
