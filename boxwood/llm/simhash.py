@@ -27,10 +27,13 @@ from .common import bytes_of, materialise, slices, table
 from .components import connected_components
 
 SEED = 42
-#: Fingerprints that the dealing tree is built on.
-SAMPLE = 8_192
+#: Fingerprints at home in a shard, about, and sampled for each shard of the dealing tree. Shards
+#: grow in number with the fingerprints, so that each fits one task.
+SHARD, SAMPLE = 65_536, 8
 #: Fingerprints at home in one cell of a shard; more are dealt to several cells, each visited.
-CELL = 32_768
+CELL = 262_144
+#: The same for shards that are formed by keys, whose trees prune nothing.
+KEY_CELL = 32_768
 LEAF = 96
 _CHUNK = 65_536
 #: Fingerprint words compared at once, which bounds memory.
@@ -204,17 +207,22 @@ class Joined:
                 self.union(a, b)
 
 
-def links_within(home: np.ndarray, visits: Iterator[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of a cell: pairs (fingerprints, fingerprints) that join all linked ones.
+class Cell:
+    """Fingerprints at home in a cell: one tree and one set of groups, however many visit.
 
-    Those at home are compared among each other and with each batch of visitors.
+    Links are pairs (fingerprints, fingerprints) that join all linked ones: of those at home
+    among each other (``within``), and of each batch of visitors with those at home (``visit``).
+    A group that a visitor joins stays joined, so that no later batch finds it again.
     """
-    tree = VantageTree(home)
 
-    def joined(queries: np.ndarray, base: int, sets: Joined) -> None:
-        for leaf, own in tree.reach(queries, radius):
-            cols = tree.leaves[leaf]
-            step = max(1, _BLOCK // (len(cols) * home.shape[1]))
+    def __init__(self, home: np.ndarray, radius: int):
+        self.home, self.radius = home, radius
+        self.tree, self.sets = VantageTree(home), Joined(len(home))
+
+    def _join(self, queries: np.ndarray, base: int, sets: Joined) -> None:
+        for leaf, own in self.tree.reach(queries, self.radius):
+            cols = self.tree.leaves[leaf]
+            step = max(1, _BLOCK // (len(cols) * self.home.shape[1]))
             for at in range(0, len(own), step):
                 rows = own[at : at + step]
                 # Once a leaf is one group, who belongs to it already has nothing to find there.
@@ -222,23 +230,28 @@ def links_within(home: np.ndarray, visits: Iterator[np.ndarray], radius: int) ->
                 if (group == group[0]).all():
                     rows = rows[sets.roots(rows + base) != group[0]]
                 if len(rows):
-                    sets.link(distance(queries[rows][:, None, :], home[cols][None, :, :]) <= radius, rows + base, cols)
+                    sets.link(distance(queries[rows][:, None, :], self.home[cols][None, :, :]) <= self.radius, rows + base, cols)
 
-    def edges(points: np.ndarray, sets: Joined, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _edges(points: np.ndarray, sets: Joined, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         roots = sets.roots(np.arange(len(points)))
         moved = np.flatnonzero(roots != before)
         return points[moved], points[roots[moved]]
 
-    own = Joined(len(home))
-    joined(home, 0, own)
-    yield edges(home, own, np.arange(len(home)))
-    known = own.roots(np.arange(len(home)))
-    for batch in visits:
-        sets = Joined(len(home) + len(batch))
-        sets.up[: len(home)] = known
+    def within(self) -> tuple[np.ndarray, np.ndarray]:
+        self._join(self.home, 0, self.sets)
+        return self._edges(self.home, self.sets, np.arange(len(self.home)))
+
+    def visit(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.home)
+        sets = Joined(n + len(batch))
+        sets.up[:n] = self.sets.roots(np.arange(n))
         before = sets.up.copy()
-        joined(batch, len(home), sets)
-        yield edges(np.concatenate([home, batch]), sets, before)
+        self._join(batch, n, sets)
+        found = self._edges(np.concatenate([self.home, batch]), sets, before)
+        # Least positions are roots, so those at home have roots at home.
+        self.sets.up[:] = sets.roots(np.arange(n))
+        return found
 
 
 def _pack(points: np.ndarray) -> pa.Array:
@@ -287,8 +300,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 1, keys: int
 
 def _deal_by_tree(points: DataFrame, n: int, radius: int, width: int) -> DataFrame:
     """(shard, home, fp): one row at home and one for each shard visited."""
-    sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toArrow().column("fp")
-    shards = max(32, min(4096, 1 << (n // 8192).bit_length()))
+    shards = max(32, 1 << (n // SHARD).bit_length())
+    sample = points.orderBy(F.xxhash64("fp")).limit(max(8_192, SAMPLE * shards)).select("fp").toArrow().column("fp")
     router = VantageTree(_unpack(sample.combine_chunks(), width), leaf=1, leaves=shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,23 +340,25 @@ def _edges(rows: DataFrame, radius: int, width: int) -> DataFrame:
         at: tuple | None = None
         home: list[np.ndarray] = []
         visits: list[np.ndarray] = []
-        waiting = 0
-        out_a: list[np.ndarray] = []
-        out_b: list[np.ndarray] = []
+        waiting, held = 0, None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def work(final: bool) -> None:
-            nonlocal waiting, visits
+        def work() -> None:
+            """Those at home among each other once, then the visitors that wait."""
+            nonlocal waiting, visits, held, home
             if home:
-                base = np.concatenate(home)
-                first = not started[0]
-                for k, (a, b) in enumerate(links_within(base, iter([np.concatenate(visits)] if visits else []), radius)):
-                    if k or first:
-                        out_a.append(a)
-                        out_b.append(b)
-                started[0] = True
+                held, home = Cell(np.concatenate(home), radius), []
+                found.append(held.within())
+            if held is not None and visits:
+                found.append(held.visit(np.concatenate(visits)))
             visits, waiting = [], 0
 
-        started = [False]
+        def emit() -> pa.RecordBatch:
+            nonlocal found
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            found = []
+            return pa.RecordBatch.from_arrays([_pack(a), _pack(b)], names=["a", "b"])
+
         for batch in batches:
             shard, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(cell) != 0)) + 1
@@ -352,9 +367,8 @@ def _edges(rows: DataFrame, radius: int, width: int) -> DataFrame:
                 if hi <= lo:
                     continue
                 if (shard[lo], cell[lo]) != at:
-                    if at is not None and (visits or not started[0]):
-                        work(True)
-                    at, home, visits, waiting, started[0] = (shard[lo], cell[lo]), [], [], 0, False
+                    work()
+                    at, held = (shard[lo], cell[lo]), None
                 inside = is_home[lo:hi]
                 if inside.any():
                     home.append(points[lo:hi][inside])
@@ -362,20 +376,18 @@ def _edges(rows: DataFrame, radius: int, width: int) -> DataFrame:
                     visits.append(points[lo:hi][~inside])
                     waiting += len(visits[-1])
                     if waiting >= _CHUNK:
-                        work(False)
-            if sum(map(len, out_a)) > 100_000:
-                yield pa.RecordBatch.from_arrays([_pack(np.concatenate(out_a)), _pack(np.concatenate(out_b))], names=["a", "b"])
-                out_a, out_b = [], []
-        if at is not None and (visits or not started[0]):
-            work(True)
-        if out_a and sum(map(len, out_a)):
-            yield pa.RecordBatch.from_arrays([_pack(np.concatenate(out_a)), _pack(np.concatenate(out_b))], names=["a", "b"])
+                        work()
+            if sum(len(f[0]) for f in found) > 100_000:
+                yield emit()
+        work()
+        if found:
+            yield emit()
 
     dealt = rows.select("shard", "cell", "home", "fp").repartition("shard", "cell")
     return dealt.sortWithinPartitions("shard", "cell", F.desc("home"), "fp").mapInArrow(run, "a binary, b binary")
 
 
-def link_fingerprints(fps: DataFrame, *, radius: int = 3, width: int = 1, keys: int = 0, cell: int = CELL) -> DataFrame:
+def link_fingerprints(fps: DataFrame, *, radius: int = 3, width: int = 1, keys: int = 0, cell: int | None = None) -> DataFrame:
     """(fp, component, low): for every distinct fingerprint a least fingerprint of its component
     and the least doc_id there. ``fps`` is a written table as ``fingerprints`` makes it."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), *([F.min("keys").alias("keys")] if keys else [])))
@@ -385,7 +397,7 @@ def link_fingerprints(fps: DataFrame, *, radius: int = 3, width: int = 1, keys:
         if not (n := distinct.count()):
             return distinct.select("fp", F.col("fp").alias("component"), "low")
         rows = materialise(_deal_by_tree(distinct, n, radius, width))
-    found = connected_components(_edges(_deal_cells(rows, cell), radius, width))
+    found = connected_components(_edges(_deal_cells(rows, cell or (KEY_CELL if keys else CELL)), radius, width))
     linked = materialise(distinct.select("fp", "low").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     lows = materialise(linked.groupBy("component").agg(F.min("low").alias("low")))
     return materialise(linked.select("fp", "component").join(lows, "component").select("fp", "component", "low"))
