@@ -1,11 +1,12 @@
 """Language identification by prediction by partial matching.
 
-For each language a tree of byte contexts of orders 2, 1 and 0 holds how often each byte
-followed. A byte costs its code length in the longest context that was seen, after an escape
-for every longer context that was seen without it (escape method C), and 8 bits where no context
-has it. The statistics are frozen after training, so a byte's cost depends on the three bytes
-that end there only, and the trees are compiled into one table of exact code lengths.
-A text's language is the one with the shortest code.
+For each language a tree of byte contexts of variable order, up to four bytes, holds how often
+each byte followed. Long contexts are nodes only where they were seen often enough. A byte costs
+its code length in the longest context that is a node and has it, after an escape for every
+longer node that doesn't (escape method C), and 8 bits where no context has it. The statistics
+are frozen after training, so a byte's cost depends on the five bytes that end there only: each
+distinct run of five bytes in a batch is coded once. A text's language is the one with the
+shortest code.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from .common import bytes_of, held_out, slices, table
 
 #: Training texts of one language, about; whole texts. Scoring covers every row.
 PER_LANGUAGE = 600
+#: Bytes of the longest context, and how often one of three bytes or more is seen to be a node.
+ORDER, SEEN = 4, 4
 UNKNOWN = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 _LOWER = bytes(range(256)).lower()
+_HEAD = b" " * ORDER
+#: Bytes coded at once.
 _SPAN = 1 << 20
 
 
@@ -34,65 +39,91 @@ def has_letter(text: bytes | None) -> bool:
     return bool(_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
+def _grams(parts: list[bytes]) -> np.ndarray:
+    """Every byte with the ORDER bytes before it, the latest lowest; each part begins with that
+    many bytes of context. Where a part ends, ORDER entries reach into the next one."""
+    x = np.frombuffer(b"".join(parts).translate(_LOWER), dtype=np.uint8)
+    out = x[: len(x) - ORDER].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        out <<= 8
+        out |= x[k : len(x) - ORDER + k]
+    return out
+
+
 def count_contexts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, code, n): how often three bytes, A-Z as a-z, end a position; a text begins after
-    two spaces. Counted on the executors, as many rows as there are distinct trigrams."""
+    """(lang, code, n): how often five bytes, A-Z as a-z, end a position; a text begins after
+    four spaces. Counted on the executors, as many rows as there are distinct runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 512):
                 grouped: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), bytes_of(part.column(1)), strict=True):
-                    x = np.frombuffer(b"  " + text.translate(_LOWER), dtype=np.uint8).astype(np.int32)
-                    grouped.setdefault(lang, []).append(x[:-2] << 16 | x[1:-1] << 8 | x[2:])
+                    grouped.setdefault(lang, []).append(_grams([_HEAD + text]))
                 for lang, codes in grouped.items():
                     code, n = np.unique(np.concatenate(codes), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
-    counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, code int, n long")
+    counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, code long, n long")
     return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among the sorted known ones, and where."""
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
+
+
+class ContextTree:
+    """One language's frozen tree, an order at a time: its nodes with the bits of an escape, and
+    what followed them with the bits of that byte."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, seen: int = SEEN):
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(ORDER + 1):
+            # The last k + 1 of the bytes: a context of k and what followed.
+            pairs, which = np.unique(code & (1 << 8 * (k + 1)) - 1, return_inverse=True)
+            times = np.bincount(which, weights=n)
+            nodes, owner, kinds = np.unique(pairs >> 8, return_inverse=True, return_counts=True)
+            total = np.bincount(owner, weights=times)
+            own = np.log2(total + kinds)[owner] - np.log2(times)
+            escape = np.log2(total + kinds) - np.log2(kinds)
+            kept = (total >= seen) | (k < 3)
+            self.orders.append((nodes[kept], escape[kept], pairs[kept[owner]], own[kept[owner]]))
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """The exact code length of each run's last byte after the ones before it."""
+        out = np.zeros(len(code))
+        left = np.arange(len(code))
+        for k in range(ORDER, -1, -1):
+            nodes, escape, pairs, own = self.orders[k]
+            if not len(nodes) or not len(left):
+                continue
+            pair = code[left] & (1 << 8 * (k + 1)) - 1
+            hit, at = _among(pair, pairs)
+            out[left[hit]] += own[at[hit]]
+            left, pair = left[~hit], pair[~hit]
+            node, at = _among(pair >> 8, nodes)
+            out[left[node]] += escape[at[node]]
+        out[left] += 8
+        return out
+
+
 class ContextTrees:
-    """Frozen trees of all languages, compiled: code lengths by the classes of three bytes."""
+    """Frozen trees of all languages; each holds only what its language has."""
 
     def __init__(self, languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
         self.languages = languages
-        every = np.unique(np.concatenate([c & 255 for c in codes] + [np.array([32])]))
-        self.width = len(every) + 1  # class 0: bytes never seen, which all behave alike
-        classes = np.zeros(256, dtype=np.uint8 if self.width <= 256 else np.uint16)
-        classes[every] = np.arange(1, self.width)
-        self.classes = bytes(classes[np.frombuffer(_LOWER, dtype=np.uint8)].astype(np.uint8))
-        a = self.width
-        lengths = np.zeros((a**3, len(languages)), dtype=np.float32)
-        for j, (code, n) in enumerate(zip(codes, counts, strict=True)):
-            c3 = np.zeros((a, a, a))
-            np.add.at(c3, (classes[code >> 16], classes[code >> 8 & 255], classes[code & 255]), n)
-            c2, c1 = c3.sum(axis=0), c3.sum(axis=(0, 1))
-            cost = np.full(a, 8.0)
-            for c in (c1, c2, c3):
-                cost = self._order(c, cost)
-            lengths[:, j] = cost.ravel()
-        self.lengths = lengths
-
-    @staticmethod
-    def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Code lengths of an order, given those of the order below it."""
-        total, kinds = counts.sum(axis=-1, keepdims=True), (counts > 0).sum(axis=-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log2(total + kinds) - np.log2(counts)
-            escape = np.log2(total + kinds) - np.log2(kinds)
-        return np.where(total == 0, lower, np.where(counts > 0, own, escape + lower))
+        self.trees = [ContextTree(c, n) for c, n in zip(codes, counts, strict=True)]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language; every byte of it counts."""
         out = np.zeros((len(texts), len(self.languages)))
-        a = self.width
         for i, text in enumerate(texts):
             if len(text) > _SPAN:
                 for at in range(0, len(text), _SPAN):
-                    head = b"  " if not at else text[at - 2 : at]
-                    out[i] += self._sum([head + text[at : at + _SPAN]], a)[0]
+                    head = _HEAD if not at else text[at - ORDER : at]
+                    out[i] += self._sum([head + text[at : at + _SPAN]])[0]
         short = [i for i, text in enumerate(texts) if 0 < len(text) <= _SPAN]
         at = 0
         while at < len(short):
@@ -100,20 +131,18 @@ class ContextTrees:
             while end < len(short) and (end == at or size + len(texts[short[end]]) <= _SPAN):
                 size += len(texts[short[end]])
                 end += 1
-            out[short[at:end]] = self._sum([b"  " + texts[i] for i in short[at:end]], a)
+            out[short[at:end]] = self._sum([_HEAD + texts[i] for i in short[at:end]])
             at = end
         return out
 
-    def _sum(self, parts: list[bytes], a: int) -> np.ndarray:
-        """Each part begins with two bytes that are context only."""
-        x = np.frombuffer(b"".join(parts).translate(self.classes), dtype=np.uint8).astype(np.int32)
-        bits = self.lengths[(x[:-2] * a + x[1:-1]) * a + x[2:]]
+    def _sum(self, parts: list[bytes]) -> np.ndarray:
+        """Each part begins with ORDER bytes that are context only."""
+        code, which = np.unique(_grams(parts), return_inverse=True)
         ends = np.cumsum([len(p) for p in parts])
         starts = ends - [len(p) for p in parts]
-        cuts = np.stack([starts, np.minimum(ends - 2, len(bits) - 1)], axis=1).ravel()
-        sums = np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)[::2]
-        sums[-1] = bits[starts[-1] :].sum(axis=0, dtype=np.float64)
-        return sums
+        # A part's entries, then those that reach into the next part; the last part has none of these.
+        cuts = np.stack([starts, ends - ORDER], axis=1).ravel()[:-1]
+        return np.stack([np.add.reduceat(tree.bits(code)[which], cuts)[::2] for tree in self.trees], axis=1)
 
 
 def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees | None:

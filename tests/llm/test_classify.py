@@ -18,19 +18,19 @@ def brute_code_length(train, text):
     """Prediction by partial matching, order 2, escape C, frozen after training."""
     counts = {}
     for t in train:
-        t = b"  " + t.lower()
-        for i in range(2, len(t)):
-            for order in (0, 1, 2):
+        t = b"    " + t.lower()
+        for i in range(4, len(t)):
+            for order in range(5):
                 own = counts.setdefault(t[i - order : i], {})
                 own[t[i]] = own.get(t[i], 0) + 1
-    bits, t = 0.0, b"  " + text.lower()
-    for i in range(2, len(t)):
-        for order in (2, 1, 0, -1):
+    bits, t = 0.0, b"    " + text.lower()
+    for i in range(4, len(t)):
+        for order in (4, 3, 2, 1, 0, -1):
             if order < 0:
                 bits += 8
                 break
             own = counts.get(t[i - order : i])
-            if not own:
+            if not own or (order > 2 and sum(own.values()) < ppm.SEEN):
                 continue
             total = sum(own.values()) + len(own)
             if t[i] in own:
@@ -45,9 +45,7 @@ def trees_of(by):
     for train in by.values():
         found = {}
         for t in train:
-            t = b"  " + t.lower()
-            for i in range(2, len(t)):
-                k = t[i - 2] << 16 | t[i - 1] << 8 | t[i]
+            for k in ppm._grams([b"    " + t]).tolist():
                 found[k] = found.get(k, 0) + 1
         codes.append(np.array(sorted(found)))
         counts.append(np.array([found[k] for k in sorted(found)]))
@@ -55,7 +53,7 @@ def trees_of(by):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="aAbc é", min_size=1, max_size=12), min_size=1, max_size=4), st.text(alphabet="abcdé Z", max_size=20))
+@given(st.lists(st.text(alphabet="aAbc é", min_size=1, max_size=30), min_size=1, max_size=6), st.text(alphabet="abcdé Z", max_size=20))
 def test_code_lengths(train, text):
     train, body = [t.encode() for t in train], text.encode()
     if not body:
