@@ -1,7 +1,10 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Each tree splits the vectors again and again by the sign of a random projection less a bound;
-vectors close to the bound go to both sides. Within a leaf all vectors are compared by blocks of
+Each tree splits the vectors again and again by a random projection and a bound; vectors close
+to the bound go to both sides. A tree has one direction for each depth, made from a seed, so that
+it is held as one bound a node. Its top is grown on a sample of all vectors; then every leaf that
+is still too large is grown further on a sample of its own, on the executors, until none is: how
+large leaves are does not depend on how many vectors there are. Within a leaf all vectors are compared by blocks of
 a matrix product, and pairs at or above the threshold are links. A pair may meet in several
 leaves: it counts in the first of them only, which both know because every vector carries the
 numbers of all its leaves. So links are counted without being listed: a leaf passes on a count
@@ -26,12 +29,18 @@ from .simhash import Joined
 
 TREES = 6
 LEAF = 1_024
-#: Vectors that the trees are built on. All vectors are dealt and compared.
-SAMPLE = 16_384
+#: Leaves of one tree, about; beyond, leaves grow with the vectors. Bounds the table of nodes that
+#: goes to the executors, 24 bytes each.
+LEAVES = 1 << 18
+#: Vectors that the trees' tops are grown on, and those of one leaf that it is grown further on.
+#: All vectors are dealt and compared.
+SAMPLE, OWN = 16_384, 4_096
+#: Directions of one tree, levels that a leaf grows at once, and vectors that a split is made on.
+DEPTH, LEVELS, FEWEST = 48, 10, 32
 #: Vectors at home in one cell of a leaf.
 CELL = 4_096
 #: Share of the link radius within which a vector goes to both sides of a split.
-SPILL = 0.05
+SPILL = 0.03
 _BLOCK = 1_024
 _SEED = 20_240_601
 
@@ -51,56 +60,105 @@ def units(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-class Tree:
-    """One random-projection tree; leaves are numbered from ``first``."""
-
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int, first: int):
-        rng = np.random.default_rng(seed)
-        self.spill, self.leaves = spill, first
-        self.directions: list[np.ndarray] = []
-        self.bounds: list[float] = []
-        self.children: list[list[int]] = []  # a leaf is -1 - its number
-
-        def leaf() -> int:
-            self.leaves += 1
-            return -self.leaves
-
-        def grow(own: np.ndarray, depth: int) -> int:
-            if depth <= 0 or len(own) < 32:
-                return leaf()
-            w = rng.standard_normal(sample.shape[1])
-            w /= np.sqrt(w @ w)
-            p = np.sort(sample[own] @ w)
-            # Of several quantiles the bound with the fewest vectors near it, so that dense groups stay whole.
-            at = p[(np.linspace(0.3, 0.7, 17) * (len(p) - 1)).astype(int)]
-            near = np.searchsorted(p, at + spill) - np.searchsorted(p, at - spill)
-            bound = float(at[near.argmin()])
-            if near.min() > 0.4 * len(p):
-                return leaf()
-            k = len(self.bounds)
-            self.directions.append(w)
-            self.bounds.append(bound)
-            self.children.append([0, 0])
-            side = sample[own] @ w < bound
-            self.children[k][0] = grow(own[side], depth - 1)
-            self.children[k][1] = grow(own[~side], depth - 1)
-            return k
-
-        self.root = grow(np.arange(len(sample)), depth)
-
-    def reach(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows of x that lie there, those that spill over included)."""
-        todo = [(self.root, np.arange(len(x)))]
-        while todo:
-            node, own = todo.pop()
-            if not len(own):
-                continue
-            if node < 0:
-                yield -1 - node, own
+def grow(p: np.ndarray, levels: int, spill: float) -> tuple[list[float], list[int], list[int]]:
+    """A subtree on vectors' projections (a column for each level): bounds, left and right
+    children. A child is a node's position, or -1 - the number of a leaf. Without a node, what
+    was to be split stays a leaf.
+
+    Of several quantiles the bound with the fewest vectors near it is taken, so that dense groups
+    stay whole. A projection that is dense at all of them is passed over by a node that sends
+    everything to the right; on the next one outer quantiles count too, which part a dense group
+    from what is around it.
+    """
+    bounds: list[float] = []
+    children: list[list[int]] = []
+    leaves = 0
+
+    def node(bound: float) -> int:
+        bounds.append(bound)
+        children.append([0, 0])
+        return len(bounds) - 1
+
+    def leaf() -> int:
+        nonlocal leaves
+        leaves += 1
+        return -leaves
+
+    def split(own: np.ndarray, depth: int, levels: int) -> int:
+        if levels <= 0 or len(own) < 2 * FEWEST:
+            return leaf()
+        for over, (lo, hi) in enumerate([(0.3, 0.7), (0.05, 0.95), (0.05, 0.95)][: p.shape[1] - depth]):
+            v = np.sort(p[own, depth + over])
+            at = v[(np.linspace(lo, hi, 33) * (len(v) - 1)).astype(int)]
+            near = np.searchsorted(v, at + spill) - np.searchsorted(v, at - spill)
+            if near.min() <= lo * len(v):
+                chain = [node(-np.inf) for _ in range(over)] + [node(float(at[near.argmin()]))]
+                empty = [leaf() for _ in range(over)]
+                for a, b, none in zip(chain, chain[1:], empty, strict=False):
+                    children[a] = [none, b]
+                side = p[own, depth + over] < bounds[chain[-1]]
+                children[chain[-1]] = [split(own[side], depth + over + 1, levels - 1), split(own[~side], depth + over + 1, levels - 1)]
+                return chain[0]
+        return leaf()
+
+    split(np.arange(len(p)), 0, levels)
+    return bounds, [c[0] for c in children], [c[1] for c in children]
+
+
+class Forest:
+    """Trees in flat arrays: bounds and children of nodes, and by leaf where it hangs."""
+
+    def __init__(self, dims: int, trees: int, spill: float):
+        rng = [np.random.default_rng(_SEED + t) for t in range(trees)]
+        w = np.stack([r.standard_normal((DEPTH, dims)) for r in rng])
+        self.directions = w / np.linalg.norm(w, axis=2, keepdims=True)
+        self.spill, self.deepest = spill, 0
+        self.bounds, self.children = np.zeros(0), np.zeros((0, 2), dtype=np.int64)
+        self.roots = -1 - np.arange(trees)
+        #: By leaf: tree, depth, and the node and side that it hangs from (-1 for a root).
+        self.leaf = np.array([(t, 0, -1, t) for t in range(trees)], dtype=np.int64)
+
+    def replace(self, grown: list[tuple[int, list[float], list[int], list[int]]]) -> None:
+        """Put subtrees in the place of leaves; a leaf that did not grow stays."""
+        for at, bounds, left, right in grown:
+            if not bounds:
                 continue
-            p = x[own] @ self.directions[node]
-            todo.append((self.children[node][0], own[p < self.bounds[node] + self.spill]))
-            todo.append((self.children[node][1], own[p >= self.bounds[node] - self.spill]))
+            tree, depth, above, side = self.leaf[at].tolist()
+            base, first = len(self.bounds), len(self.leaf)
+            own = np.stack([left, right], axis=1).astype(np.int64)
+            depths = np.zeros(len(own), dtype=np.int64)
+            for k in range(len(own)):  # a node comes before its children
+                depths[own[k][own[k] >= 0]] = depths[k] + 1
+            node, which = np.nonzero(own < 0)
+            made = np.stack([np.full(len(node), tree), depth + depths[node] + 1, base + node, which], axis=1)
+            moved = np.where(own >= 0, own + base, own)
+            moved[node, which] = -1 - (first + np.arange(len(node)))
+            self.bounds, self.children, self.leaf = np.concatenate([self.bounds, bounds]), np.concatenate([self.children, moved]), np.concatenate([self.leaf, made])
+            self.deepest = max(self.deepest, int(made[:, 1].max()))
+            if above < 0:
+                self.roots[tree] = base
+            else:
+                self.children[above, side] = base
+
+    def project(self, x: np.ndarray, tree: int, lo: int, hi: int) -> np.ndarray:
+        return x @ self.directions[tree, lo:hi].T
+
+    def reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the leaves that they lie in, those that spill over included."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for tree, root in enumerate(self.roots.tolist()):
+            p = self.project(x, tree, 0, self.deepest)
+            rows, at = np.arange(len(x)), np.full(len(x), root)
+            for depth in range(self.deepest + 1):
+                there = at < 0
+                out.append((rows[there], -1 - at[there]))
+                rows, at = rows[~there], at[~there]
+                if not len(rows):
+                    break
+                v, bound = p[rows, depth], self.bounds[at]
+                low, high = v < bound + self.spill, v >= bound - self.spill
+                rows, at = np.concatenate([rows[low], rows[high]]), np.concatenate([self.children[at[low], 0], self.children[at[high], 1]])
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
 class _Rows:
@@ -247,23 +305,73 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.95, trees: int = TR
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def plant(reps: DataFrame, n: int, leaf: int, trees: int, spill: float) -> Forest:
+    """Trees over the vectors ``v`` of ``reps`` whose leaves hold about ``leaf`` of them, or are
+    dense. The sample of the tops and the bounds of nodes come to the driver."""
+    sample = units(reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks())
+    forest = Forest(sample.shape[1], trees, spill)
+    levels = int(np.ceil(np.log2(max(1, n / leaf))))
+    forest.replace([(t, *grow(forest.project(sample, t, 0, min(DEPTH, levels + 2)), levels, spill)) for t in range(trees)])
+    dense: set[int] = set()
+    while n > SAMPLE:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    which, many = np.unique(forest.reach(units(batch.column("v")))[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(many)], names=["leaf", "n"])
+
+        sizes = reps.select("v").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * leaf)
+        large = {r["leaf"]: r["n"] for r in sizes.collect() if r["leaf"] not in dense and forest.leaf[r["leaf"], 1] + 3 < DEPTH}
+        if not large:
+            break
+        rate = np.zeros(len(forest.leaf))
+        rate[list(large)] = [min(1.0, OWN / many) for many in large.values()]
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of every large leaf some vectors, by a hash, as their next projections."""
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, mark = units(batch.column("v")), batch.column("mark").to_numpy() / (1 << 20)
+                rows, leaves = forest.reach(x)
+                keep = mark[rows] < rate[leaves]
+                rows, leaves = rows[keep], leaves[keep]
+                places = forest.leaf[leaves, 0] * DEPTH + forest.leaf[leaves, 1]
+                for at in np.unique(places).tolist():
+                    own, (tree, depth) = places == at, divmod(at, DEPTH)
+                    p = forest.project(x[rows[own]], tree, depth, min(DEPTH, depth + LEVELS + 2))
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves[own]), flat], names=["leaf", "p"])
+
+        def further(key: tuple, table: pa.Table) -> pa.Table:
+            """A leaf's sample has OWN vectors, about."""
+            which = key[0].as_py()
+            p = table.column("p").combine_chunks()
+            p = p.flatten().to_numpy().reshape(len(p), -1)
+            bounds, left, right = grow(p[np.lexsort(p.T)], min(LEVELS, int(np.ceil(np.log2(large[which] / leaf)))), spill)
+            return pa.table({"leaf": pa.array([which]), "bounds": pa.array([bounds], pa.list_(pa.float64())), "left": pa.array([left], pa.list_(pa.int64())), "right": pa.array([right], pa.list_(pa.int64()))})
+
+        marked = reps.select("v", F.pmod(F.xxhash64(F.lit(len(forest.leaf)), "node"), F.lit(1 << 20)).alias("mark"))
+        drawn = marked.mapInArrow(draw, "leaf long, p array<double>")
+        grown = drawn.groupBy("leaf").applyInArrow(further, "leaf long, bounds array<double>, `left` array<long>, `right` array<long>")
+        found = sorted((r["leaf"], r["bounds"], r["left"], r["right"]) for r in grown.collect())
+        dense |= set(large) - {k for k, bounds, _, _ in found if bounds}
+        forest.replace(found)
+    return forest
+
+
 def _link_alike(reps: DataFrame, n: int, threshold: float, trees: int, leaf: int, cell: int) -> DataFrame:
     """Counts and edges among distinct vectors of one length."""
-    sample = units(reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks())
     spill = SPILL * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-    grown, first = [], 0
-    for t in range(trees):
-        grown.append(Tree(sample, depth, spill, _SEED + t, first))
-        first = grown[-1].leaves
+    forest = plant(reps, n, max(leaf, n // LEAVES), trees, spill)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = units(batch.column("v"))
-            where, which = zip(*((rows, np.full(len(rows), leaf, dtype=np.int64)) for tree in grown for leaf, rows in tree.reach(x)), strict=True)
-            rows, leaves = np.concatenate(where), np.concatenate(which)
+            rows, leaves = forest.reach(x)
             order = np.lexsort((leaves, rows))
             rows, leaves = rows[order], leaves[order]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))]).astype(np.int32)
@@ -276,7 +384,7 @@ def _link_alike(reps: DataFrame, n: int, threshold: float, trees: int, leaf: int
     if large.isEmpty():
         rows = rows.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
     else:
-        # At most one row for each leaf of the trees, which the sample bounds.
+        # A row for each large leaf; their number has the bound that LEAVES gives.
         rows = rows.join(F.broadcast(large), "leaf", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "leaf"), F.col("cells")).cast("int"))
         rows = rows.withColumn("cell", F.explode(F.sequence("own", F.col("cells") - 1))).withColumn("home", F.col("cell") == F.col("own"))

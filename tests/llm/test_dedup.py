@@ -262,8 +262,36 @@ def test_forest_recall(spark, cell, leaf):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
-def test_forest_query(spark, small):
+def test_forest_beyond_its_sample(spark, monkeypatch):
+    """Leaves stay small and planted pairs are found where vectors are twelve times the sample."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(5_000, 24))
+    x = np.concatenate([base, base[:1_000] + rng.normal(scale=0.28, size=(1_000, 24)), base[:1] + rng.normal(scale=0.01, size=(300, 24))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(forest, "SAMPLE", 512)
+    monkeypatch.setattr(forest, "OWN", 256)
+    got = {r["vec_id"]: r["n_links"] for r in forest.link_vectors(vectors(spark, rows), leaf=64, cell=128).collect()}
+    counts = np.bincount(np.array(brute_links(rows, 0.95)).ravel(), minlength=len(rows))
+    found = np.array([got[i] for i in range(len(rows))])
+    apart = np.r_[1:5_000]
+    assert counts[apart].sum() > 300 and (found <= counts).all()
+    assert found[apart].sum() >= 0.9 * counts[apart].sum() and found.sum() >= 0.9 * counts.sum()
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    reps = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(units)], "node long, v array<double>")
+    grown = forest.plant(reps, len(x), 64, 6, 0.01)
+    sizes = np.bincount(grown.reach(units[:5_000])[1])
+    assert sizes.max() <= 2 * 64 and len(grown.leaf) > 6 * 60
+
+
+def test_forest_query(spark, small, tmp_path):
+    """The registered query, over the table with near copies planted among its rows."""
+    rng = np.random.default_rng(7)
     rows = [(r["vec_id"], list(map(float, r["embedding"]))) for r in common.table(spark, small, "embeddings").collect()]
+    size = len(rows[0][1])
+    rows += [(10_000 + i, (np.array(rows[i % 40][1]) + rng.normal(scale=0.2 / size**0.5, size=size)).tolist()) for i in range(200)]
+    vectors(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    small = str(tmp_path)
+    assert len(brute_links(rows, 0.95)) > 200
     counts = np.bincount(np.array(brute_links(rows, 0.95) or [(0, 0)][:0], dtype=int).ravel(), minlength=len(rows))
     got = {r["vec_id"]: r["n_links"] for r in forest.op10_projection_forest(spark, small).collect()}
     assert len(got) == len(rows)
