@@ -3,10 +3,11 @@
 Integer vectors get one more component, so that all are equally long, M; for a query (with zero
 there) |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the highest inner products are the nearest points.
 Each vector is keyed by its nearest pivot and its distance to it, and the keys are dealt by
-ranges: a part holds consecutive annuli around few pivots. A query first searches its own part,
-which gives it a k-th score to beat; then it visits those other parts, and there those annuli,
-that the triangle inequality does not rule out. Annuli are taken by falling bound until none
-can improve a result.
+ranges: a part holds consecutive annuli around few pivots. Of every annulus the least and greatest
+distances to all pivots are known, and the triangle inequality holds for each of them, so that
+the tightest counts. A query first searches its own part, which gives it a k-th score to beat;
+then it visits those other parts, and there those annuli, that no pivot rules out. Annuli are
+taken by falling bound until none can improve a result.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-PIVOTS = 64
+#: Pivots, least and most; between them four times the fourth root of the vectors.
+PIVOTS = (64, 512)
 #: Vectors that pivots are picked among. All vectors are indexed.
 SAMPLE = 4_096
 #: Vectors of a part, about: what a task holds while queries stream past it.
-PART = 16_384
-_ANNULUS = 512
+PART = 65_536
+_ANNULUS = 128
 _QUERIES = 512
 _EXACT = 1 << 53
 _LONG = (1 << 63) - 1
@@ -69,24 +71,52 @@ def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return np.array(picked)
 
 
+class Boxes:
+    """Least and greatest distances of groups of vectors to every pivot."""
+
+    def __init__(self, pivots: np.ndarray, longest2: float, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.longest2, self.low, self.high = pivots, longest2, low, high
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The highest score that each query can have in each group, a little widened against
+        rounding."""
+        q2 = (q * q).sum(axis=1)
+        to = distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), self.pivots)
+        gap = np.zeros((len(q), len(self.low)))
+        for p in range(len(self.pivots)):
+            np.maximum(gap, self.low[None, :, p] - to[:, p, None], out=gap)
+            np.maximum(gap, to[:, p, None] - self.high[None, :, p], out=gap)
+        # Squared distances come from differences of squares, whose rounding grows with those.
+        gap = np.maximum(0, gap - 2e-7 * (1 + np.sqrt(self.longest2 + q2.max(initial=0))))
+        return (q2[:, None] + self.longest2 - gap * gap) / 2 * (1 + 1e-9) + 1 + 1e-9 * self.longest2
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T))
+
+
+def lifted(x: np.ndarray, longest2: float) -> np.ndarray:
+    """With one more component, which makes all vectors equally long."""
+    return np.concatenate([x, np.sqrt(np.maximum(0, longest2 - (x * x).sum(axis=1)))[:, None]], axis=1)
+
+
 class _Part:
-    """The vectors of one part, in annuli, and the search among them."""
+    """The vectors of one part, in annuli, and the search among them. ``scored`` counts the
+    products that were computed."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, pivot: np.ndarray, dist: np.ndarray, pivots: np.ndarray, longest2: float):
         order = np.lexsort((ids, dist, pivot))
-        self.ids, self.points, pivot, dist = ids[order], points[order], pivot[order], dist[order]
-        self.pivots, self.longest2 = pivots, longest2
+        self.ids, self.points, pivot = ids[order], points[order], pivot[order]
         cuts = np.flatnonzero(np.diff(pivot)) + 1
-        self.annuli = []
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pivot)], strict=True):
-            for at in range(lo, hi, _ANNULUS):
-                end = min(hi, at + _ANNULUS)
-                self.annuli.append((at, end, int(pivot[at]), float(dist[at]), float(dist[end - 1])))
+        self.annuli = [(at, min(hi, at + _ANNULUS)) for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pivot)], strict=True) for at in range(lo, hi, _ANNULUS)]
+        to = [distances(lifted(self.points[a:b], longest2), pivots) for a, b in self.annuli]
+        self.boxes = Boxes(pivots, longest2, np.array([d.min(axis=0) for d in to]), np.array([d.max(axis=0) for d in to]))
+        self.scored = 0
 
-    def search(self, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def search(self, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hits (query, vector, score): of each query the k best here that reach its floor."""
         n = len(qid)
-        bounds = score_bounds(q, self.pivots, self.longest2, [(p, lo, hi) for _, _, p, lo, hi in self.annuli])
+        bounds = self.boxes.bounds(q)
         best_s = np.full((n, k), np.iinfo(np.int64).min)
         best_v = np.full((n, k), np.iinfo(np.int64).max)
         kth = floor.astype(np.float64)
@@ -94,8 +124,13 @@ class _Part:
             own = np.flatnonzero(bounds[:, j] >= kth)
             if not len(own):
                 continue
-            lo, hi = self.annuli[j][:2]
+            lo, hi = self.annuli[j]
             scores = products(q[own], self.points[lo:hi])
+            self.scored += scores.size
+            some = (scores >= kth[own][:, None]).any(axis=1)
+            own, scores = own[some], scores[some]
+            if not len(own):
+                continue
             ids = np.broadcast_to(self.ids[lo:hi], scores.shape)
             self_hit = ids == qid[own][:, None]
             s = np.concatenate([best_s[own], np.where(self_hit, np.iinfo(np.int64).min, scores)], axis=1)
@@ -105,20 +140,7 @@ class _Part:
             kth[own] = np.maximum(kth[own], best_s[own][:, -1])
         hit = (best_v != np.iinfo(np.int64).max) & (best_s >= floor[:, None])
         rows, cols = np.nonzero(hit)
-        yield qid[rows], best_v[rows, cols], best_s[rows, cols]
-
-
-def score_bounds(q: np.ndarray, pivots: np.ndarray, longest2: float, annuli: list[tuple[int, float, float]]) -> np.ndarray:
-    """The highest score that each query can have in each annulus (pivot, least and greatest
-    distance), a little widened against rounding."""
-    q2 = (q * q).sum(axis=1)
-    lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-    to = np.sqrt(np.maximum(0, q2[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * lifted @ pivots.T))
-    which = np.array([a[0] for a in annuli], dtype=int)
-    lo, hi = np.array([a[1] for a in annuli]), np.array([a[2] for a in annuli])
-    slack = 1e-7 * (1 + np.sqrt(longest2 + q2.max(initial=0)))
-    gap = np.maximum(0, np.maximum(lo[None, :] - to[:, which], to[:, which] - hi[None, :]) - slack)
-    return (q2[:, None] + longest2 - gap * gap) / 2 * (1 + 1e-9) + 1 + 1e-9 * longest2
+        return qid[rows], best_v[rows, cols], best_s[rows, cols]
 
 
 def _search(rows: DataFrame, pivots: np.ndarray, longest2: float, k: int) -> DataFrame:
@@ -145,8 +167,8 @@ def _search(rows: DataFrame, pivots: np.ndarray, longest2: float, k: int) -> Dat
                     continue
                 for a in range(lo, hi, _QUERIES):
                     b = min(hi, a + _QUERIES)
-                    for hits in index.search(vec_id[a:b], points[a:b], floor[a:b], k):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in hits], names=["query_id", "vec_id", "score"])
+                    hits = index.search(vec_id[a:b], points[a:b], floor[a:b], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in hits], names=["query_id", "vec_id", "score"])
 
     dealt = rows.select("part", "is_query", "vec_id", "pivot", "dist", "floor", "q").repartition("part").sortWithinPartitions("part", "is_query", "pivot", "dist")
     return dealt.mapInArrow(run, HITS)
@@ -164,49 +186,66 @@ def _by_score():
     return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
 
-def top_k(vectors: DataFrame, *, k: int = 10, scale: int = 1024, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, part: int = PART) -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 10, scale: int = 1024, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None, part: int = PART) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k highest inner products.
 
     Components become floor(scale * x). Queries are the vectors whose id is divisible by
-    ``every``; candidates are all other rows; ties go to the smaller vec_id. A query with fewer
-    candidates has them all. Left out on both sides: null ids and vectors, vectors with a null
-    or non-finite component, and vectors that aren't as long as the first of the table's ids.
-    Rows with the query's id are no candidates, repeated ids otherwise count once a row. Empty
-    and one-row tables give no rows; other columns are left unread. Pivots are picked among
-    4,096 sampled vectors; every vector is indexed, and the result is exact.
+    ``every``; candidates are all other rows as long as the query, as there is no product of
+    vectors of different lengths; ties go to the smaller vec_id. A query with fewer candidates has
+    them all. Left out on both sides: null ids and vectors, empty vectors, and vectors with a null
+    or non-finite component. Rows with the query's id are no candidates, repeated ids otherwise
+    count once a row; a query id that is repeated asks once, with its least vector. Empty and
+    one-row tables give no rows; other columns are left unread. Pivots are picked among 4,096
+    sampled vectors; every vector is indexed, and the result is exact.
     """
     spark = vectors.sparkSession
     ints = quantised(vectors, scale, id_col, vec_col)
-    size = ints.groupBy(F.size("q").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)).alias("m2"), F.min("vec_id").alias("low")).orderBy("low").first()
-    empty = spark.createDataFrame([], HITS).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    if size is None or size["dims"] == 0:
-        return empty
-    dims, n, longest2 = size["dims"], size["n"], float(size["m2"])
-    ints = ints.where(F.size("q") == dims)
-    sample = _matrix(ints.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("q").toArrow().column("q").combine_chunks())
+    m2 = F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x))
+    sizes = ints.groupBy(F.size("q").alias("dims")).agg(F.count("*").alias("n"), m2.alias("m2"), F.count_if(F.col("vec_id") % every == 0).alias("asking")).where("dims > 0 AND n > 1 AND asking > 0").orderBy("dims").collect()
+    hits = spark.createDataFrame([], HITS)
+    for size in sizes:
+        hits = hits.unionByName(_hits(ints.where(F.size("q") == size["dims"]), size["n"], float(size["m2"]), k, every, pivots, part))
+    return _best(_best(hits, k).select("query_id", "vec_id", "score") if len(sizes) > 1 else hits, k)
 
-    def lift(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, np.sqrt(np.maximum(0, longest2 - (x * x).sum(axis=1)))[:, None]], axis=1)
 
-    chosen = pick_pivots(lift(sample), pivots)
+def _hits(ints: DataFrame, n: int, longest2: float, k: int, every: int, pivots: int | None, part: int) -> DataFrame:
+    """Hits of vectors of one length that hold every query's k best."""
+    spark = ints.sparkSession
+    sample = _matrix(ints.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("q").toArrow().column("q").combine_chunks())
+    chosen = pick_pivots(lifted(sample, longest2), pivots or max(PIVOTS[0], min(PIVOTS[1], int(4 * n**0.25))))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (chosen * chosen).sum(axis=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = lift(_matrix(batch.column(1)))
-            d2 = np.maximum(0, (x * x).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ chosen.T)
-            near = d2.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(x)), near]))], names=["vec_id", "q", "pivot", "dist"])
+            d = distances(lifted(_matrix(batch.column(1)), longest2), chosen)
+            near = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["vec_id", "q", "pivot", "dist"])
 
     parts = max(1, min(65_536, -(-n // part)), min(n // 1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keyed = ints.select("vec_id", "q").mapInArrow(key, "vec_id long, q array<double>, pivot int, dist double")
     keyed = materialise(keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").withColumn("part", F.spark_partition_id()))
-    # A part covers a run of the sorted keys: at most parts + pivots rows.
-    covers = [(r["part"], r["pivot"], r["lo"], r["hi"]) for r in keyed.groupBy("part", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()]
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The box of each run of a part around one pivot."""
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = distances(lifted(_matrix(batch.column(2)), longest2), chosen)
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            for own in np.unique(keys, axis=0):
+                rows, at = (keys == own).all(axis=1), tuple(own.tolist())
+                low, high = d[rows].min(axis=0), d[rows].max(axis=0)
+                held[at] = (np.minimum(held[at][0], low), np.maximum(held[at][1], high)) if at in held else (low, high)
+        if held:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([a for a, _ in held], pa.int32()), "low": [v[0] for v in held.values()], "high": [v[1] for v in held.values()]})
+
+    # A part covers a run of the sorted keys: at most parts + pivots rows, and some more where a file is split.
+    covers = keyed.select("part", "pivot", "q").mapInArrow(cover, "part int, low array<double>, high array<double>").orderBy("part").collect()
+    names = np.array([c["part"] for c in covers])
+    boxes = Boxes(chosen, longest2, np.array([c["low"] for c in covers]), np.array([c["high"] for c in covers]))
     home = keyed.withColumn("is_query", F.lit(False)).withColumn("floor", F.lit(-_LONG))
-    # A repeated query id asks once, with its least vector.
     asking = keyed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("q", "pivot", "dist", "part")).alias("s")).select("vec_id", "s.*")
     queries = asking.withColumn("is_query", F.lit(True)).withColumn("floor", F.lit(-_LONG))
     first = materialise(_search(home.unionByName(queries), chosen, longest2, k))
@@ -215,12 +254,10 @@ def top_k(vectors: DataFrame, *, k: int = 10, scale: int = 1024, every: int = 10
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query once for every other part that may hold a score up to its floor."""
-        names = np.array([c[0] for c in covers])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bounds = score_bounds(_matrix(batch.column("q")), chosen, longest2, [c[1:] for c in covers])
-            may = bounds >= batch.column("floor").to_numpy()[:, None]
+            may = boxes.bounds(_matrix(batch.column("q"))) >= batch.column("floor").to_numpy()[:, None]
             for p in np.unique(names):
                 rows = np.flatnonzero(may[:, names == p].any(axis=1) & (batch.column("part").to_numpy() != p))
                 if len(rows):
@@ -230,7 +267,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, scale: int = 1024, every: int = 10
     columns = ["vec_id", "q", "pivot", "dist", "part", "is_query", "floor"]
     asked = asked.select(columns)
     rest = _search(home.select(columns).unionByName(asked.mapInArrow(visit, asked.schema)), chosen, longest2, k)
-    return _best(first.unionByName(rest), k)
+    return first.unionByName(rest)
 
 
 def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

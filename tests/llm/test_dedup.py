@@ -210,6 +210,30 @@ def test_top_k_is_exact(spark, part, scale):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_top_k_of_two_lengths(spark):
+    """A vector's candidates are those of its own length; one odd row drops nobody."""
+    rng = np.random.default_rng(8)
+    short, long = [(i, rng.normal(size=3).tolist()) for i in range(5, 300)], [(i, rng.normal(size=5).tolist()) for i in range(300, 420)] + [(0, [1.0] * 5)]
+    assert top_rows(topk.top_k(vectors(spark, short + long))) == sorted(brute_top(short, 10, 100) + brute_top(long, 10, 100))
+
+
+def test_annuli_are_ruled_out_in_clusters():
+    """Of clustered vectors a query scores less than half, and finds the best of all."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(50, 32)) * 1024
+    x = np.floor(centers[rng.integers(0, 50, 20_000)] + rng.normal(size=(20_000, 32)) * 200)
+    longest2 = float((x * x).sum(axis=1).max())
+    pivots = topk.pick_pivots(topk.lifted(x[:4_096], longest2), 64)
+    d = topk.distances(topk.lifted(x, longest2), pivots)
+    ids = np.arange(len(x))
+    part = topk._Part(ids, x, d.argmin(axis=1), d.min(axis=1), pivots, longest2)
+    q = ids[:200]
+    got = part.search(q, x[q], np.full(200, -(2**62)), 10)
+    best = np.sort(np.where(ids[None, :] == q[:, None], -np.inf, x[q] @ x.T), axis=1)[:, ::-1][:, :10]
+    assert sorted(zip(got[0].tolist(), got[2].tolist(), strict=True)) == sorted((int(i), int(s)) for i, row in zip(q, best, strict=True) for s in row)
+    assert part.scored < 0.5 * 200 * len(x)
+
+
 def test_top_k_beyond_doubles(spark):
     rows = [(i, [float(2**30 + i), float(3 * i)]) for i in range(30)]
     assert top_rows(topk.top_k(vectors(spark, rows), k=4, scale=1)) == brute_top(rows, 4, 100, 1.0)
