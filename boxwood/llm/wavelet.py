@@ -1,22 +1,25 @@
 """Token ids in a binary file format: one wavelet matrix per shard.
 
 A shard holds the ids of consecutive documents. Its bit planes, from the highest bit down, are
-stored packed, each plane permuted stably by the planes above it; counts of ones every 512 bits
-give rank and select in constant and logarithmic time. Token access, counting and occurrence
-lookup work on the planes alone, without decoding the shard.
-
-File layout (little-endian): magic ``BXWM1``, then a zstd frame of
-
-- header, 6 unsigned 64-bit: documents, documents with null id (they come first), tokens, bits,
-  bytes of a plane, ids before this shard in its part
-- document ids (signed 64-bit), document lengths (unsigned 64-bit)
-- zeros of each plane (unsigned 64-bit)
-- the planes, highest bit first
+each permuted stably by the planes above it, cut into blocks of 65,536 bits, and compressed block
+by block; the file holds the ones before every block. So token access, counting and occurrence
+lookup inflate one block a plane (rank) or the blocks that hold the answers (select), and never
+decode the shard.
+
+File layout (little-endian): magic ``BXWM2``, then
+
+- header, 7 unsigned 64-bit: documents, documents with null id (they come first), tokens, bits,
+  ids before this shard in its part, bytes of the compressed documents' table, blocks of a plane
+- documents' table, a zstd frame: ids (signed 64-bit), lengths (unsigned 64-bit)
+- by plane, highest bit first: ones before each block and in all (unsigned 64-bit)
+- by plane: where each block begins in the file, and where the last one ends (unsigned 64-bit)
+- the blocks, a zstd frame each
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import materialise, spans, table
 from .tokens import BPE, encoder
 
-MAGIC = b"BXWM1"
+MAGIC = b"BXWM2"
 #: A shard is closed once it holds so many tokens; a document is never split over two.
 SHARD_TOKENS = 1 << 20
-_BLOCK = 512
+#: Bits of a block: what one access inflates of a plane.
+BLOCK = 1 << 16
+_HEAD = 7
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
@@ -39,12 +44,55 @@ DOCS = "doc_id long, start long, n_tokens long, ids binary"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
+class Plane:
+    """Bits in packed blocks, with the ones before each block and in all."""
+
+    def __init__(self, blocks: list[np.ndarray]):
+        self._blocks = blocks
+        self.ranks = np.concatenate([[0], np.cumsum([np.bitwise_count(b).sum(dtype=np.int64) for b in blocks])]).astype(np.int64)
+
+    def block(self, at: int) -> np.ndarray:
+        return self._blocks[at]
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.block(i) for i in range(len(self.ranks) - 1)]) if len(self.ranks) > 1 else np.zeros(0, np.uint8)
+
+    def ones(self, at: int) -> int:
+        """Ones among the first ``at`` bits."""
+        which, rest = divmod(at, BLOCK)
+        found = int(self.ranks[which])
+        if rest:
+            p = self.block(which)
+            found += int(np.bitwise_count(p[: rest // 8]).sum(dtype=np.int64))
+            if rest % 8:
+                found += (int(p[rest // 8]) & ((1 << rest % 8) - 1)).bit_count()
+        return found
+
+    def places(self, bit: int, ks: np.ndarray) -> np.ndarray:
+        """Where the k-th ones (or zeros) are, for ascending k from 0."""
+        before = self.ranks if bit else np.arange(len(self.ranks)) * BLOCK - self.ranks
+        which = np.searchsorted(before, ks, side="right") - 1
+        out = np.empty(len(ks), dtype=np.int64)
+        for b in np.unique(which).tolist():
+            own = which == b
+            bits = np.unpackbits(self.block(b), bitorder="little")
+            out[own] = b * BLOCK + np.flatnonzero(bits == bit)[ks[own] - before[b]]
+        return out
+
+
+class StoredPlane(Plane):
+    """A plane in a file: blocks are inflated as they are asked for, the last ones kept."""
+
+    def __init__(self, file: memoryview, ranks: np.ndarray, begins: np.ndarray):
+        self.ranks = ranks
+        self.block = lru_cache(maxsize=16)(lambda at: np.frombuffer(zstandard.ZstdDecompressor().decompress(file[int(begins[at]) : int(begins[at + 1])]), np.uint8))
+
+
 class WaveletMatrix:
-    """Rank, select and access over a sequence of unsigned ids, from packed bit planes."""
+    """Rank, select and access over a sequence of unsigned ids, on its bit planes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
         self.n, self.planes, self.zeros, self.bits = n, planes, zeros, len(planes)
-        self._ones: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -55,7 +103,8 @@ class WaveletMatrix:
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (current & kind(1 << k)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            packed = np.packbits(ones, bitorder="little")
+            planes.append(Plane([packed[at : at + BLOCK // 8] for at in range(0, len(packed), BLOCK // 8)]))
             low = current.compress(~ones)
             zeros.append(len(low))
             current = np.concatenate([low, current.compress(ones)])
@@ -67,66 +116,61 @@ class WaveletMatrix:
         current = np.zeros(self.n, kind)
         for k in range(self.bits):
             plane, zeros = self.planes[self.bits - 1 - k], self.zeros[self.bits - 1 - k]
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(plane.packed(), count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
             above[np.flatnonzero(~ones)] = current[:zeros]
             above[np.flatnonzero(ones)] = current[zeros:] | kind(1 << k)
             current = above
         return current
 
-    def _rank_ones(self, plane: int, at: int) -> int:
-        """Ones among the first ``at`` bits of a plane."""
-        if self._ones is None:
-            self._ones = []
-            for p in self.planes:
-                counts = np.bitwise_count(np.pad(p, (0, -len(p) % (_BLOCK // 8)))).reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.int64)
-                self._ones.append(np.concatenate([[0], np.cumsum(counts)]))
-        block, rest = divmod(at, _BLOCK)
-        p = self.planes[plane][block * (_BLOCK // 8) : block * (_BLOCK // 8) + (rest + 7) // 8]
-        found = int(self._ones[plane][block])
-        if rest:
-            found += int(np.bitwise_count(p[: rest // 8]).sum(dtype=np.int64))
-            if rest % 8:
-                found += (int(p[rest // 8]) & ((1 << rest % 8) - 1)).bit_count()
-        return found
-
     def access(self, at: int) -> int:
         """The id at a position."""
         if not 0 <= at < self.n:
             raise IndexError(at)
         value = 0
-        for plane in range(self.bits):
-            before = self._rank_ones(plane, at)
-            one = self._rank_ones(plane, at + 1) - before
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            before = plane.ones(at)
+            one = plane.ones(at + 1) - before
             value = value << 1 | one
-            at = self.zeros[plane] + before if one else at - before
+            at = zeros + before if one else at - before
         return value
 
+    def _run(self, value: int, lo: int, hi: int) -> tuple[int, int]:
+        """Where the occurrences of an id in [lo, hi) end up below the lowest plane."""
+        for k, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
+            a, b = plane.ones(lo), plane.ones(hi)
+            lo, hi = (zeros + a, zeros + b) if value >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
+        return lo, hi
+
     def rank(self, value: int, end: int, start: int = 0) -> int:
         """Occurrences of an id in [start, end)."""
-        if value < 0 or value >> self.bits:
-            return 0
         lo, hi = max(0, start), min(end, self.n)
-        if hi <= lo:
+        if value < 0 or value >> self.bits or hi <= lo:
             return 0
-        for plane in range(self.bits):
-            a, b = self._rank_ones(plane, lo), self._rank_ones(plane, hi)
-            lo, hi = (self.zeros[plane] + a, self.zeros[plane] + b) if value >> (self.bits - 1 - plane) & 1 else (lo - a, hi - b)
+        lo, hi = self._run(value, lo, hi)
         return hi - lo
 
+    def _up(self, value: int, at: np.ndarray) -> np.ndarray:
+        """Positions of occurrences, given their places below the lowest plane."""
+        for k in range(self.bits):
+            plane, zeros = self.planes[self.bits - 1 - k], self.zeros[self.bits - 1 - k]
+            bit = value >> k & 1
+            at = plane.places(bit, at - zeros if bit else at)
+        return at
+
     def select(self, value: int, k: int) -> int | None:
         """Position of the k-th occurrence (from 0) of an id, or None."""
-        if k < 0 or self.rank(value, self.n) <= k:
+        if k < 0 or value < 0 or value >> self.bits or not self.n:
             return None
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(value, mid + 1) > k else (mid + 1, hi)
-        return lo
+        lo, hi = self._run(value, 0, self.n)
+        return int(self._up(value, np.array([lo + k]))[0]) if lo + k < hi else None
 
     def occurrences(self, value: int) -> list[int]:
         """All positions of an id, ascending."""
-        return [self.select(value, k) for k in range(self.rank(value, self.n))]
+        if value < 0 or value >> self.bits or not self.n:
+            return []
+        lo, hi = self._run(value, 0, self.n)
+        return self._up(value, np.arange(lo, hi)).tolist()
 
 
 def write_shard(doc_ids: list[int | None], docs: list[np.ndarray], before: int = 0) -> bytes:
@@ -135,28 +179,33 @@ def write_shard(doc_ids: list[int | None], docs: list[np.ndarray], before: int =
     if any(x is None for x in doc_ids[nulls:]):
         raise ValueError("documents with a null id must come first")
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
-    matrix = WaveletMatrix.build(ids)
-    head = np.array([len(docs), nulls, len(ids), matrix.bits, len(matrix.planes[0]), before], dtype="<u8")
-    body = [head.tobytes(), np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), np.array([len(x) for x in docs], dtype="<u8").tobytes(), np.array(matrix.zeros, dtype="<u8").tobytes()]
-    return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join([*body, *(p.tobytes() for p in matrix.planes)]))
+    matrix, zip_ = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
+    names = zip_.compress(np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes() + np.array([len(x) for x in docs], dtype="<u8").tobytes())
+    blocks = [[zip_.compress(b.tobytes()) for b in p._blocks] for p in matrix.planes]
+    each = len(blocks[0])
+    begins = len(MAGIC) + 8 * _HEAD + len(names) + 8 * matrix.bits * 2 * (each + 1)
+    places = np.cumsum([0, *(len(b) for own in blocks for b in own)]) + begins
+    places = np.stack([places[k * each : (k + 1) * each + 1] for k in range(matrix.bits)])
+    head = np.array([len(docs), nulls, len(ids), matrix.bits, before, len(names), each], dtype="<u8")
+    ranks = np.stack([p.ranks for p in matrix.planes])
+    return b"".join([MAGIC, head.tobytes(), names, ranks.astype("<u8").tobytes(), places.astype("<u8").tobytes(), *(b for own in blocks for b in own)])
 
 
 class Shard:
-    """A file read back."""
+    """A file read back; planes are inflated block by block as they are needed."""
 
     def __init__(self, payload: bytes):
         if payload[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard")
-        raw = zstandard.ZstdDecompressor().decompress(payload[len(MAGIC) :])
-        n, nulls, tokens, bits, width, self.before = map(int, np.frombuffer(raw, "<u8", 6))
-        at = 48
-        ids = np.frombuffer(raw, "<i8", n, at).tolist()
-        self.doc_ids: list[int | None] = [None] * nulls + ids[nulls:]
-        self.lengths = np.frombuffer(raw, "<u8", n, at + 8 * n).astype(np.int64)
-        at += 16 * n
-        zeros = np.frombuffer(raw, "<u8", bits, at).astype(int).tolist()
-        at += 8 * bits
-        self.matrix = WaveletMatrix(tokens, [np.frombuffer(raw, np.uint8, width, at + k * width) for k in range(bits)], zeros)
+        file, at = memoryview(payload), len(MAGIC)
+        n, nulls, tokens, bits, self.before, size, each = map(int, np.frombuffer(file, "<u8", _HEAD, at))
+        at += 8 * _HEAD
+        names = zstandard.ZstdDecompressor().decompress(file[at : at + size])
+        at += size
+        self.doc_ids: list[int | None] = [None] * nulls + np.frombuffer(names, "<i8", n).tolist()[nulls:]
+        self.lengths = np.frombuffer(names, "<u8", n, 8 * n).astype(np.int64)
+        ranks, places = np.frombuffer(file, "<u8", 2 * bits * (each + 1), at).astype(np.int64).reshape(2, bits, each + 1)
+        self.matrix = WaveletMatrix(tokens, [StoredPlane(file, r, b) for r, b in zip(ranks, places, strict=True)], (tokens - ranks[:, -1]).tolist())
 
 
 def write_tokens(docs: DataFrame, *, tokenizer: str = BPE, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +243,9 @@ def write_tokens(docs: DataFrame, *, tokenizer: str = BPE, end_id: int = 0, shar
             yield flush()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS))
+    # Equal ids, should very many be equal, are dealt by how their texts begin.
+    dealt = own.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
+    return materialise(dealt.mapInArrow(run, SHARDS))
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:

@@ -143,6 +143,42 @@ def test_shard_round_trip():
         wavelet.Shard(b"something else")
 
 
+def test_one_file_answers_without_decoding():
+    """Access, counting and lookup inflate blocks, a few of each plane, and give what a scan gives."""
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, 400_000), 49_999).astype(np.uint16)
+    payload = wavelet.write_shard([1, 2], [ids[:150_000], ids[150_000:]])
+    assert len(payload) < 2 * len(ids)
+    blocks = -(-len(ids) // wavelet.BLOCK)
+    inflated = lambda m: sum(p.block.cache_info().misses for p in m.planes)
+    for at in (0, 65_535, 65_536, 131_072, 399_999):
+        m = wavelet.Shard(payload).matrix
+        assert m.access(at) == ids[at] and inflated(m) <= 2 * m.bits
+    for value in (1, 17, 1_234, 49_999, 60_000, 70_000):
+        at = np.flatnonzero(ids == value)
+        m = wavelet.Shard(payload).matrix
+        assert m.rank(value, 300_000, 100) == ((at >= 100) & (at < 300_000)).sum() and inflated(m) <= 2 * m.bits
+        m = wavelet.Shard(payload).matrix
+        k = len(at) // 2
+        assert m.select(value, k) == (at[k] if len(at) else None) and inflated(m) <= 4 * m.bits < m.bits * blocks
+        assert m.occurrences(value) == at.tolist()
+    assert (wavelet.Shard(payload).matrix.decode() == ids).all()
+
+
+def test_equal_ids_are_split(spark):
+    """Rows of one id are dealt over tasks, in the order of their texts."""
+    docs = spark.createDataFrame([(None, f"{i:05d} word") for i in range(4_000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = wavelet.write_tokens(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.count() > 1
+    rows = sorted(wavelet.read_tokens(shards).collect(), key=lambda r: r["start"])
+    assert len({bytes(r["ids"]) for r in rows}) == 4_000 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+    assert [bytes(r["ids"]) for r in rows] == [np.array([*encoder().tokenizer.encode(f"{i:05d} word", add_special_tokens=False).ids, 0], "<u4").tobytes() for i in range(4_000)]
+
+
 def test_token_files_take_every_case(spark):
     docs = documents(spark)
     shards = wavelet.write_tokens(docs, shard_tokens=50)
