@@ -54,12 +54,28 @@ _FOLD = _folding()
 _ASCII = bytes(ord(_FOLD.get(i, chr(i).lower())) if i < 128 else i for i in range(256))
 
 
-def fold(text: str) -> str:
+_ONE_AS_L = _FOLD | {ord("1"): "l"}
+
+
+def fold(text: str, table: dict[int, str | None] = _FOLD) -> str:
     """A text as the automaton reads it: words of folded letters, a space before each and after
     the last. Letters that aren't Latin look-alikes stay as they are."""
-    if text.isascii():
+    if text.isascii() and table is _FOLD:
         return " " + " ".join(text.encode().translate(_ASCII).decode().split()) + " "
-    return " " + " ".join(text.lower().translate(_FOLD).split()) + " "
+    return " " + " ".join(text.lower().translate(table).split()) + " "
+
+
+def _outside(hits: list[tuple[int, int, float]], spared: list[tuple[int, int]]) -> float:
+    """The weight of hits that lie in no spared span: one sweep, as the span that ends last of
+    those that begin before a hit holds it if any does."""
+    spared, total, at, reach = sorted(spared), [], 0, -1
+    for start, end, weight in sorted(hits):
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if end > reach:
+            total.append(weight)
+    return math.fsum(total)
 
 
 class Lexicon:
@@ -91,11 +107,15 @@ class Lexicon:
         if not text or not self.weights:
             return 0.0, 0
         folded = fold(text)
-        hits, spared = [], []
-        for end, (length, weight) in self._matcher().iter(folded):
-            (spared if weight is None else hits).append((end - length + 1, end, weight))
-        total = math.fsum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
-        return total, folded.count(" ") - 1
+        hits, spared = set(), set()
+        # A 1 may stand for an i or an l; both readings have the same places.
+        for form in (folded, fold(text, _ONE_AS_L)) if "1" in text else (folded,):
+            for end, (length, weight) in self._matcher().iter(form):
+                if weight is None:
+                    spared.add((end - length + 1, end))
+                else:
+                    hits.add((end - length + 1, end, weight))
+        return _outside(list(hits), list(spared)), folded.count(" ") - 1
 
     def features(self, text: str | None) -> tuple[float, float]:
         weight, words = self.measure(text)
@@ -230,7 +250,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose score is below 0.5."""
+    """The rows of ``docs``, all columns kept, whose score is below 0.5.
+
+    A null, empty or wordless text has no hit; repeated rows and ids are judged each on its own;
+    texts of any length are matched whole; an empty table stays empty; other columns pass as they
+    are, whatever their names.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,6 +173,19 @@ def test_toxicity_query(spark, small):
     assert agreement(spark, small, toxicity.op7_lexicon_toxicity(spark, small).collect(), "toxic") >= 0.85
 
 
+def test_spared_spans_in_one_sweep():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        hits = [(int(a), int(a + n), 1.0) for a, n in zip(rng.integers(0, 30, 8), rng.integers(1, 6, 8), strict=True)]
+        spared = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 30, 5), rng.integers(1, 12, 5), strict=True)]
+        assert toxicity._outside(hits, spared) == sum(not any(x <= a and b <= y for x, y in spared) for a, b, _ in hits)
+
+
+def test_a_one_is_an_i_or_an_l():
+    lexicon = toxicity.Lexicon({"vile": 2.0, "lout": 3.0}, ["vile weather"], [0.0, 1.0, 0.0])
+    assert lexicon.measure("v1le")[0] == lexicon.measure("vi1e")[0] == 2.0 and lexicon.measure("1out v1le v1le weather")[0] == 5.0 and lexicon.measure("11 111")[0] == 0.0
+
+
 def test_features_equal_a_convolution():
     rng = np.random.default_rng(2)
     net = quality.ByteNet(rng.normal(size=(8, 256, 5)).astype(np.float32), rng.normal(size=5).astype(np.float32), np.zeros(16), 0.0)
