@@ -14,13 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import estimated_tokens, materialise, table
 
 #: Tokens of history and span together; the system turn comes on top.
 BUDGET = 512
 HISTORY = 128
-#: A turn's tokens are estimated: its characters by this, and the marks around it.
-CHARS_PER_TOKEN = 4
+#: Tokens of the marks around a turn.
 TURN_TOKENS = 4
 #: Turns numbered so many at a time are summed on their own first, which splits a long conversation.
 CHUNK = 1024
@@ -57,22 +56,27 @@ def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), escape(role, True), F.lit("\n"), escape(text), F.lit(CLOSE))
 
 
-def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, chunk: int = CHUNK) -> DataFrame:
+def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, chunk: int = CHUNK, tokens_col: str | None = None) -> DataFrame:
     """conv_id, window (position of its first new turn), n_repeated (turns repeated before that),
     formatted, and loss (array of start and length in code points of ``formatted``, from 1).
 
+    A turn's tokens are those of ``tokens_col``, or estimated from its text: then a window's ids
+    are at most twice what its budget says, and fewer than that in the languages measured.
+
     Spans: turns that start within the same step of (budget - history) / 2 tokens go together,
     so a span of turns no longer than the step holds fewer than two steps; a longer turn is a
     span of its own, whole. A null text or role is empty; turns are taken by turn (null first),
     ties by role, then text; repeated rows are turns of their own; rows with a null conv_id
-    form one conversation; an empty table has no rows; other columns are left unread.
+    form one conversation; an empty table has no rows; other columns are left unread. Texts are
+    never cut, so a turn above the budget makes a window above it. A conversation of any length is
+    summed in chunks; one window's turns meet in one row.
     """
     step = max(1, (budget - history) // 2)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # A null id is a key like any other, so that plain equality keeps rows where they are.
     key = F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(""))
-    turns = conversations.select(key.alias("cid"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
-    turns = turns.withColumn("tokens", TURN_TOKENS + F.ceil(F.length("text") / CHARS_PER_TOKEN)).withColumn("long", F.col("tokens") > step).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))))
+    turns = conversations.select(key.alias("cid"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), *([F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("known")] if tokens_col else []))
+    turns = turns.withColumn("tokens", TURN_TOKENS + (F.col("known") if tokens_col else estimated_tokens("text"))).withColumn("long", F.col("tokens") > step).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))))
     placed = _with_prefix(turns, step).withColumn("k", F.floor(F.col("start") / step)).withColumn("l", 2 * F.col("longs") + F.col("long").cast("long")).withColumn("fmt", _turn(F.col("role"), F.col("text")))
     # Written once, as it is read three times: for the spans, for what repeats, for system turns.
     placed = materialise(placed.select("cid", "pos", "start", "tokens", "k", "l", "fmt", (F.col("role") == "assistant").alias("target"), F.length(escape(F.col("role"), True)).alias("role_length"), ((F.col("pos") == 1) & (F.col("role") == "system")).alias("system")))
@@ -136,7 +140,7 @@ WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
 ), e AS (
-    SELECT *, 4 + CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
+    SELECT *, 4 + CAST(ceil(length(text) / 2.0) + strlen(text) - length(text) AS BIGINT) AS tokens,
         17 + length(replace(replace(replace(replace(role, '\', '\0'), '<', '\1'), '[', '\2'), chr(10), '\3'))
            + length(replace(replace(replace(text, '\', '\0'), '<', '\1'), '[', '\2')) AS chars
     FROM c

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["bytes_of", "held_out", "materialise", "shared_dir", "slices", "spans", "table", "texts_of"]
+__all__ = ["bytes_of", "estimated_tokens", "held_out", "materialise", "shared_dir", "slices", "spans", "table", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def estimated_tokens(text: str) -> Column:
+    """Tokens of a text by its length, without an encoder: half its characters, and each further
+    byte of a character beyond the first. A byte-level encoding has at most one token a byte, so
+    the real number is at most twice this, whatever the script. Null: 0."""
+    chars, size = F.length(text), F.octet_length(text)
+    return F.coalesce(F.ceil(chars / 2) + size - chars, F.lit(0)).cast("long")
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
     """The column's strings; bytes that aren't UTF-8 become U+FFFD instead of an error."""
     try:

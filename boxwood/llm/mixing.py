@@ -18,14 +18,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import estimated_tokens, materialise, table
 
 #: Buckets of one source's permutation: the grain of budgets and blocks.
 BUCKETS = 1024
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1_000_000
-#: A text's tokens are estimated: characters by this, and an end mark.
-CHARS_PER_TOKEN = 4
+#: Rows of the schedule that are broadcast, at most (some 60 bytes each).
+FEW = 128 * BUCKETS
 
 
 @dataclass
@@ -72,7 +72,8 @@ def bisect_exponent(shares: np.ndarray, *, entropy: float | None = None, max_rep
 
 
 def tokens_of(text: str) -> Column:
-    return (1 + F.ceil(F.coalesce(F.length(text), F.lit(0)) / CHARS_PER_TOKEN)).cast("long")
+    """A text's estimated tokens and an end mark."""
+    return estimated_tokens(text) + 1
 
 
 def plan(sizes: dict[str | None, int], *, budget: int | None = None, entropy: float | None = None, max_repeats: float = MAX_REPEATS) -> Mixture:
@@ -123,9 +124,10 @@ def _schedule(sums: DataFrame, mixture: Mixture, block_tokens: int, seed: int) -
     return due.select("source", "bucket", "pass", "weight", F.floor(at / per_block).cast("long").alias("block"), (at / per_block).alias("begin"), ((at + F.col("tokens")) / per_block).alias("end"))
 
 
-def schedule(docs: DataFrame, *, budget: int | None = None, entropy: float | None = None, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Mixture, DataFrame]:
-    """The mixture of ``docs`` and its schedule. Sums by source come to the driver."""
-    own = docs.select(F.col(source_col).cast("string").alias("source"), _bucket(id_col, text_col).alias("bucket"), tokens_of(text_col).alias("tokens"))
+def schedule(docs: DataFrame, *, budget: int | None = None, entropy: float | None = None, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens_col: str | None = None) -> tuple[Mixture, DataFrame]:
+    """The mixture of ``docs`` and its schedule. Sums by source come to the driver. Tokens are
+    estimated, unless a column has their number."""
+    own = docs.select(F.col(source_col).cast("string").alias("source"), _bucket(id_col, text_col).alias("bucket"), (F.col(tokens_col).cast("long") if tokens_col else tokens_of(text_col)).alias("tokens"))
     sums = materialise(own.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")))
     sizes = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     if not sizes:
@@ -143,14 +145,15 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     weights too; a row's copies are about a pass of its source apart.
 
     See ``schedule`` for the parameters. A null source is a source of its own, a null text is
-    one token; equal rows and ids are rows of their own; an empty table stays empty.
+    one token; texts of any length go whole; equal rows and ids are rows of their own; an empty
+    table stays empty; other columns pass as they are.
     """
     id_col, text_col, source_col = (how.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     _, taken = schedule(docs, **how)
     taken = taken.select(*(F.col(c).alias(f"_boxwood_{c}") for c in ("source", "bucket", "pass", "block", "begin", "end")))
     same = F.col(source_col).cast("string").eqNullSafe(F.col("_boxwood_source")) & (_bucket(id_col, text_col) == F.col("_boxwood_bucket"))
-    # A row of the schedule is some 60 bytes: up to half a million they are broadcast, beyond they are joined by a shuffle.
-    few = taken.count() <= 500 * BUCKETS
+    # Either way gives the same rows.
+    few = taken.count() <= FEW
     joined = docs.join(F.broadcast(taken) if few else taken, same)
     share = F.pmod(F.xxhash64(F.lit(how.get("seed", 0)), "_boxwood_pass", F.col(id_col).cast("string"), text_col), F.lit(1 << 20)) / (1 << 20)
     placed = joined.withColumn("_boxwood_at", F.col("_boxwood_begin") + share * (F.col("_boxwood_end") - F.col("_boxwood_begin")))
@@ -171,7 +174,7 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The bisected exponent has a closed form for a repetition limit: (least / most share)^(a - 1) = limit.
 ORACLE_SQL = f"""
 WITH d AS (
-    SELECT doc_id, source, CAST(1 + ceil(coalesce(length(text), 0) / {CHARS_PER_TOKEN}.0) AS BIGINT) AS tokens,
+    SELECT doc_id, source, 1 + CAST(coalesce(ceil(length(text) / 2.0) + strlen(text) - length(text), 0) AS BIGINT) AS tokens,
         CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 8) AS BIGINT) % {BUCKETS} AS bucket
     FROM documents
 ), n AS (

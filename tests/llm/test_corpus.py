@@ -66,12 +66,38 @@ def test_chat_takes_every_case(spark):
     assert chat.format_windows(conversations(spark, NASTY).where("1 = 0")).count() == 0
 
 
+def estimate(text):
+    return math.ceil(len(text) / 2) + len(text.encode()) - len(text)
+
+
+SENTENCES = [
+    "The committee will publish its findings in the spring. ", "Die Ergebnisse werden im Frühjahr veröffentlicht. ", "Los resultados se publicarán en la próxima primavera, según la comisión. ",
+    "委員会は春に結果を発表する予定です。", "Результаты будут опубликованы весной. ", "x=1;y=22;z=(3.14,0x7f)\n", "𝒳𝒴😀🎉",
+]
+
+
+def test_windows_by_the_tokenizer(spark):
+    """Real ids of windows in several scripts: within the budget for prose, and never twice it;
+    counted in a column, never above it."""
+    from boxwood.llm.tokens import encoder
+
+    tok = encoder().tokenizer
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    rows = [(c, i, "user" if i % 2 else "assistant", s * (1 + i % 3)) for c, s in enumerate(SENTENCES) for i in range(60)]
+    df = conversations(spark, rows)
+    known = spark.createDataFrame([(*r, count(r[3])) for r in rows], "conv_id long, turn long, role string, text string, tokens long")
+    for windows, limits in ((chat.format_windows(df), [512] * 5 + [1024] * 2), (chat.format_windows(known, tokens_col="tokens"), [512] * 7)):
+        for r in windows.collect():
+            turns = [p.split("\n", 1)[1].removesuffix("<|end|>\n") for p in r["formatted"].split("<|turn|>")[1:]]
+            assert sum(4 + count(t) for t in turns) <= limits[r["conv_id"]], r["conv_id"]
+
+
 @pytest.mark.parametrize("chunk", [3, 1024])
 def test_windows_keep_to_the_budget(spark, chunk):
     rng = np.random.default_rng(0)
     rows = [(c, i, "system" if i == 0 and c % 2 else "user" if i % 2 else "assistant", "w" * int(rng.integers(1, 300))) for c in range(6) for i in range(40)]
     got = chat.format_windows(conversations(spark, rows), budget=200, history=60, chunk=chunk).collect()
-    size = lambda t: 4 + math.ceil(len(t) / 4)
+    size = lambda t: 4 + estimate(t)
     assert any(r["n_repeated"] > 1 for r in got)
     for r in got:
         turns = [p.split("\n", 1)[1].removesuffix("<|end|>\n") for p in r["formatted"].split("<|turn|>")[1:]]
@@ -154,7 +180,7 @@ def test_mixing_query(spark, small):
     check_mix(docs, rows, lambda r: (r["doc_id"], r["source"]))
     tokens, taken = Counter(), Counter()
     for r in docs:
-        tokens[r["source"]] += 1 + math.ceil(len(r["text"] or "") / 4)
+        tokens[r["source"]] += 1 + estimate(r["text"] or "")
     for r in rows:
         taken[r["source"]] += r["tokens"]
     m = mixing.plan(dict(tokens))
