@@ -117,11 +117,11 @@ def normalised_label(kind: Column, text: Column) -> Column:
 # The classes of node types, their patterns and ranks.
 _CALL = "^(?:call|call_expression|new_expression)$"
 _ENTITIES = (
-    ("conditional_guard", "^(?:if_statement|if_clause)$"), ("exception", "^(?:raise|throw)_statement$"), ("function", "(?:function|method)_(?:definition|declaration|expression)$"),
+    ("conditional_guard", "^(?:if_statement|if_clause)$"), ("exception", "^(?:raise_statement|throw_statement)$"), ("function", "(?:function|method)_(?:definition|declaration|expression)$"),
     ("class", "class_(?:definition|declaration)$"), ("named_argument", "^(?:keyword_argument|default_parameter)$"), ("object_property", "^pair$"),
     ("import", "^(?:import_statement|import_from_statement|import_clause|named_imports|dotted_name)$"),
     ("assignment", "^(?:assignment|assignment_expression|augmented_assignment|lexical_declaration|variable_declaration|variable_declarator)$"), ("return_value", "^return_statement$"),
-    ("loop", "^(?:for|while)_statement$"), ("comment", "^comment$"), ("function_call", _CALL), ("expression_statement", "^expression_statement$"),
+    ("loop", "^(?:for_statement|while_statement)$"), ("comment", "^comment$"), ("function_call", _CALL), ("expression_statement", "^expression_statement$"),
     ("literal", "^(?:string|string_fragment|integer|float|number|true|false|null|none|literal)$"), ("identifier", "(?:identifier|name)$"), ("delimiter", r"^[,;.:()\[\]{}]$"),
 )
 ENTITY_RANK = {
@@ -142,14 +142,14 @@ def entity(root: Column, types: Column) -> Column:
         if name == "expression_statement":
             out = out.when(hit & some(_CALL), "function_call")
         out = out.when(hit, name)
-    return out.when(some("^(?:if_statement|if_clause)$"), "conditional_guard").when(some("^(?:raise|throw)_statement$"), "exception").when(some(_CALL), "function_call").otherwise("unknown_construct")
+    return out.when(some("^(?:if_statement|if_clause)$"), "conditional_guard").when(some("^(?:raise_statement|throw_statement)$"), "exception").when(some(_CALL), "function_call").otherwise("unknown_construct")
 
 
 def container(kind: Column) -> Column:
     """The container that a node type is, or null."""
     rules = (
         ("function_call", "^(?:call|call_expression|new_expression|argument_list|arguments)$"), ("object_property", "^(?:object|dictionary|pair)$"), ("conditional_guard", "^(?:if_statement|if_clause)$"),
-        ("function", "(?:function|method)_(?:definition|declaration|expression)$"), ("class", "class_(?:definition|declaration)$"), ("loop", "^(?:for|while)_statement$"),
+        ("function", "(?:function|method)_(?:definition|declaration|expression)$"), ("class", "class_(?:definition|declaration)$"), ("loop", "^(?:for_statement|while_statement)$"),
         ("assignment", "assignment|lexical_declaration|variable_declaration"),
     )
     out = F.when(F.lit(False), F.lit(""))
@@ -169,19 +169,31 @@ def rank_of(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in ENTITY_RANK.items() for x in kv)), name)
 
 
-# Roles, the first whose pattern is found.
-_ROLES = (
-    ("import", "import|require|include|using_directive"), ("function", "function|method|lambda|arrow"), ("class", "class|struct|interface|trait|impl"), ("call", "call|invocation|new_expression"),
-    ("branch", "^if|else|switch|case|match|ternary|conditional"), ("loop", "for|while|do_statement|loop"), ("return", "return|yield"), ("exception", "try|catch|except|raise|throw|finally"),
-    ("assignment", "assign|declarator|declaration|let|const"), ("operator", "binary|unary|operator|comparison|boolean"), ("collection", "array|list|object|dict|map|tuple|set"), ("parameter", "param|argument"),
-    ("string", "string|template|char"), ("number", "int|float|number|decimal"), ("comment", "comment"), ("name", "identifier|name|attribute|member"),
-)
+# Roles that node types of several languages share, the first whose pattern matches.
+ROLES = (
+    ("function", "^(function_definition|function_declaration|method_definition|arrow_function|generator_function_declaration)$"),
+    ("class", "^(class_definition|class_declaration)$"),
+    ("call", "^(call|call_expression|new_expression)$"),
+    ("string", "^(string|string_fragment|template_string|concatenated_string)$"),
+    ("return", "^return_statement$"),
+    ("conditional", "^(if_statement|elif_clause|conditional_expression|ternary_expression)$"),
+    ("iteration", "^(for_statement|for_in_statement|while_statement|list_comprehension|dictionary_comprehension)$"),
+    ("assignment", "^(assignment|assignment_expression|augmented_assignment|lexical_declaration|variable_declaration|pair)$"),
+    ("access", "^(subscript|member_expression|attribute)$"),
+    ("operator", "^(binary_expression|comparison_operator|boolean_operator|unary_operator)$"),
+    ("sequence", "^(list|array|array_pattern|tuple|set)$"),
+    ("mapping", "^(dictionary|object|object_pattern)$"),
+    ("regex", "^(regex|regex_pattern)$"),
+    ("error_flow", "^(try_statement|except_clause|catch_clause|finally_clause)$"),
+    ("lambda", "^(lambda|lambda_expression)$"),
+    ("import", "^(import_statement|import_from_statement|import_clause)$"),
+)
 
 
 def role(kind: Column) -> Column:
-    """One of sixteen roles that node types of several languages share."""
+    """One of sixteen roles that node types of several languages share; null for other types."""
     out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in _ROLES:
+    for name, pattern in ROLES:
         out = out.when(F.rlike(kind, F.lit(pattern)), name)
     return out
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def materialise_once(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that the application has written under a key, else ``make``'s, written now."""
+    path = f"{own_dir(spark)}/once-{hashlib.sha1(key.encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there, so a lost
     executor costs no recomputation of what came before."""
