@@ -15,12 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans, table
+from .common import frugal, spans, table
 from .tokens import BPE, encoder
 
 CAPACITY = 1024
 #: Remainders placed together at most, which bounds memory: 16,384 x 1,024 ids of 4 bytes, 64 MB.
 POOL = 16_384
+#: Bytes of text encoded at once.
+_SPAN = 1 << 22
 #: Windows of one task: its number times 2**33 and onwards.
 TASK_BITS = 33
 
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = BPE, end
             rest = []
 
         for batch in batches:
-            for part in spans(batch, 1):
+            for part in spans(batch, 1, size=_SPAN):
                 for doc, ids in zip(part.column(0).to_pylist(), enc.ids(part.column(1)), strict=True):
                     ids = np.concatenate([ids.astype("<u4"), end])
                     total = len(ids)
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = BPE, end
             yield emit()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, SCHEMA)
+    return own.mapInArrow(frugal(run), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, held_out, slices, table
+from .common import bytes_of, frugal, held_out, slices, table
 from .labelled import Sample, labelled_sample
 
 #: Labelled texts of each label to learn from, at most; whole texts.
@@ -250,7 +250,7 @@ def score_quality(docs: DataFrame, net: ByteNet, *, threshold: float = THRESHOLD
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double, predicted int")
+    return own.mapInArrow(frugal(run), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, net: ByteNet, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -267,7 +267,7 @@ def keep_good(docs: DataFrame, net: ByteNet, *, threshold: float = THRESHOLD, te
             for part in slices(batch):
                 yield part.filter(pa.array(net.score([t or b"" for t in bytes_of(part.column(at))]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op9_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

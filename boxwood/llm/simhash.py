@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise, slices, table
+from .common import bytes_of, frugal, materialise, slices, table
 from .components import connected_components
 
 SEED = 42
@@ -295,7 +295,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 1, keys: int
                 yield pa.RecordBatch.from_pydict(columns)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp binary" + (", keys array<long>" if keys else "") + (", digest binary, size long" if distinct else ""))
+    return own.mapInArrow(frugal(run), "doc_id long, fp binary" + (", keys array<long>" if keys else "") + (", digest binary, size long" if distinct else ""))
 
 
 def _deal_by_tree(points: DataFrame, n: int, radius: int, width: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _deal_by_tree(points: DataFrame, n: int, radius: int, width: int) -> DataFra
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, dtype=np.int64)), pa.array(at_home[rows] == leaf), part.column(0).take(pa.array(rows))], names=["shard", "home", "fp"])
 
-    return points.select("fp").mapInArrow(run, "shard long, home boolean, fp binary")
+    return points.select("fp").mapInArrow(frugal(run), "shard long, home boolean, fp binary")
 
 
 def _deal_cells(rows: DataFrame, cell: int) -> DataFrame:
@@ -384,7 +384,7 @@ def _edges(rows: DataFrame, radius: int, width: int) -> DataFrame:
             yield emit()
 
     dealt = rows.select("shard", "cell", "home", "fp").repartition("shard", "cell")
-    return dealt.sortWithinPartitions("shard", "cell", F.desc("home"), "fp").mapInArrow(run, "a binary, b binary")
+    return dealt.sortWithinPartitions("shard", "cell", F.desc("home"), "fp").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def link_fingerprints(fps: DataFrame, *, radius: int = 3, width: int = 1, keys: int = 0, cell: int | None = None) -> DataFrame:
@@ -530,7 +530,7 @@ def _similar_edges(rows: DataFrame, shingle: int, radius: int, width: int, simil
         yield emit()
 
     dealt = rows.select("shard", "cell", "home", "id", "fp", "text").repartition("shard", "cell")
-    return dealt.sortWithinPartitions("shard", "cell", F.desc("home"), "id").mapInArrow(run, "a long, b long")
+    return dealt.sortWithinPartitions("shard", "cell", F.desc("home"), "id").mapInArrow(frugal(run), "a long, b long")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cell: int = SETS) -> DataFrame:

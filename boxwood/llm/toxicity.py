@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, texts_of
+from .common import frugal, held_out, slices, table, texts_of
 from .labelled import Sample, labelled_sample
 
 #: Labelled texts of each label to learn from, at most.
@@ -246,7 +246,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double, predicted int")
+    return own.mapInArrow(frugal(run), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text") -> DataFrame:
@@ -263,7 +263,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text") ->
             for part in slices(batch):
                 yield part.filter(pa.array([lexicon.score(t) < 0.5 for t in texts_of(part.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
