@@ -31,6 +31,26 @@ def review_errors(reviewer: Column, intent: Column, meaning: Column, entailment:
     return F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items())), lambda e: e.isNotNull())
 
 
+def cluster_review_errors(reviewer: Column, verdict: Column, included: Column, excluded: Column, members: Column, name: Column) -> Column:
+    """What is wrong with a review of a cluster, as an array. Included and excluded members are
+    apart, are members, and together are all of them; an accepted cluster includes two or more and
+    has a name of three characters or more."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    own = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    a, b, m = own(included), own(excluded), own(members)
+    accepted = text(verdict) == "accept"
+    checks = {
+        "reviewer_id": ~F.rlike(text(reviewer), F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$")),
+        "verdict": ~text(verdict).isin("accept", "split", "reject"),
+        "overlap": F.size(F.array_intersect(a, b)) > 0,
+        "not_members": F.size(F.array_except(F.concat(a, b), m)) > 0,
+        "not_reviewed": F.size(F.array_except(m, F.concat(a, b))) > 0,
+        "too_few": accepted & (F.size(F.array_distinct(a)) < 2),
+        "name": accepted & (F.length(text(name)) < 3),
+    }
+    return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())), lambda e: e.isNotNull())
+
+
 def partition_check(members: DataFrame, included: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """One row: keys in both parts, in neither, and in a part though no member."""
     sides = members.select(key, F.lit(0).alias("s")).unionByName(included.select(key, F.lit(1).alias("s"))).unionByName(excluded.select(key, F.lit(2).alias("s")))

@@ -30,13 +30,59 @@ def test_source_files(spark, folder):
     assert {r["rel_path"] for r in files.source_files(spark, str(folder), total=1000).collect()} == {"a.py"}  # big.py would exceed it: nothing after
 
 
+def test_root_excludes(spark, folder):
+    got = files.source_files(spark, str(folder), root_dirs=("lib",), root_files=("big.py",))
+    assert {r["rel_path"] for r in got.collect()} == {"a.py"}
+
+
 def test_uploads(spark):
-    got = files.upload(spark, [{"relPath": "a.py", "content": "x"}, {"relPath": "dist/b.py", "content": "x"}, {"relPath": "c.xyz", "content": "x"}])
-    assert [r["rel_path"] for r in got.collect()] == ["a.py"]
+    held = [{"relPath": "a.py", "content": "x"}, {"relPath": "dist/b.py", "content": "x"}, {"relPath": "c.xyz", "content": "x"}, {"relPath": "d.py", "content": "y" * 50}]
+    assert {r["rel_path"] for r in files.upload(spark, held).collect()} == {"a.py", "d.py"}
+    assert {r["rel_path"] for r in files.upload(spark, held, total=20).collect()} == {"a.py"} and files.upload(spark, held, most=1).count() == 1
+    assert files.sample_source(spark).count() == 1 and {k: v.count() for k, v in files.sample_shop(spark).items()} == {"customers": 3, "orders": 4}
+
 
+def test_git_tracked(spark, tmp_path):
+    import subprocess
 
-def test_git_tracked(tmp_path):
     assert files.git_tracked(str(tmp_path)) is None
+    (tmp_path / "sub").mkdir()
+    for name in ("a.py", "sub/b.py", "sub/c.py"):
+        (tmp_path / name).write_text("x = 1")
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "add", "a.py", "sub/b.py"], check=True)
+    assert files.git_tracked(str(tmp_path)) == ["a.py", "sub/b.py"] and files.git_tracked(str(tmp_path / "sub")) == ["b.py"]
+    assert {r["rel_path"] for r in files.source_files(spark, str(tmp_path), tracked=True).collect()} == {"a.py", "sub/b.py"}
+    assert {r["rel_path"] for r in files.source_files(spark, str(tmp_path / "sub"), tracked=True).collect()} == {"b.py"}
+
+
+def test_containment(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in/link").symlink_to(tmp_path / "out")
+    assert files.contained(str(tmp_path / "in"), "a/../b.py") and files.contained(str(tmp_path / "in"), ".")
+    assert not files.contained(str(tmp_path / "in"), "../out/x") and not files.contained(str(tmp_path / "in"), "link/x") and not files.contained(str(tmp_path / "in"), "/etc/passwd")
+
+
+def test_sqlite_and_databases(spark, tmp_path):
+    import sqlite3
+
+    (tmp_path / "shop").mkdir()
+    (tmp_path / "empty file").mkdir()
+    (tmp_path / "lake/tables").mkdir(parents=True)
+    db = sqlite3.connect(tmp_path / "shop/shop.sqlite")
+    db.execute("CREATE TABLE t (a INTEGER, b REAL, c TEXT, d BLOB)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(i, i / 2, f"x{i}", b"z") for i in range(100)] + [(None, None, None, None), ("odd", 1, 7, "s")])
+    db.execute("CREATE TABLE none (a INTEGER)")
+    db.commit()
+    db.close()
+    got = files.sqlite_table(spark, str(tmp_path / "shop/shop.sqlite"), "t", 3)
+    assert got.count() == 102 and got.agg(F.sum("a"), F.max("b"), F.count("c")).first()[:3] == (4950, 49.5, 101) and bytes(got.where("c = '7'").first()["d"]) == b"s"
+    assert files.sqlite_table(spark, str(tmp_path / "shop/shop.sqlite"), "none").count() == 0
+    with pytest.raises(ValueError):
+        files.sqlite_table(spark, str(tmp_path / "shop/shop.sqlite"), "nope")
+    assert list(files.databases(spark, str(tmp_path))) == ["lake", "shop"]
+    assert files.locate(spark, str(tmp_path), "shop").endswith("shop.sqlite") and files.locate(spark, str(tmp_path), "../x") is None and files.locate(spark, str(tmp_path), "nope") is None
 
 
 def test_json_lines(spark, tmp_path):
@@ -64,17 +110,58 @@ def test_graph_text_round_trip(spark):
     assert files.read_graphs(text) == [(1, [(0, 2), (1, 3)], [(0, 1, 4)]), (2, [(0, 3)], [])]
 
 
-def test_sealed_runs(tmp_path):
-    run = files.SealedRun(tmp_path / "run")
-    run.write("a", [{"x": 1}])
-    with pytest.raises(FileExistsError):
-        run.write("a", [])
-    run.seal()
+def test_sealed_runs(spark, tmp_path):
+    run = files.SealedRun(spark, tmp_path / "run")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string").coalesce(1)
+    run.write("a", rows)
+    with pytest.raises(Exception, match="(?i)exists"):
+        run.write("a", rows)
+    assert [(r["rows"], r["bytes"] > 0) for r in run.seal().collect()] == [(2, True)]
     with pytest.raises(RuntimeError):
-        run.write("b", [])
-    (tmp_path / "run/a.jsonl").write_text("changed")
-    (tmp_path / "run/z.jsonl").write_text("")
-    assert run.verify() == {"a.jsonl": "hash_mismatch", "z.jsonl": "unindexed"}
+        run.write("b", rows)
+    assert {r["status"] for r in run.verify().collect()} == {"verified"}
+    name = next((tmp_path / "run/data/a").glob("*.json"))
+    next((tmp_path / "run/data/a").glob(".*.json.crc")).unlink()
+    name.write_text("changed")
+    (tmp_path / "run/data/z.json").write_text("{}\n")
+    assert {r["status"] for r in run.verify().collect()} == {"hash_mismatch", "unindexed"}
+
+
+def test_append_changed_and_compact(spark, tmp_path):
+    path, make = str(tmp_path / "log"), lambda rows: spark.createDataFrame(rows, "k string, v string, n int")
+    assert files.append_changed(make([("a", "1", 1), ("b", "1", 1)]), path, "k", "v", "n") == 2
+    assert files.append_changed(make([("a", "1", 2), ("b", "2", 2), ("c", None, 2)]), path, "k", "v", "n") == 2
+    assert files.append_changed(make([("b", "1", 3), ("c", None, 3)]), path, "k", "v", "n") == 1
+    files.compact(spark, path, spark.createDataFrame([("b",)], "k string"), "k")
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "c"] and not (tmp_path / "log.old").exists() and not (tmp_path / "log.new").exists()
+
+
+def test_reviews_keep_when_they_began(spark, tmp_path):
+    path, make = str(tmp_path / "reviews"), lambda rows: spark.createDataFrame(rows, "who string, what int, said string, at int")
+    files.upsert_reviews(make([("b", 1, "x", 5), ("a", 2, "y", 6)]), path, ["who", "what"], "at")
+    got = files.upsert_reviews(make([("b", 1, "z", 9), ("c", 1, "w", 9)]), path, ["who", "what"], "at").collect()
+    assert sorted((r["who"], r["said"], r["created_at"], r["updated_at"]) for r in got) == [("a", "y", 6, 6), ("b", "z", 5, 9), ("c", "w", 9, 9)]
+
+
+def test_texts_are_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "trees")
+    docs = spark.createDataFrame([(1, "a\n  b"), (2, "a\n  b"), (3, None)], "id int, t string")
+    first = files.parsed_once(docs, path, "t")
+    assert first.select("text_hash").distinct().count() == 1 and first.count() == 3
+    parts = len(list((tmp_path / "trees").glob("*.parquet")))
+    assert files.parsed_once(docs, path, "t").count() == 3 and len(list((tmp_path / "trees").glob("*.parquet"))) == parts
+    assert files.parsed_once(spark.createDataFrame([(4, "new")], "id int, t string"), path, "t").select("text_hash").distinct().count() == 1
+
+
+def test_offline_annotation(spark):
+    def provider(batches):
+        yield from ()
+
+    rows = spark.createDataFrame([(1, "a")], "k int, t string")
+    with pytest.raises(LookupError):
+        annotate.annotate(rows, "k", "t", provider, offline=True)
+    cache = rows.select(F.substring(F.sha1("t"), 1, 16).alias("hash"), F.lit("known").alias("out"))
+    assert annotate.annotate(rows, "k", "t", provider, cache, offline=True).first()["out"] == "known"
 
 
 def test_append_skips_known_keys(spark, tmp_path):
@@ -105,6 +192,19 @@ def test_prompts():
         annotate.checked_answers(["a"], {"b": 1})
 
 
+def test_more_prompts():
+    p = annotate.edit_prompt("make it safe", "a.py", "x" * 50 + "BODY" + "y" * 50, 50, 54, [("note", "n" * 30)], 90)
+    assert "<<<\nBODY\n>>>" in p and p.startswith("Question: make it safe")
+    with pytest.raises(ValueError):
+        annotate.edit_prompt("", "a", "abc", 2, 9, [])
+    p = annotate.folder_prompt("what?", "lib", "s" * 20, [("a", "x" * 100), ("b", "y" * 100)], 60)
+    assert "x" * 20 in p and "x" * 21 not in p and "y" * 20 in p
+    assert annotate.asked_in_batches(list("abcde"), lambda ids: dict.fromkeys(ids, 2.0), 2) == dict.fromkeys("abcde", 1.0)
+    got = annotate.extracted_claims("r", [{"text": " a  b ", "confidence": 3}, {"text": "A B"}, {"text": ""}, {"text": "c", "confidence": -1}])
+    assert [(c["id"], c["text"], c["confidence"]) for c in got] == [("r:0", "a b", 1.0), ("r:1", "c", 0.0)]
+    assert annotate.cluster_prompt([("a", "x  y")] * 14).endswith("(2 more)")
+
+
 def test_materialise_and_ship(spark):
     df = storage.materialise(spark.range(5))
     assert df.count() == 5 and storage.shared_dir(spark) in df.inputFiles()[0]
