@@ -22,7 +22,7 @@ CAPACITY = 1024
 #: Remainders placed together at most, which bounds memory: 16,384 x 1,024 ids of 4 bytes, 64 MB.
 POOL = 16_384
 #: Bytes of text encoded at once.
-_SPAN = 1 << 22
+_SPAN = 12 << 20
 #: Windows of one task: its number times 2**33 and onwards.
 TASK_BITS = 33
 
