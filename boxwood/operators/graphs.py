@@ -8,23 +8,45 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for edges (a, b).
+def _jump(parents: DataFrame) -> DataFrame:
+    """Each node's grandparent; a parent without a row of its own is a root."""
+    up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    return parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
 
-    Min-label hooking with pointer jumping; every round is written, and only whether anything
-    changed comes to the driver.
+
+def _relabel(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    a = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+    b = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+    moved = edges.join(a, "a").join(b, "b").where("pa <> pb")
+    return moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+
+
+def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
+    """(node, component): the least node reachable, for edges (a, b) of one orderable type.
+
+    By repeated contraction: each round every node takes the least of itself and its neighbours as
+    its parent, chains of parents are shortened by pointer jumping, and edges move to the parents.
+    Nothing is gathered: the minimum is a partial aggregate, and the joins read written tables, so
+    that a node with very many edges is split by the adaptive skew join. Loops and rows with a null
+    are dropped, repeated edges count once; an empty table gives an empty table.
     """
-    both = materialise(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        moved = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
-        jumped = moved.join(moved.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left")
-        new = materialise(jumped.select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")))
-        settled = new.where("component <> was").isEmpty()
-        labels = new.select("node", "component")
-        if settled:
-            return labels
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    levels: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("parent")))
+        for _ in range(jumps):
+            parents = materialise(_jump(parents))
+        levels.append(parents)
+        edges = materialise(_relabel(edges, parents))
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # The last level's parents are roots or lead to roots by that level alone.
+    found = levels[-1]
+    for below in reversed(levels[:-1]):
+        up = found.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        found = materialise(below.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")))
+    return found.select("node", F.col("parent").alias("component"))
 
 
 def share_a_name(rows: DataFrame, key: str, names: str) -> DataFrame:
@@ -72,7 +94,8 @@ def closed(patterns: DataFrame) -> DataFrame:
 
 def check_hierarchy(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(check, broken): depth one below the parent, parents exist, members are in the parent too,
-    siblings share no member. nodes: id, parent, depth; members: id, member."""
+    siblings share no member, every node is reached from a root (none in a cycle is). nodes: id,
+    parent, depth; members: id, member."""
     up = nodes.select(F.col("id").alias("parent"), F.col("depth").alias("above"))
     below = nodes.where("parent IS NOT NULL")
     missing = below.join(up, "parent", "left_anti").agg(F.count("*").alias("broken"))
@@ -80,8 +103,14 @@ def check_hierarchy(nodes: DataFrame, members: DataFrame) -> DataFrame:
     own = members.join(below.select("id", "parent"), "id")
     outside = own.join(members.select(F.col("id").alias("parent"), "member"), ["parent", "member"], "left_anti").agg(F.count("*").alias("broken"))
     shared = own.groupBy("parent", "member").agg(F.count_distinct("id").alias("n")).where("n > 1").agg(F.count("*").alias("broken"))
+    reached = materialise(nodes.where("parent IS NULL").select("id"))
+    level = reached
+    while not level.isEmpty():  # one round a level of the hierarchy; what is reached isn't again
+        level = materialise(below.join(level.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").join(reached, "id", "left_anti").distinct())
+        reached = materialise(reached.unionByName(level))
+    lost = nodes.join(reached, "id", "left_anti").agg(F.count("*").alias("broken"))
     out = None
-    for name, df in (("parent_exists", missing), ("depth", depth), ("containment", outside), ("disjoint_siblings", shared)):
+    for name, df in (("reachable", lost), ("parent_exists", missing), ("depth", depth), ("containment", outside), ("disjoint_siblings", shared)):
         one = df.select(F.lit(name).alias("check"), "broken")
         out = one if out is None else out.unionByName(one)
     return out

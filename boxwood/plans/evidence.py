@@ -211,7 +211,7 @@ def rule_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hierarchy_checks",
-    """SELECT 'parent_exists' AS "check", 0 AS broken UNION ALL SELECT 'depth', 0 UNION ALL SELECT 'containment', (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0)
+    """SELECT 'parent_exists' AS "check", 0 AS broken UNION ALL SELECT 'reachable', 0 UNION ALL SELECT 'depth', 0 UNION ALL SELECT 'containment', (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0)
     UNION ALL SELECT 'disjoint_siblings', (SELECT count(*) FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + 5) % 25 WHERE c_custkey % 50 = 0 AND a.n_regionkey = b.n_regionkey)""",
 )
 def hierarchy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-MODULES = ("relational", "analytics", "texts", "trees", "corpus", "vectors", "changes", "governed", "streams", "files", "evidence", "joins", "grounding", "shapes", "focus")
+MODULES = ("relational", "analytics", "texts", "trees", "corpus", "vectors", "changes", "governed", "streams", "files", "evidence", "joins", "grounding", "shapes", "focus", "decisions")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -195,3 +195,46 @@ def test_overlapping_calls_are_one():
     with pytest.raises(ZeroDivisionError):
         flights.call("x", lambda: 1 / 0)
     assert flights.call("x", lambda: 3) == 3
+
+
+def test_trees_cluster_as_pairs_do(spark):
+    from boxwood.operators import changes, retrieval
+
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        return [str(rng.integers(0, 2)), [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []]
+
+    import json
+
+    texts = [json.dumps(tree(2)) for _ in range(60)]
+    got = {r["tree"]: (r["cluster"], r["support"]) for r in retrieval.tree_clusters(spark.createDataFrame([(t,) for t in texts], "tree string"), 0.75).collect()}
+    distinct = sorted(set(texts))
+    low = {t: t for t in distinct}
+    near = [(a, b) for a in distinct for b in distinct if a < b and changes.larger_similarity(retrieval.tree_of(a), retrieval.tree_of(b)) >= 0.75]
+    while moved := [(a, b) for a, b in near if low[a] != low[b]]:
+        for a, b in moved:
+            low[a] = low[b] = min(low[a], low[b])
+    assert got == {t: (low[t], texts.count(t)) for t in distinct} and len(set(low.values())) < len(distinct)
+
+
+def test_patterns_find_their_hosts(spark):
+    import json
+
+    from boxwood.operators import changes, retrieval
+
+    versions = {1: ("f(x)\n", "f(x)\ng(y)\n"), 2: ("f(x)\n", "h(x)\n"), 3: ("f(x)\ng(y)\n", "f(x)\n")}
+    rows = [(k, json.dumps(changes.edit_script(a, b, "python"))) for k, (a, b) in versions.items()]
+    pattern = [("added", [(0, "action:insert-tree"), (1, "after:expression_statement"), (2, "after:call")], [(0, 1, "affects"), (1, 2, "child")])]
+    found = retrieval.hosts_of(spark.createDataFrame(rows, "doc_id long, actions string"), pattern)
+    assert [(r["doc_id"], r["constraint"], r["exact"]) for r in found.collect()] == [(1, True, True)]
+    with pytest.raises(ValueError):
+        retrieval.hosts_of(found, pattern * 1_001)
+
+
+def test_hierarchies_without_a_way_down_are_told(spark):
+    from boxwood.operators import graphs
+
+    nodes = spark.createDataFrame([("r", None, 0), ("a", "r", 1), ("b", "c", 2), ("c", "b", 1)], "id string, parent string, depth int")
+    got = {r["check"]: r["broken"] for r in graphs.check_hierarchy(nodes, spark.createDataFrame([], "id string, member int")).collect()}
+    assert got["reachable"] == 2 and got["parent_exists"] == 0 and got["depth"] == 1
