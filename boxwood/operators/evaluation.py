@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def ratio(a: Column | str, b: Column | str) -> Column:
     """a / b, 0 where b is 0."""
@@ -44,9 +46,29 @@ def stable_folds(rows: DataFrame, key: str, k: int) -> DataFrame:
     return hashed.join(F.broadcast(counts), "_prefix").withColumn("fold", (place % k).cast("long")).drop("_hash", "_prefix", "_before")
 
 
+def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, and a column for each share): exact percentiles, interpolated between neighbours, of
+    the values that aren't null. Rows are placed by ranges of (group, value), so neither a group
+    nor its distinct values are ever held in one place."""
+    from .windows import place_over
+
+    own = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    placed = place_over(own, F.col(group).asc_nulls_first(), F.col("_v").asc())
+    # One row a group.
+    sizes = materialise(placed.groupBy(F.col(group).alias("_g")).agg(F.min("place").alias("_first"), F.count("*").alias("_n")))
+    at = placed.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_at", F.col("place") - F.col("_first"))
+    out = []
+    for name, share in shares.items():
+        where = share * (F.col("_n") - 1)
+        low, part = F.floor(where), where - F.floor(where)
+        weight = F.when(F.col("_at") == low, 1 - part).when(F.col("_at") == low + 1, part).otherwise(0.0)
+        out.append(F.sum(weight * F.col("_v")).alias(name))
+    return at.groupBy(group).agg(*out)
+
+
 def state_summary(rows: DataFrame, state: str, value: str, base: str) -> DataFrame:
     """Exact interpolated p50 and p95 by state, and the median's reduction against ``base``."""
-    by = rows.groupBy(F.col(state).alias("state")).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    by = percentiles(rows, state, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(state, "state")
     reference = by.where(F.col("state") == base).select(F.col("p50").alias("ref"))  # one row
     return by.join(F.broadcast(reference)).select("state", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round(100 * (1 - F.col("p50") / F.col("ref")), 3).alias("reduction_pct"))
 

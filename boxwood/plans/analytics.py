@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..registry import query, sql_query, table
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, sets, windows
@@ -144,7 +144,9 @@ def and_clause_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relationship_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), F.get_json_object("props", "$.k").alias("entity"), "user_id").where("entity IS NOT NULL").distinct()
-    return rows.groupBy("op", "entity").agg(F.count("*").alias("support"), F.slice(F.array_sort(F.collect_list("user_id")), 1, 5).alias("examples"))
+    place = F.row_number().over(Window.partitionBy("op", "entity").orderBy("user_id"))
+    ranked = rows.withColumn("place", place)
+    return ranked.groupBy("op", "entity").agg(F.count("*").alias("support"), F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("user_id")))).alias("examples"))
 
 
 @query(
@@ -229,10 +231,11 @@ def exact_composite_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lru_eviction",
-    "SELECT user_id, r > 100 AS evicted, CAST(r AS BIGINT) AS place FROM (SELECT user_id, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS r FROM events GROUP BY user_id) t",
+    "SELECT user_id, r > 100 AND NOT exempt AS evicted, CAST(r AS BIGINT) AS place FROM (SELECT user_id, bool_or(event_type = 'signup' AND value > 90) AS exempt, row_number() OVER (ORDER BY bool_or(event_type = 'signup' AND value > 90), max(ts) DESC, user_id) AS r FROM events GROUP BY user_id) t",
 )
 def lru_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.lru(table(spark, sf_dir, "events"), "user_id", "ts", 100)
+    """The hundred users seen last stay, and those who are exempt."""
+    return windows.lru(table(spark, sf_dir, "events"), "user_id", "ts", 100, (F.col("event_type") == "signup") & (F.col("value") > 90))
 
 
 @query("fallback_selection", "SELECT event_type, arg_max(user_id, struct_pack(ts := ts, id := event_id)) AS latest_user FROM events GROUP BY event_type")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import language_of
+from ..operators import meaning
 from ..operators.annotate import annotate
 from ..registry import query, table
 
@@ -31,24 +32,26 @@ def json_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(F.when(bad, "invalid_json").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("summary_by_content", "SELECT doc_id, substr(sha1(text), 1, 16) AS hash, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) AS summary FROM documents")
+@query("summary_by_content", """WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, substr(sha1(text), 1, 16) AS hash, CAST(len(w) AS VARCHAR) || ' words, ' || CAST(len(list_distinct(w)) AS VARCHAR) || ' distinct, from ' || coalesce(w[1], '') || ' to ' || coalesce(w[-1], '') AS summary FROM w""")
 def summary_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An expensive function run once for each distinct content, then joined back."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(t.split())[:80] for t in b.column(1).to_pylist()], pa.string())], names=["hash", "out"])
+            words = [t.split() for t in b.column(1).to_pylist()]
+            out = [f"{len(w)} words, {len(set(w))} distinct, from {w[0] if w else ''} to {w[-1] if w else ''}" for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["hash", "out"])
 
     return annotate(table(spark, sf_dir, "documents"), "doc_id", "text", summarise).select("doc_id", "hash", F.col("out").alias("summary"))
 
 
 @query(
     "windowed_summary",
-    """WITH w AS (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1200)) AS w FROM documents)
-    SELECT doc_id, count(*) AS windows, string_agg(substr(text, CAST(w * 1200 + 1 AS BIGINT), 40), ' ' ORDER BY w) AS summary FROM w GROUP BY doc_id""",
+    """WITH w AS (SELECT doc_id, i, substr(text, CAST(i * 1200 + 1 AS BIGINT), 1200) AS part FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil(length(text) / 1200.0) AS BIGINT) - 1, 0))) AS i FROM documents))
+    SELECT doc_id, count(*) AS windows, string_agg(CAST(length(part) AS VARCHAR) || '/' || CAST(length(part) - length(replace(part, ' ', '')) AS VARCHAR), ' ' ORDER BY i) AS summary FROM w GROUP BY doc_id""",
 )
 def windowed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries of windows, put together in order for each text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1200).cast("int"))).alias("w"))
-    parts = docs.select("doc_id", "w", F.substr("text", (F.col("w") * 1200 + 1).cast("int"), F.lit(40)).alias("head"))
-    return parts.groupBy("doc_id").agg(F.count("*").alias("windows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "head"))), lambda s: s["head"]), " ").alias("summary"))
+    """Whole texts in windows, each summed up by its characters and spaces, put together in order."""
+    told = lambda t: F.concat_ws("/", F.length(t).cast("string"), (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).cast("string"))
+    return meaning.windowed(table(spark, sf_dir, "documents"), "doc_id", "text", 1_200, told, lambda s: F.array_join(s, " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
@@ -70,7 +70,9 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("patch"))
-    return docs.groupBy("patch").agg(F.count("*").alias("support"), F.array_sort(F.collect_set("lang")).alias("langs"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5).alias("examples"), (F.count("*") - 1).alias("duplicates"))
+    ranked = docs.withColumn("place", F.row_number().over(Window.partitionBy("patch").orderBy("doc_id")))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("doc_id"))))
+    return ranked.groupBy("patch").agg(F.count("*").alias("support"), F.array_sort(F.collect_set("lang")).alias("langs"), first.alias("examples"), (F.count("*") - 1).alias("duplicates"))
 
 
 _LINES = "SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents"

@@ -74,15 +74,20 @@ def last_write_wins(log: DataFrame, key: str, seq: str) -> DataFrame:
 
 def upsert_to(path: str, key: str, seq: str):
     """A ``foreachBatch`` function: each batch is merged into the table at ``path`` and replaces
-    it by a rename-free pair of folders, so a batch that is tried again gives the same table."""
+    it by a folder of its own, so a batch that is tried again gives the same table. The folders
+    are listed once a batch, and those before the last one are deleted: at most two are there."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        before = [e for e in range(epoch) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={e}"))]
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        before = sorted(e for n in names if n.startswith("epoch=") and (e := int(n[6:])) < epoch)
         rows = batch
         if before:
             rows = spark.read.parquet(f"{path}/epoch={max(before)}").unionByName(batch)
         last_write_wins(rows, key, seq).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for e in before[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={e}"), True)
 
     return merge

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from boxwood import registry
@@ -41,3 +43,23 @@ def test_llm_isnt_needed(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'holdout_sample' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+    # The other tests import, and a module of them passes.
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, check=True, timeout=300, stdout=subprocess.DEVNULL)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_subgraphs.py", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, check=True, timeout=300, stdout=subprocess.DEVNULL)
+
+
+def test_a_broken_import_is_no_missing_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "boxwood", tmp_path / "boxwood", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "boxwood/llm").mkdir()
+    (tmp_path / "boxwood/llm/__init__.py").write_text("import nowhere_to_be_found")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120, capture_output=True, text=True)
+    assert found.returncode and "nowhere_to_be_found" in found.stderr
