@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,9 +38,9 @@ def syntactic_references(source: str, name: str) -> list[tuple[int, int, str]] |
         return []
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last where nesting is too deep for the parser
         return None
-    rows, found = source.split("\n"), set()
+    rows, found = re.split(r"\r\n|\r|\n", source), set()
 
     def at(line: int, byte: int) -> int:
         return len(rows[line - 1].encode()[:byte].decode(errors="ignore")) + 1

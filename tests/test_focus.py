@@ -21,6 +21,9 @@ def test_references_by_syntax():
     assert got == [(2, 15, "import"), (5, 12, "call"), (10, 9, "definition"), (11, 21, "reference")]
     assert all(SOURCE.split("\n")[line - 1][col - 1 :].startswith("load") for line, col, _ in got)
     assert focus.syntactic_references(SOURCE, "l") == [] and focus.syntactic_references("def (", "load") is None
+    assert focus.syntactic_references(SOURCE.replace("\n", "\r\n"), "load") == got and focus.syntactic_references("(" * 50_000, "load") is None
+    box = parse("x = 1\r\ny = load(2)\r\n", "python").children[1]
+    assert (box.start, box.end, box.kind) == (7, 18, "assignment") and parse("(" * 50_000, "python").kind == ""
 
 
 def test_references_fall_back_to_lines(spark):
