@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components as connected_components
 from .common import materialise, table
-from .components import connected_components
 from .simhash import Joined
 
 TREES = 6

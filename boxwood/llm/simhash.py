@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components as connected_components
 from .common import bytes_of, frugal, materialise, slices, table
-from .components import connected_components
 
 SEED = 42
 #: Fingerprints at home in a shard, about, and sampled for each shard of the dealing tree. Shards

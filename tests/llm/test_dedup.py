@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
-from boxwood.llm import common, components, forest, simhash, topk
+from boxwood.llm import common, forest, simhash, topk
+from boxwood.operators.graphs import components as connected_components
 
 
 def brute_components(n, links):
@@ -36,10 +37,10 @@ def test_connected_components(spark):
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (2000, 2001), (2000, 2001)]
     df = spark.createDataFrame([*edges, (None, 4)], "a long, b long")
     want = brute_components(2100, edges)
-    got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {i: want[i] for i in linked}
-    assert components.connected_components(empty(df)).count() == 0
+    assert connected_components(empty(df)).count() == 0
 
 
 def brute_fingerprint(text, words=3):
