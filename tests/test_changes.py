@@ -132,7 +132,7 @@ def test_frequent_paths(spark):
 def test_hierarchy_checks(spark):
     nodes = spark.createDataFrame([("r", None, 0), ("x", "r", 1), ("y", "r", 3), ("z", "gone", 1)], "id string, parent string, depth int")
     members = spark.createDataFrame([("r", 1), ("r", 2), ("x", 1), ("y", 1), ("y", 9)], "id string, member int")
-    assert {r["check"]: r["broken"] for r in graphs.check_hierarchy(nodes, members).collect()} == {"parent_exists": 1, "depth": 1, "containment": 1, "disjoint_siblings": 1}
+    assert {r["check"]: r["broken"] for r in graphs.check_hierarchy(nodes, members).collect()} == {"reachable": 1, "parent_exists": 1, "depth": 1, "containment": 1, "disjoint_siblings": 1}
 
 
 def test_rules_find_the_planted_clause(spark):
