@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from . import lines, trees
 from .trees import Box
 from .windows import place_over
@@ -82,7 +83,7 @@ def references(docs: DataFrame, key: str, text: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=[key, "line", "column", "kind"])
 
     own = docs.select(key, F.col(text).cast("string"))
-    told = own.mapInArrow(run, f"{key} {kind}, line long, `column` long, kind string")
+    told = spread(own).mapInArrow(run, f"{key} {kind}, line long, `column` long, kind string")
     unread = docs.join(told.where("kind = 'unparsed'").select(key), key, "left_semi")
     plain = lines.references(unread, key, text, name).select(key, F.col("line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"), "kind")
     return told.where("kind <> 'unparsed'").unionByName(plain)

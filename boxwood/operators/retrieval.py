@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from ..storage import materialise
 from . import changes, graphs
 
 #: Patterns that are held against every graph at once; they go to the executors.
 MOST_PATTERNS = 1_000
+#: Parts that the trees of one size are dealt to.
+PARTS = 16
 Pattern = tuple[str, list[tuple[int, str]], list[tuple[int, int, str]]]
 
 
@@ -38,7 +42,7 @@ def hosts_of(scripts: DataFrame, patterns: list[Pattern]) -> DataFrame:
             types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["pattern", "doc_id", "constraint", "exact"])
 
-    return scripts.select("doc_id", "actions").mapInArrow(run, "pattern string, doc_id long, constraint boolean, exact boolean")
+    return spread(scripts.select("doc_id", "actions")).mapInArrow(run, "pattern string, doc_id long, constraint boolean, exact boolean")
 
 
 def retrieval_quality(found: DataFrame, group: str, retrieved: str, truth: str) -> DataFrame:
@@ -65,6 +69,12 @@ def tree_of(text: str) -> tuple:
     return build(json.loads(text))
 
 
+@lru_cache(maxsize=1 << 14)
+def _read(text: str) -> tuple:
+    tree = tree_of(text)
+    return tree, changes.size_of(tree), changes.label_profile(tree)
+
+
 def tree_clusters(trees: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(tree, cluster, support): distinct trees (JSON of nested lists) linked by a similarity of
     ``threshold`` or more in proportion to the larger one; the cluster is its least tree.
@@ -78,16 +88,18 @@ def tree_clusters(trees: DataFrame, threshold: float = 0.75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["tree", "support", "size"])
 
     own = materialise(trees.groupBy("tree").agg(F.count("*").alias("support")).mapInArrow(sized, "tree string, support long, size long"))
-    reach = own.select(F.col("tree").alias("a"), F.explode(F.sequence(F.ceil(F.col("size") * threshold), F.col("size"))).alias("size"))
-    pairs = reach.join(own.select(F.col("tree").alias("b"), "size"), "size").where("a <> b").select("a", "b")
+    reach = own.select(F.col("tree").alias("a"), F.col("size").alias("own"), F.explode(F.sequence(F.ceil(F.col("size") * threshold), F.col("size"))).alias("size"))
+    # Few sizes hold most trees, so the smaller side of each size is dealt to parts and the larger goes to all.
+    reach = reach.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = own.select(F.col("tree").alias("b"), "size", F.pmod(F.hash("tree"), F.lit(PARTS)).alias("part"))
+    pairs = reach.join(dealt, ["size", "part"]).where("own > size OR a < b").select("a", "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = tree_of(a), tree_of(b)
-                most = max(changes.size_of(x), changes.size_of(y))
-                possible = 1 - changes.least_distance(changes.label_profile(x), changes.label_profile(y)) / most >= threshold
+                (x, nx, px), (y, ny, py) = _read(a), _read(b)
+                possible = 1 - changes.least_distance(px, py) / max(nx, ny) >= threshold
                 keep.append(possible and changes.larger_similarity(x, y) >= threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

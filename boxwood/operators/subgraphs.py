@@ -4,17 +4,27 @@ An embedding is a set of edges of one graph. It grows by an edge at one of its v
 an equi-join on (graph, vertex); embeddings of a pattern that too few graphs hold are dropped
 before they grow. A pattern is named by a canonical code, the least over the orders of its few
 vertices, worked out once for each shape that a worker meets.
+
+Branches that look alike and hang at one vertex are twins. A pattern of n edges meets at most n of
+them, so the others are left out, and an embedding meets a later twin only after the one before it:
+every pattern that a graph holds keeps such an embedding, and so does every step by which one
+pattern grows from another, as twins can be exchanged. A vertex with hundreds of equal branches
+then has a handful of embeddings in place of all choices among them.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations, product
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..storage import materialise
 
@@ -52,17 +62,110 @@ def shape_of(edges: list[dict]) -> Shape:
     return tuple(labels), tuple(sorted((order[e["src"]], order[e["dst"]], e["by"]) for e in edges))
 
 
-def _coded(embeddings: DataFrame) -> DataFrame:
-    """Add the code of each embedding."""
+def twins(edges: list[tuple[int, int, str, str, str]], most: int) -> list[tuple[int, list[int], list[int]]]:
+    """(edge, needs, inside) for the edges (from, to, label, label of from, label of to) of a graph,
+    without loops, that are kept: all but those of twins beyond the first ``most`` of their kind.
+
+    inside: the twins that hold the edge, one in another, each named by its nearest vertex. needs:
+    the twins before these. Branches are told by stripping vertices with one neighbour.
+    """
+    bundle: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+    label: dict[int, str] = {}
+    for a, b, by, la, lb in edges:
+        label[a], label[b] = la, lb
+        bundle[a][b].append((0, by))
+        bundle[b][a].append((1, by))
+    left = {v: len(own) for v, own in bundle.items()}
+    above: dict[int, int] = {}
+    kinds: dict[tuple, int] = {}
+    hung: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    order: list[int] = []
+    todo = deque(v for v in sorted(left) if left[v] == 1)  # in rounds, so that a tree ends at its middle
+    while todo:
+        v = todo.popleft()
+        if left[v] != 1:  # the last of a tree
+            continue
+        w = next(w for w in bundle[v] if w not in above)
+        # Twins that are left out don't tell branches apart.
+        below = tuple((k, min(n, most)) for k, n in sorted(Counter(k for k, _ in hung[v]).items()))
+        kind = (label[v], tuple(sorted(bundle[v][w])), below)
+        hung[w].append((kinds.setdefault(kind, len(kinds)), v))
+        above[v] = w
+        order.append(v)
+        left[v] = 0
+        left[w] -= 1
+        if left[w] == 1:
+            todo.append(w)
+    before: dict[int, int] = {}
+    told: set[int] = set()
+    gone: set[int] = set()
+    for own in hung.values():
+        sizes, last = Counter(k for k, _ in own), {}
+        for at, (kind, v) in enumerate(sorted(own)):
+            if sizes[kind] > 1:
+                told.add(v)
+                n, prior = last.get(kind, (0, None))
+                if n >= most:
+                    gone.add(v)
+                elif prior is not None:
+                    before[v] = prior
+                last[kind] = (n + 1, v)
+    inside: dict[int, list[int]] = {}
+    for v in reversed(order):  # what a branch hangs at comes before it
+        w = above[v]
+        if w in gone:
+            gone.add(v)
+        inside[v] = inside.get(w, []) + ([v] if v in told else [])
+    out = []
+    for i, (a, b, *_) in enumerate(edges):
+        v = a if above.get(a) == b else b if above.get(b) == a else None
+        if v is None:
+            out.append((i, [], []))
+        elif v not in gone:
+            out.append((i, [before[x] for x in inside[v] if x in before], inside[v]))
+    return out
+
+
+def _numbered(step: DataFrame, most: int) -> DataFrame:
+    """Each graph's edges with numbers for edges and vertices, and their twins. One task holds a
+    graph's edges."""
+    kind = step.schema["graph"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [canonical(shape_of(edges)) for edges in batch.column("es").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.string())], names=[*batch.schema.names, "code"])
-
-    columns = embeddings.select("graph", "eids", "verts", "es", "parent")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema.fields)
-    return columns.mapInArrow(run, f"{schema}, code string")
+            graphs, rows = [], []
+            for g, es in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place: dict = {}
+                own = [(place.setdefault(e["src"], len(place)), place.setdefault(e["dst"], len(place)), e["by"], e["sl"], e["dl"]) for e in es]
+                for i, needs, inside in twins(own, most):
+                    a, b, by, sl, dl = own[i]
+                    graphs.append(g)
+                    rows.append((i, a, b, sl, by, dl, needs, inside))
+            types = [pa.int32()] * 3 + [pa.string()] * 3 + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(graphs, batch.schema.field(0).type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["graph", *names])
+
+    names = ["eid", "src", "dst", "sl", "by", "dl", "needs", "inside"]
+    whole = step.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "by", "sl", "dl"))).alias("es"))
+    return whole.mapInArrow(run, f"graph {kind}, eid int, src int, dst int, sl string, `by` string, dl string, needs array<int>, inside array<int>")
+
+
+@F.pandas_udf(StringType())
+def _code(shapes: pd.Series) -> pd.Series:
+    """The codes of shapes written as JSON, each different one read once."""
+    told = {}
+    for text in shapes.unique():
+        labels, edges = (x for x in json.loads(text).values())
+        told[text] = canonical((tuple(labels), tuple((e["a"], e["b"], e["by"]) for e in edges)))
+    return shapes.map(told)
+
+
+def _shape(es: str) -> Column:
+    """``shape_of`` as an expression, written as JSON: only this goes to Python."""
+    own = F.array_sort(es)
+    ends = F.array_distinct(F.flatten(F.transform(own, lambda e: F.array(F.struct(e["src"].alias("v"), e["sl"].alias("l")), F.struct(e["dst"].alias("v"), e["dl"].alias("l"))))))
+    ids = F.transform(ends, lambda x: x["v"])
+    numbered = F.transform(own, lambda e: F.struct((F.array_position(ids, e["src"]) - 1).alias("a"), (F.array_position(ids, e["dst"]) - 1).alias("b"), e["by"].alias("by")))
+    return F.to_json(F.struct(F.transform(ends, lambda x: x["l"]).alias("labels"), numbered.alias("edges")))
 
 
 def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, least: int, *, most_edges: int = 3, most_vertices: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -76,27 +179,28 @@ def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, least: int, *, mos
     v = vertices.select("graph", "id", "label").distinct()
     step = edges.where("src <> dst").select("graph", "src", "dst", F.col("label").alias("by")).distinct()
     step = step.join(v.select("graph", F.col("id").alias("src"), F.col("label").alias("sl")), ["graph", "src"]).join(v.select("graph", F.col("id").alias("dst"), F.col("label").alias("dl")), ["graph", "dst"])
-    step = materialise(step.select("graph", F.concat_ws("/", "src", "dst", "by").alias("eid"), "src", "dst", "sl", "by", "dl"))
-    edge = F.struct("src", "dst", "sl", "by", "dl")
-    level = step.select("graph", F.array("eid").alias("eids"), F.array_sort(F.array("src", "dst")).alias("verts"), F.array(edge).alias("es"), F.lit(None).cast("string").alias("parent"))
-    near = step.select("graph", F.explode(F.array("src", "dst")).alias("at"), F.col("eid").alias("new_id"), edge.alias("new"))
+    step = materialise(_numbered(step, most_edges))
+    edge = F.struct("sl", "by", "dl", "src", "dst")
+    level = step.where(F.size("needs") == 0).select("graph", F.array("eid").alias("eids"), F.array("src", "dst").alias("verts"), F.array(edge).alias("es"), F.col("inside").alias("met"), F.array().cast("array<string>").alias("parents"))
+    near = step.select("graph", F.explode(F.array("src", "dst")).alias("at"), F.col("eid").alias("new_id"), edge.alias("new"), "needs", "inside")
     patterns = grown = None
     for n in range(1, most_edges + 1):
-        level = materialise(_coded(level))
+        level = materialise(level.withColumn("code", _code(_shape("es"))))
         support = materialise(level.groupBy("code", F.size("verts").alias("vertices")).agg(F.count_distinct("graph").alias("support")).where(F.col("support") >= least))
         found = support.select("code", F.lit(n).alias("edges"), "vertices", "support")
         patterns = found if patterns is None else patterns.unionByName(found)
         if n > 1:
-            pairs = level.where("parent IS NOT NULL").select("parent", "code").distinct().join(support.select("code"), "code", "left_semi").select("parent", "code")
+            pairs = level.select(F.explode("parents").alias("parent"), "code").distinct().join(support.select("code"), "code", "left_semi").select("parent", "code")
             grown = pairs if grown is None else grown.unionByName(pairs)
         if n == most_edges or support.isEmpty():
             break
         kept = level.join(support.select("code"), "code", "left_semi")
-        # An edge set is reached from each of its connected parts: all its parents are kept, as pairs.
-        more = kept.select("graph", "eids", "es", "verts", F.col("code").alias("parent"), F.explode("verts").alias("at")).join(near, ["graph", "at"]).where(~F.array_contains("eids", F.col("new_id")))
-        verts = F.array_sort(F.array_union("verts", F.array(F.col("new.src"), F.col("new.dst"))))
-        more = more.select("graph", F.array_sort(F.concat("eids", F.array("new_id"))).alias("eids"), verts.alias("verts"), F.concat("es", F.array("new")).alias("es"), "parent").where(F.size("verts") <= most_vertices)
-        level = more.groupBy("graph", "eids", "parent").agg(F.first("verts").alias("verts"), F.first("es").alias("es"))
+        # An edge set is reached from each of its connected parts: all its parents are kept.
+        more = kept.select("graph", "eids", "es", "verts", "met", F.col("code").alias("parent"), F.explode("verts").alias("at")).join(near, ["graph", "at"])
+        more = more.where(~F.array_contains("eids", F.col("new_id")) & (F.size(F.array_except("needs", F.array_union("met", "inside"))) == 0))
+        verts = F.array_union("verts", F.array(F.col("new.src"), F.col("new.dst")))
+        more = more.select("graph", F.array_sort(F.concat("eids", F.array("new_id"))).alias("eids"), verts.alias("verts"), F.concat("es", F.array("new")).alias("es"), F.array_union("met", "inside").alias("met"), "parent").where(F.size("verts") <= most_vertices)
+        level = more.groupBy("graph", "eids").agg(F.first("verts").alias("verts"), F.first("es").alias("es"), F.first("met").alias("met"), F.collect_set("parent").alias("parents"))
     empty = patterns.select(F.col("code").alias("parent"), "code").where("1 = 0")
     return patterns, grown.distinct() if grown is not None else empty
 

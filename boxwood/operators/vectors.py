@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Rows of a searched side that may be broadcast.
 SMALL = 10_000
 
@@ -41,13 +43,22 @@ def small(table: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def nearest(rows: DataFrame, key: str, targets: DataFrame, label: str, k: int) -> DataFrame:
-    """(key, label, similarity, place): the k most similar targets of each row, from a small table
-    of them; a row keeps its targets in one array, so there is no shuffle."""
-    every = targets.agg(F.collect_list(F.struct(F.col(label), F.col("c"))).alias("_t"))
-    if targets.limit(SMALL + 1).count() > SMALL:
-        raise ValueError("too many targets for this operator; use a vector index")
+    """(key, label, similarity, place): the k most similar targets of each row, ties to the lesser
+    label. Few targets are held in one array, so there is no shuffle; more of them go out in blocks
+    of about ``SMALL``, one after the other, and each row's best of all blocks are put together."""
+    n = targets.count()
+    blocks = 1 if n <= SMALL else -(-2 * n // SMALL)  # half full on average, so that none is much above
+    dealt = materialise(targets.withColumn("_block", F.pmod(F.xxhash64(label), F.lit(blocks)))) if blocks > 1 else targets
     scored = F.transform("_t", lambda t: F.struct((-F.round(dot(F.col("v"), t["c"]), 9)).alias("s"), t[label].alias("l")))
-    top = rows.join(F.broadcast(every)).select(key, F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("p", "t"))
+    best = None
+    for b in range(blocks):
+        own = dealt.where(F.col("_block") == b) if blocks > 1 else dealt
+        every = own.agg(F.collect_list(F.struct(F.col(label), F.col("c"))).alias("_t"))
+        tops = rows.join(F.broadcast(every)).select(key, F.slice(F.array_sort(scored), 1, k).alias("_top"))
+        best = tops if best is None else best.unionByName(tops)
+    if blocks > 1:
+        best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, k).alias("_top"))
+    top = best.select(key, F.posexplode("_top").alias("p", "t"))
     return top.select(key, F.col("t.l").alias(label), (-F.col("t.s")).alias("similarity"), (F.col("p") + 1).cast("long").alias("place"))
 
 

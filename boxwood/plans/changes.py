@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import candidates, changes, graphs, rules, trees
+from ..partitions import spread
 from ..registry import query, table
 from ..storage import materialise_once
 
@@ -32,7 +33,7 @@ def _each(rows: DataFrame, f, schema: str, types: list[pa.DataType]) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,10 +287,10 @@ def tree_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("frequent_subgraphs")
 def frequent_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed frequent subgraphs of the change graphs, of up to three edges, in a twentieth of
-    them or more."""
+    """Closed frequent subgraphs of the change graphs, of up to five edges and so six vertices, in a
+    twentieth of them or more."""
     from ..operators import subgraphs
 
     v, e = _graphs(spark, sf_dir)
     least = max(2, v.select("graph").distinct().count() // 20)
-    return subgraphs.closed_subgraphs(*subgraphs.frequent_subgraphs(v, e, least))
+    return subgraphs.closed_subgraphs(*subgraphs.frequent_subgraphs(v, e, least, most_edges=5))

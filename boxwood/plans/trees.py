@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines, trees
+from ..partitions import spread
 from ..registry import query, table
 
 # A three-level tree that SQL can build too: a text, groups of four lines, lines.
@@ -145,7 +146,7 @@ def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = [(d, i, a, b) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, (a, b) in enumerate(trees.split_windows(t or "", 1200))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["doc_id", "idx", "start", "end"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, idx long, start long, `end` long")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id long, idx long, start long, `end` long")
 
 
 _PATHS = r"SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, substr(sha1(html), 1, 16) AS hash FROM pages"
