@@ -28,6 +28,12 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(apart), r"[^a-z\d]+"), lambda w: (F.length(w) >= 2) & ~F.rlike(w, F.lit(r"^\d+$")))
 
 
+def exploded_words(text: Column) -> Column:
+    """The words as rows, and a null where there are none: an inner explode has Spark work the
+    words out a second time, to see whether there are any."""
+    return F.explode_outer(split_words(text))
+
+
 def useful_tokens(words: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*COMMON))))
 
@@ -94,6 +100,11 @@ def noun_label(terms: Column) -> Column:
     return F.array_join(F.slice(terms, 1, 3), " · ")
 
 
+def by_locale(text: Column) -> Column:
+    """To order by: the root locale's order, in which case and accents come after the letters."""
+    return F.collate(text, "UNICODE")
+
+
 def strip_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```[\w-]*\n", ""), r"\n```\s*$", ""))
 

@@ -65,7 +65,8 @@ def top_terms(words: DataFrame, key: str, n: int) -> DataFrame:
 def tf_idf(terms: DataFrame, key: str, term: str, docs: DataFrame, min_df: int = 1) -> DataFrame:
     """(key, term, weight): sublinear tf, smooth idf, unit length."""
     counts = terms.groupBy(key, term).agg(F.count("*").alias("c"))
-    df = counts.groupBy(term).agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    # With the count kept, both uses of the counts have one plan, and the shuffle is made once.
+    df = counts.groupBy(term).agg(F.count_if(F.col("c") > 0).alias("df")).where(F.col("df") >= min_df)
     n = docs.agg(F.count("*").alias("n"))  # one row
     raw = counts.join(df, term).join(F.broadcast(n)).select(key, term, ((1 + F.log("c")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))

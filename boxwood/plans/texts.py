@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import lines
+from ..partitions import spread
 from ..registry import query, table
 
 _WORDS = r"list_filter(string_split_regex(lower(regexp_replace({0}, '([a-z\d])([A-Z])', '\1 \2', 'g')), '[^a-z\d]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\d+$'))"
@@ -45,11 +46,11 @@ def concept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, term, weight, CAST(r AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS r FROM s) t WHERE r <= 10""",
 )
 def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select("source", F.explode(text.split_words(F.col("text"))).alias("term"), F.lit(3).alias("weight")).unionByName(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    words = docs.select("source", text.exploded_words(F.col("text")).alias("term"), F.lit(3).alias("weight")).unionByName(
         docs.select("source", F.explode(text.split_words(F.concat("source", F.lit("/"), "lang"))).alias("term"), F.lit(2).alias("weight"))
     )
-    return lines.top_terms(words.where(~F.col("term").isin(*text.COMMON)), "source", 10)
+    return lines.top_terms(words.where(F.col("term").isNotNull() & ~F.col("term").isin(*text.COMMON)), "source", 10)
 
 
 @query(
@@ -138,11 +139,24 @@ def reference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, term, round(weight, 6) AS weight FROM (SELECT t.doc_id, t.term, t.x / z.norm AS weight, row_number() OVER (PARTITION BY t.doc_id ORDER BY round(t.x / z.norm, 9) DESC, t.term) AS r FROM t JOIN z ON z.doc_id = t.doc_id) q WHERE r <= 5""",
 )
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.split_words(F.col("text"))).alias("term"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.exploded_words(F.col("text")).alias("term")).where("term IS NOT NULL")
     weights = lines.tf_idf(docs, "doc_id", "term", table(spark, sf_dir, "documents"), min_df=2)
     return lines.top_weights(weights, "doc_id", 5)
 
 
+_PATHS = "SELECT p_brand, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN '_' || p_name ELSE replace(p_name, 'e', 'é') END || '/' || CAST(p_partkey AS VARCHAR) AS path FROM part"
+
+
+@query("locale_order", f"SELECT p_brand, path, row_number() OVER (PARTITION BY p_brand ORDER BY path COLLATE en_us, path) AS place FROM ({_PATHS}) p")
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up paths of parts, in the order of people's languages, by brand."""
+    n, name = F.col("p_partkey") % 4, F.col("p_name")
+    told = F.when(n == 0, name).when(n == 1, F.upper(name)).when(n == 2, F.concat(F.lit("_"), name)).otherwise(F.replace(name, F.lit("e"), F.lit("é")))
+    paths = table(spark, sf_dir, "part").select("p_brand", F.concat(told, F.lit("/"), F.col("p_partkey").cast("string")).alias("path"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(text.by_locale(F.col("path")), "path"))
+    return paths.select("p_brand", "path", place.cast("long").alias("place"))
+
+
 @query(
     "markdown_kinds",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
