@@ -50,6 +50,52 @@ def test_encoding_with_a_full_memory_is_the_same():
     assert len(small.parts) == 5
 
 
+LETTERS = "aaabcdeehinorstt\u00e9\u00dfжщ日本한กे\u02b0\U00010400\U0001e030\U000105c0\U00031350"
+
+
+def test_merges_done_for_many_words_equal_the_library():
+    enc, r = Encoder(), random.Random(3)
+    words = ["a", "é", "a" * 50, "the" * 40, "日" * 9, *("".join(r.choice(LETTERS) for _ in range(r.randint(1, 14))) for _ in range(4_000))]
+    parts = [r.choice(["", "\n"]) + w + r.choice(["", "", ",", ".", ",,", "1"]) for w in words] + ["", ",", "\n", "\n."]
+    want = [enc.tokenizer.encode(p if p[:1] == "\n" else " " + p, add_special_tokens=False).ids for p in parts]
+    by_library = Encoder()
+    by_library.merges = None
+    for own in (enc, by_library):
+        flat, lengths = own._learn(pa.array(parts))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == want
+
+
+def test_letters_that_the_library_does_not_know_go_to_it():
+    enc, split = Encoder(), Encoder().tokenizer.pre_tokenizer.pre_tokenize_str
+    enc.tokenizer = type("Tokenizer", (), {"encode_batch_fast": enc.tokenizer.encode_batch_fast, "pre_tokenizer": type("Splitter", (), {"pre_tokenize_str": staticmethod(lambda t: ["a", "é", "a"] if "é" in t else split(t))})})
+    given, raw = [], enc._raw
+    enc._raw = lambda parts: given.extend(parts) or raw(parts)
+    assert [x.tolist() for x in enc.ids(pa.array(["x café and été, the\nthé end"]))] == [encoder().tokenizer.encode("x café and été, the\nthé end", add_special_tokens=False).ids]
+    assert given and all("é" in p for p in given if p.strip())
+
+
+def test_new_words_of_letters_cost_no_call_of_the_library():
+    enc, r, given = Encoder(), random.Random(5), []
+    library = enc.tokenizer.encode_batch_fast
+    enc.tokenizer = type("Tokenizer", (), {"encode_batch_fast": staticmethod(lambda texts, **k: given.extend(texts) or library(texts, **k)), "pre_tokenizer": enc.tokenizer.pre_tokenizer})
+    text = " ".join("".join(r.choice("abcdeé") for _ in range(8)) + r.choice(["", ",", "."]) for _ in range(3_000))
+    assert enc.ids(pa.array([text + " 12:30"]))[0].tolist() == encoder().tokenizer.encode(text + " 12:30", add_special_tokens=False).ids
+    assert sorted(x for x in given if x.strip()) == [" 12:30"]
+
+
+def test_few_parts_are_encoded_without_hashing_what_is_remembered(monkeypatch):
+    from boxwood.llm import tokens
+
+    enc, r = Encoder(), random.Random(6)
+    text = " ".join("".join(r.choice("abcde") for _ in range(8)) for _ in range(500))
+    enc.ids(pa.array([text]))
+    known, calls, looked = len(enc.parts), [], tokens.pc.index_in
+    monkeypatch.setattr(tokens.pc, "index_in", lambda *a, **k: calls.append(len(a[0])) or looked(*a, **k))
+    for t in (text[:200], "new words\there too", ""):
+        assert enc.ids(pa.array([t]))[0].tolist() == encoder().tokenizer.encode(t, add_special_tokens=False).ids
+    assert not calls and len(enc.parts) == known
+
+
 def test_broken_utf8_is_replaced():
     column = pa.Array.from_buffers(pa.string(), 1, [None, pa.array([0, 3], pa.int32()).buffers()[1], pa.py_buffer(b"a\xff ")])
     assert encoder().ids(column)[0].tolist() == encoder().tokenizer.encode("a� ", add_special_tokens=False).ids
