@@ -26,3 +26,15 @@ def test_extended_exclusion_of_odd_texts(spark, tmp_path):
     texts = ["", None, " ", "\x0b", "123", "ß", "ẞ", "ﬁ", "12 ŉ", "ΐ", "ᾼ 7", "ABC ﬀ DEF", "ABC ﬀ dEF", "a b", " ", "É", "ꟍ", "中文", "i", "İ", "ı", "ǅ", "auto generated ﬁ"]
     rows = [(100 * k + i, t, "en", s, len(t or "")) for k, s in enumerate(("src1", "src8", "src9", "src10", None)) for i, t in enumerate(texts)]
     _both(spark, "extended_exclusion", tmp_path, {"documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")})
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sketch_is_held_by_type_not_by_user(spark, small):
+    from boxwood.plans import joins
+
+    lines = _plan(joins.approximate_distinct(spark, small)).splitlines()
+    assert any("approx_count_distinct" in x for x in lines)
+    assert not any("user_id" in x.split("functions=")[0] for x in lines if "approx_count_distinct" in x)
