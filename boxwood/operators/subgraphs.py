@@ -1,9 +1,10 @@
 """Frequent connected subgraphs of labelled directed graphs, grown edge by edge.
 
-An embedding is a set of edges of one graph. It grows by an edge at one of its vertices, which is
-an equi-join on (graph, vertex); embeddings of a pattern that too few graphs hold are dropped
-before they grow. A pattern is named by a canonical code, the least over the orders of its few
-vertices, worked out once for each shape that a worker meets.
+An embedding is a set of edges of one graph. It grows by an edge at one of its vertices, where the
+graph lies; embeddings of a pattern that too few graphs hold don't grow. Each round grows them anew
+from the graphs and hands on counts of codes alone, so no embedding is ever written or shuffled. A
+pattern is named by a canonical code, the least over the orders of its few vertices, worked out once
+for each shape that a worker meets.
 
 Branches that look alike and hang at one vertex are twins. A pattern of n edges meets at most n of
 them, so the others are left out, and an embedding meets a later twin only after the one before it:
@@ -20,12 +21,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations, product
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from ..partitions import deal
 from ..storage import materialise
 
 Shape = tuple[tuple[str, ...], tuple[tuple[int, int, str], ...]]
@@ -127,45 +127,96 @@ def twins(edges: list[tuple[int, int, str, str, str]], most: int) -> list[tuple[
 
 
 def _numbered(step: DataFrame, most: int) -> DataFrame:
-    """Each graph's edges with numbers for edges and vertices, and their twins. One task holds a
-    graph's edges."""
-    kind = step.schema["graph"].dataType.simpleString()
+    """A row for each graph: its edges with numbers for vertices, and their twins, as JSON. One task
+    holds a graph's edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            graphs, rows = [], []
-            for g, es in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for i in range(batch.num_rows):
                 place: dict = {}
-                own = [(place.setdefault(e["src"], len(place)), place.setdefault(e["dst"], len(place)), e["by"], e["sl"], e["dl"]) for e in es]
-                for i, needs, inside in twins(own, most):
-                    a, b, by, sl, dl = own[i]
-                    graphs.append(g)
-                    rows.append((i, a, b, sl, by, dl, needs, inside))
-            types = [pa.int32()] * 3 + [pa.string()] * 3 + [pa.list_(pa.int32())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(graphs, batch.schema.field(0).type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["graph", *names])
-
-    names = ["eid", "src", "dst", "sl", "by", "dl", "needs", "inside"]
-    whole = step.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "by", "sl", "dl"))).alias("es"))
-    return whole.mapInArrow(run, f"graph {kind}, eid int, src int, dst int, sl string, `by` string, dl string, needs array<int>, inside array<int>")
-
-
-@F.pandas_udf(StringType())
-def _code(shapes: pd.Series) -> pd.Series:
-    """The codes of shapes written as JSON, each different one read once."""
-    told = {}
-    for text in shapes.unique():
-        labels, edges = (x for x in json.loads(text).values())
-        told[text] = canonical((tuple(labels), tuple((e["a"], e["b"], e["by"]) for e in edges)))
-    return shapes.map(told)
-
-
-def _shape(es: str) -> Column:
-    """``shape_of`` as an expression, written as JSON: only this goes to Python."""
-    own = F.array_sort(es)
-    ends = F.array_distinct(F.flatten(F.transform(own, lambda e: F.array(F.struct(e["src"].alias("v"), e["sl"].alias("l")), F.struct(e["dst"].alias("v"), e["dl"].alias("l"))))))
-    ids = F.transform(ends, lambda x: x["v"])
-    numbered = F.transform(own, lambda e: F.struct((F.array_position(ids, e["src"]) - 1).alias("a"), (F.array_position(ids, e["dst"]) - 1).alias("b"), e["by"].alias("by")))
-    return F.to_json(F.struct(F.transform(ends, lambda x: x["l"]).alias("labels"), numbered.alias("edges")))
+                own = [(place.setdefault(e["src"], len(place)), place.setdefault(e["dst"], len(place)), e["by"], e["sl"], e["dl"]) for e in batch.column(0)[i].as_py()]
+                rows.append(json.dumps([(*own[k][:2], own[k][3], own[k][2], own[k][4], needs, inside) for k, needs, inside in twins(own, most)]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["edges"])
+
+    whole = step.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "by", "sl", "dl"))).alias("es")).select("es")
+    return whole.mapInArrow(run, "edges string")
+
+
+def grown(edges: list, frequent: list[set[str]], most_vertices: int) -> set[tuple[str | None, str, int]]:
+    """(parent's code, code, vertices) of a graph's embeddings of one edge more than ``frequent`` has
+    levels, grown from those whose code is frequent at each level before; the parent is None for one
+    edge. edges: (from, to, label of from, label, label of to, needs, inside), as ``_numbered`` has them."""
+    near: dict[int, list[int]] = defaultdict(list)
+    for i, (a, b, *_) in enumerate(edges):
+        near[a].append(i)
+        near[b].append(i)
+
+    def code(eids: tuple[int, ...]) -> str:
+        order: dict[int, int] = {}
+        labels: list[str] = []
+        own = sorted([(edges[i][2], edges[i][3], edges[i][4], edges[i][0], edges[i][1]) for i in eids])
+        for sl, _, dl, a, b in own:
+            for v, label in ((a, sl), (b, dl)):
+                if v not in order:
+                    order[v] = len(order)
+                    labels.append(label)
+        return canonical((tuple(labels), tuple(sorted([(order[a], order[b], by) for _, by, _, a, b in own]))))
+
+    level = {(i,): (frozenset(e[:2]), frozenset(e[6])) for i, e in enumerate(edges) if not e[5]}
+    found: set[tuple[str | None, str, int]] = set()
+    if not frequent:
+        return {(None, code(eids), len(verts)) for eids, (verts, _) in level.items()}
+    for k, kept in enumerate(frequent):
+        more: dict[tuple[int, ...], tuple[frozenset[int], frozenset[int]]] = {}
+        codes: dict[tuple[int, ...], str] = {}
+        for eids, (verts, met) in level.items():
+            if (parent := code(eids)) not in kept:
+                continue
+            for i in sorted({i for v in verts for i in near[v]}.difference(eids)):
+                a, b, *_, needs, inside = edges[i]
+                wider = verts if a in verts and b in verts else verts | {a, b}
+                if len(wider) > most_vertices or not (met.issuperset(needs) or met.union(inside).issuperset(needs)):
+                    continue
+                key = tuple(sorted((*eids, i)))
+                if k + 1 < len(frequent):
+                    if key not in more:
+                        more[key] = wider, met.union(inside)
+                else:  # an edge set is reached from each of its connected parts: all its parents count
+                    if key not in codes:
+                        codes[key] = code(key)
+                    found.add((parent, codes[key], len(wider)))
+        level = more
+    return found
+
+
+#: Codes that a task counts before it hands on what it has.
+MOST_CODES = 50_000
+
+
+def _counted(graphs: DataFrame, frequent: list[set[str]], most_vertices: int) -> DataFrame:
+    """(parent, code, vertices, n): n graphs hold the code where the parent is null; other rows say
+    that the code grew from the parent. Counts of one code may come in several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            rows = [(*k, n) for k, n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["parent", "code", "vertices", "n"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = grown(json.loads(batch.column(0)[i].as_py()), frequent, most_vertices)
+                counts.update({(None, code, n) for _, code, n in found})
+                counts.update({x for x in found if x[0] is not None})
+                if len(counts) >= MOST_CODES:
+                    yield told()
+        if counts:
+            yield told()
+
+    return graphs.mapInArrow(run, "parent string, code string, vertices int, n long").groupBy("parent", "code", "vertices").agg(F.sum("n").alias("n"))
 
 
 def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, least: int, *, most_edges: int = 3, most_vertices: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -174,35 +225,26 @@ def frequent_subgraphs(vertices: DataFrame, edges: DataFrame, least: int, *, mos
 
     vertices: graph, id, label; edges: graph, src, dst, label. Repeated edges count once, loops
     are left out; a graph holds a pattern if one of its subgraphs is that pattern (vertices are
-    told apart).
+    told apart). Codes of frequent patterns go to the driver and to all executors.
     """
     v = vertices.select("graph", "id", "label").distinct()
     step = edges.where("src <> dst").select("graph", "src", "dst", F.col("label").alias("by")).distinct()
     step = step.join(v.select("graph", F.col("id").alias("src"), F.col("label").alias("sl")), ["graph", "src"]).join(v.select("graph", F.col("id").alias("dst"), F.col("label").alias("dl")), ["graph", "dst"])
-    step = materialise(_numbered(step, most_edges))
-    edge = F.struct("sl", "by", "dl", "src", "dst")
-    level = step.where(F.size("needs") == 0).select("graph", F.array("eid").alias("eids"), F.array("src", "dst").alias("verts"), F.array(edge).alias("es"), F.col("inside").alias("met"), F.array().cast("array<string>").alias("parents"))
-    near = step.select("graph", F.explode(F.array("src", "dst")).alias("at"), F.col("eid").alias("new_id"), edge.alias("new"), "needs", "inside")
-    patterns = grown = None
+    graphs = materialise(_numbered(step, most_edges))
+    frequent: list[set[str]] = []
+    patterns = pairs = None
     for n in range(1, most_edges + 1):
-        level = materialise(level.withColumn("code", _code(_shape("es"))))
-        support = materialise(level.groupBy("code", F.size("verts").alias("vertices")).agg(F.count_distinct("graph").alias("support")).where(F.col("support") >= least))
-        found = support.select("code", F.lit(n).alias("edges"), "vertices", "support")
-        patterns = found if patterns is None else patterns.unionByName(found)
+        counted = materialise(_counted(deal(graphs), frequent, most_vertices))
+        support = counted.where("parent IS NULL").select("code", F.lit(n).alias("edges"), "vertices", F.col("n").alias("support")).where(F.col("support") >= least)
+        patterns = support if patterns is None else patterns.unionByName(support)
         if n > 1:
-            pairs = level.select(F.explode("parents").alias("parent"), "code").distinct().join(support.select("code"), "code", "left_semi").select("parent", "code")
-            grown = pairs if grown is None else grown.unionByName(pairs)
-        if n == most_edges or support.isEmpty():
+            own = counted.where("parent IS NOT NULL").select("parent", "code").join(support.select("code"), "code", "left_semi").select("parent", "code")
+            pairs = own if pairs is None else pairs.unionByName(own)
+        frequent.append({r["code"] for r in support.select("code").collect()})
+        if not frequent[-1]:
             break
-        kept = level.join(support.select("code"), "code", "left_semi")
-        # An edge set is reached from each of its connected parts: all its parents are kept.
-        more = kept.select("graph", "eids", "es", "verts", "met", F.col("code").alias("parent"), F.explode("verts").alias("at")).join(near, ["graph", "at"])
-        more = more.where(~F.array_contains("eids", F.col("new_id")) & (F.size(F.array_except("needs", F.array_union("met", "inside"))) == 0))
-        verts = F.array_union("verts", F.array(F.col("new.src"), F.col("new.dst")))
-        more = more.select("graph", F.array_sort(F.concat("eids", F.array("new_id"))).alias("eids"), verts.alias("verts"), F.concat("es", F.array("new")).alias("es"), F.array_union("met", "inside").alias("met"), "parent").where(F.size("verts") <= most_vertices)
-        level = more.groupBy("graph", "eids").agg(F.first("verts").alias("verts"), F.first("es").alias("es"), F.first("met").alias("met"), F.collect_set("parent").alias("parents"))
     empty = patterns.select(F.col("code").alias("parent"), "code").where("1 = 0")
-    return patterns, grown.distinct() if grown is not None else empty
+    return patterns, pairs.distinct() if pairs is not None else empty
 
 
 def closed_subgraphs(patterns: DataFrame, grown: DataFrame) -> DataFrame:

@@ -77,3 +77,22 @@ def test_measures_are_those_of_the_nodes(spark, small):
     direct = nodes.groupBy("doc_id").agg(F.count_if("leaf").alias("leaves"), F.max("depth").alias("depth"), F.count_if("semantic").alias("real"))
     found = plans.tree_depths(spark, small)
     assert found.dtypes == direct.dtypes and spark_rows(found) == spark_rows(direct)
+
+
+def test_embeddings_are_never_written(spark):
+    from boxwood.operators import subgraphs
+    from boxwood.storage import own_dir
+
+    def names() -> dict[str, list[str]]:
+        import os
+
+        top = own_dir(spark).removeprefix("file:")
+        return {d: spark.read.parquet(f"{top}/{d}").columns for d in (os.listdir(top) if os.path.isdir(top) else ())}
+
+    before = names()
+    v = spark.createDataFrame([(g, i, f"l{i % 3}") for g in range(4) for i in range(5)], "graph int, id int, label string")
+    e = spark.createDataFrame([(g, i, i + 1, "to") for g in range(4) for i in range(4)], "graph int, src int, dst int, label string")
+    patterns, pairs = subgraphs.frequent_subgraphs(v, e, 4, most_edges=4, most_vertices=5)
+    assert {r["support"] for r in patterns.collect()} == {4} and pairs.count()
+    new = {tuple(c) for d, c in names().items() if d not in before}
+    assert new and not any({"eids", "es", "verts"} & set(c) for c in new)
