@@ -96,3 +96,13 @@ def test_embeddings_are_never_written(spark):
     assert {r["support"] for r in patterns.collect()} == {4} and pairs.count()
     new = {tuple(c) for d, c in names().items() if d not in before}
     assert new and not any({"eids", "es", "verts"} & set(c) for c in new)
+
+
+def test_bundles_of_orders_in_as_many_tasks_as_lines_ask_for(spark, small, duck, monkeypatch):
+    from boxwood import registry
+    from boxwood.plans import evidence
+
+    monkeypatch.setattr(evidence, "LINES", 500)
+    found = evidence.drill_bundle(spark, small)
+    assert "12), REPARTITION_BY_NUM" in _plan(found)  # some 6,000 lines
+    assert spark_rows(found) == duck_rows(duck, registry.ORACLES["drill_bundle"])
