@@ -32,17 +32,19 @@ def json_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(F.when(bad, "invalid_json").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
 
 
+def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for i in range(b.num_rows):  # the words of one text at a time
+            w = b.column(1)[i].as_py().split()
+            out.append(f"{len(w)} words, {len(set(w))} distinct, from {w[0] if w else ''} to {w[-1] if w else ''}")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["hash", "out"])
+
+
 @query("summary_by_content", """WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
     SELECT doc_id, substr(sha1(text), 1, 16) AS hash, CAST(len(w) AS VARCHAR) || ' words, ' || CAST(len(list_distinct(w)) AS VARCHAR) || ' distinct, from ' || coalesce(w[1], '') || ' to ' || coalesce(w[-1], '') AS summary FROM w""")
 def summary_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An expensive function run once for each distinct content, then joined back."""
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [t.split() for t in b.column(1).to_pylist()]
-            out = [f"{len(w)} words, {len(set(w))} distinct, from {w[0] if w else ''} to {w[-1] if w else ''}" for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["hash", "out"])
-
     return annotate(table(spark, sf_dir, "documents"), "doc_id", "text", summarise).select("doc_id", "hash", F.col("out").alias("summary"))
 
 

@@ -106,3 +106,47 @@ def test_bundles_of_orders_in_as_many_tasks_as_lines_ask_for(spark, small, duck,
     found = evidence.drill_bundle(spark, small)
     assert "12), REPARTITION_BY_NUM" in _plan(found)  # some 6,000 lines
     assert spark_rows(found) == duck_rows(duck, registry.ORACLES["drill_bundle"])
+
+
+def test_words_of_one_text_are_held_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from boxwood.plans import files
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(500)) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(400)]), pa.array(texts)], names=["hash", "text"])
+    tracemalloc.start()
+    (out,) = files.summarise(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column(1)[3].as_py() == "500 words, 500 distinct, from w3x0 to w3x499" and peak < 2_000_000
+
+
+def test_no_table_of_samples_is_broadcast(spark, monkeypatch):
+    """Whatever the size that the planner sees, rules join samples without a broadcast."""
+    from itertools import combinations
+
+    from boxwood.operators import rules
+
+    rows = {i: {f"a{k}" for k in range(6) if (i >> k) % 2} for i in range(64)}
+    features = spark.createDataFrame([(i, a) for i, own in rows.items() for a in own], "sample long, atom string")
+    truth = spark.createDataFrame([(i, i % 3 == 0) for i in rows], "sample long, positive boolean")
+    plans, write = [], rules.materialise
+    monkeypatch.setattr(rules, "materialise", lambda df: (plans.append(_plan(df)), write(df))[1])
+    atoms = rules.rank_atoms(features, truth, 5)
+    found = rules.clauses(features, truth, atoms, precision=0.0)
+    got = {tuple(r["clause"]): (r["tp"], r["fp"]) for r in found.collect()}
+    names = sorted(r["atom"] for r in atoms.collect())
+    want = {}
+    for n in (1, 2, 3):
+        for c in combinations(names, n):
+            held = [i for i, own in rows.items() if set(c) <= own]
+            tp = sum(i % 3 == 0 for i in held)
+            if tp >= 2:
+                want[c] = (tp, len(held) - tp)
+    assert got == want
+    assert rules.greedy(found, features, truth)
+    plans.append(_plan(atoms))
+    assert not any("BroadcastExchange" in x and "bigint" in x for p in plans for x in p.splitlines())
