@@ -150,3 +150,10 @@ def test_no_table_of_samples_is_broadcast(spark, monkeypatch):
     assert rules.greedy(found, features, truth)
     plans.append(_plan(atoms))
     assert not any("BroadcastExchange" in x and "bigint" in x for p in plans for x in p.splitlines())
+
+
+def test_rows_of_unknown_size_are_dealt_too(spark):
+    from boxwood import partitions
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(1, "a"), (2, "b")]), "id int, text string")
+    assert sorted(map(tuple, partitions.deal(rows).collect())) == [(1, "a"), (2, "b")]
